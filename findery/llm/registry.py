@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import chat_format, token_count
+from findery.llm import chat_format, mixing, token_count
 from findery.llm.shared import read_table
 
 
@@ -18,10 +18,15 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_chat_format": op6_chat_format,
         "op7_token_count": op7_token_count,
+        "op10_mixing": op10_mixing,
     }
 
 
