@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import chat_format, mixing, token_count
+from findery.llm import chat_format, mixing, packing, token_count, token_store
 from findery.llm.shared import read_table
 
 
@@ -18,6 +18,14 @@ def op7_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_read(read_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_chat_format": op6_chat_format,
         "op7_token_count": op7_token_count,
+        "op8_packing": op8_packing,
+        "op9_token_store": op9_token_store,
         "op10_mixing": op10_mixing,
     }
 
