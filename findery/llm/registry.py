@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import chat_format, mixing, packing, token_count, token_store
+from findery.llm import chat_format, mixing, packing, quality, token_count, token_store
 from findery.llm.shared import read_table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(read_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(read_table(spark, sf_dir, "conversations"))
 
@@ -32,6 +36,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op6_chat_format": op6_chat_format,
         "op7_token_count": op7_token_count,
         "op8_packing": op8_packing,
