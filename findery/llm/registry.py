@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import chat_format, mixing, packing, quality, token_count, token_store
+from findery.llm import chat_format, html_extract, mixing, packing, quality, token_count, token_store
 from findery.llm.shared import read_table
 
 
@@ -14,6 +14,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read_table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(read_table(spark, sf_dir, "conversations"))
 
@@ -37,6 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op4_html_extract": op4_html_extract,
         "op6_chat_format": op6_chat_format,
         "op7_token_count": op7_token_count,
         "op8_packing": op8_packing,
