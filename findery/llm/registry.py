@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import chat_format, embedding_dedup, html_extract, mixing, packing, quality, token_count, token_store
+from findery.llm import chat_format, embedding_dedup, html_extract, mixing, near_dedup, packing, quality, token_count, token_store
 from findery.llm.shared import read_table
 
 
@@ -14,6 +14,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read_table(spark, sf_dir, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(read_table(spark, sf_dir, "documents"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_copies(read_table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_near_dedup": op2_near_dedup,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_html_extract": op4_html_extract,
         "op6_chat_format": op6_chat_format,
