@@ -86,13 +86,12 @@ def labelled_windows(codes: np.ndarray, k: int = K) -> np.ndarray:
     ordered = h[order]
     fresh = np.ones(n, dtype=bool)
     fresh[1:] = ordered[1:] != ordered[:-1]
+    occurrence = np.zeros(n, dtype=np.uint64)
     if not fresh.all():
         starts = np.flatnonzero(fresh)
         run = np.repeat(starts, np.diff(np.append(starts, n)))
-        occurrence = np.zeros(n, dtype=np.uint64)
         occurrence[order] = (np.arange(n) - run).astype(np.uint64)
-        h = _mixed(h + occurrence * _MULTIPLY)
-    return h
+    return _mixed(h + occurrence * _MULTIPLY)
 
 
 def sketches(codes: np.ndarray, k: int = K, count: int = SKETCHES, least: int = L) -> np.ndarray:
