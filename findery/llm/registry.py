@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from findery.llm import chat_format, embedding_dedup, html_extract, mixing, near_dedup, packing, quality, token_count, token_store
+from findery.llm import chat_format, embedding_dedup, html_extract, mixing, near_dedup, packing, quality, suffix_dedup, token_count, token_store
 from findery.llm.shared import read_table
 
 
@@ -26,6 +26,10 @@ def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(read_table(spark, sf_dir, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(read_table(spark, sf_dir, "conversations"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_dedup": op2_near_dedup,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_html_extract": op4_html_extract,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_chat_format": op6_chat_format,
         "op7_token_count": op7_token_count,
         "op8_packing": op8_packing,
