@@ -10,8 +10,8 @@ The lengths' counts are then met by the documents that a seeded hash puts first.
 
 Defined results: a null text has size 0 and takes 0 words; a null source is a
 source of its own; a source without words has target 0; repeated rows are
-documents of their own; an empty table gives an empty table. Other columns are
-kept only by ``mixed_documents``.
+documents of their own; an empty table gives an empty table. ``mixed_documents``
+keeps all columns; ``mix`` ignores others.
 """
 
 from __future__ import annotations
@@ -129,9 +129,9 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     max_repeats: int = MAX_REPEATS,
     seed: int = SEED,
-    keep: Sequence[str] = (),
+    with_draw: bool = False,
 ) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row, and the columns in ``keep`` as ``kept_<name>``.
+    """``doc_id, size, source_size, target, taken`` of every row; with ``with_draw`` the hash that orders it, too.
 
     The driver sees one row for each source; the lengths of a source meet in
     one task as counts. Documents of one source and length are dealt by their
@@ -145,7 +145,6 @@ def mix(
             "source",
             word_count(F.col("text")).alias("size"),
             F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"),
-            *[F.col(c).alias(f"kept_{c}") for c in keep],
         ),
         "mix-base",
     )
@@ -192,16 +191,29 @@ def mix(
             "source_size",
             "target",
             (F.col("size") * (F.col("passes") + F.when(F.col("rank") <= F.col("more"), 1).otherwise(0))).alias("taken"),
-            *[f"kept_{c}" for c in keep],
+            *(["draw"] if with_draw else []),
         )
     )
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns, each row as often as the mix takes it."""
-    names = documents.columns
-    out = mix(documents, keep=names, **options).filter(F.col("taken") > 0)
-    times = F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int"))
-    return out.withColumn("copy", F.explode(times)).select(*[F.col(f"kept_{c}").alias(c) for c in names])
-
+    """The documents of the mix with all their columns, each row as often as the mix takes it.
 
+    Decisions are made on narrow rows and joined back once, by ``doc_id`` and
+    draw; rows equal in both and in text get the larger of their numbers.
+    """
+    seed = options.get("seed", SEED)
+    copies = (F.col("taken") / F.col("size")).cast("int")
+    decided = (
+        mix(documents, with_draw=True, **options)
+        .filter(F.col("taken") > 0)
+        .groupBy(F.col("doc_id").alias("__id"), F.col("draw").alias("__draw"))
+        .agg(F.max(copies).alias("__copies"))
+    )
+    drawn = documents.withColumn("__own", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__own") == F.col("__draw"))
+    return (
+        drawn.join(decided, same)
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        .select(*[F.col(f"`{c}`") for c in documents.columns])
+    )
