@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from findery.functions.distance import not_finite
 from findery.functions.text import tokenize
-from findery.operators import changes
+from findery.operators import ann, changes
 from findery.operators.bm25 import Bm25Index, idf
 from findery.operators.fusion import as_rankings, hybrid, rrf
 from findery.operators.vectors import VectorIndex
@@ -138,6 +138,14 @@ def knn_batch_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(_vector_index(spark, sf_dir, VectorDistance.COSINE).query_batch(queries, K), "query_id")
 
 
+def knn_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at 10 of the approximate path against the exact one; it has no SQL."""
+    queries = _vectors(spark, sf_dir).filter("id % 50 = 0").withColumnRenamed("id", "query_id")
+    exact = _vector_index(spark, sf_dir, VectorDistance.L2)
+    index = ann.CellIndex.build(exact.vectors, exact.config, cells=8)
+    return ann.recall(index.query_batch(queries, K, probes=7), exact.query_batch(queries, K))
+
+
 def knn_zero_vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.array_repeat(F.lit(0.0).cast("float"), 64).alias("vector"))
     index = VectorIndex(_vectors(spark, sf_dir).unionByName(zero), HnswConfig(64, VectorDistance.COSINE))
@@ -309,7 +317,7 @@ def queries() -> dict[str, Query]:
     plain = [
         fts_doc_length, fts_term_counts, fts_doc_frequency, fts_corpus_stats, fts_idf, fts_tokens, bm25_batch_benchmark,
         bm25_after_replace, bm25_after_remove, bm25_conversations, fts_semi_join_quality, knn_batch, knn_batch_cosine,
-        knn_zero_vector_cosine, knn_after_replace, knn_after_remove, knn_semi_join_label, validate_vectors, rrf_default,
+        knn_ann_recall, knn_zero_vector_cosine, knn_after_replace, knn_after_remove, knn_semi_join_label, validate_vectors, rrf_default,
         rrf_custom_k, rrf_three_rankings, rrf_duplicate_ids, hybrid_search, lifecycle_insert_changes,
         lifecycle_member_table, lifecycle_remove_changes, lifecycle_rebuild_changes, lifecycle_destroy_changes,
         lifecycle_hits_with_provenance, duplicate_members, permission_table, storage_keys, snapshot_roundtrip_bm25,

@@ -158,3 +158,18 @@ def test_rrf(spark):
 def test_permissions_and_categories():
     assert sum(is_permitted_from(t, s) for t in Transition for s in StateKind) == 10
     assert len(E.VARIANTS) == 25 and {v.category for v in E.VARIANTS} == set(E.ErrorCategory)
+
+
+def test_approximate_path_recalls(spark):
+    from findery.operators.ann import CellIndex, recall
+
+    r = random.Random(6)
+    centers = [[r.uniform(-5, 5) for _ in range(16)] for _ in range(12)]
+    rows = [(i, [c + r.gauss(0, 0.5) for c in centers[i % 12]]) for i in range(256)]
+    config = HnswConfig(16)
+    exact = VectorIndex.build(vecs(spark, rows), config)
+    queries = vecs(spark, rows[:8]).withColumnRenamed("id", "query_id")
+    index = CellIndex.build(exact.vectors, config, cells=12)
+    found = recall(index.query_batch(queries, 10, probes=4), exact.query_batch(queries, 10)).collect()
+    assert sum(x["recall"] for x in found) / len(found) >= 0.9
+    assert CellIndex.build(exact.vectors.limit(0), config).query_batch(queries, 3).count() == 0
