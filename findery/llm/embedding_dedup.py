@@ -274,7 +274,7 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, cell: int = CELL)
         ),
         "named",
     )
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    least = written(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least-ids")
     verdicts = named.join(least, "root").select("key", "n_links", "component_id")
     return (
         rows.select("vec_id", "key")

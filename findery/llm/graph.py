@@ -11,7 +11,10 @@ from findery.llm.shared import discard, written
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
+    # written, so that the join deals both sides anew and can split a node with many links
+    least = written(
+        both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")), "least"
+    )
     return (
         both.join(least, "u")
         .filter(F.col("v") > F.col("u"))
@@ -23,7 +26,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("least"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("least")), "least")
     moved = down.join(least, "u").filter(F.col("v") > F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))
     return moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct()
 
