@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findery.llm.shared import discard, written
+from findery.llm.vocab import release
 
 LENGTH = 200
 GRAM = 50
@@ -220,9 +221,10 @@ def _digest(data: bytes) -> bytes:
 
 def _with_anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
                 rows = []
                 for text in part.column(1).to_pylist():
                     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -239,30 +241,58 @@ def _with_anchors(length: int, gram: int):
 
 def _with_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["content", "raw"]
-        )
+        for first in range(0, batch.num_rows, 200):
+            texts = batch.column(0).slice(first, 200).to_pylist()
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["content", "raw"]
+            )
 
 
-def _cut_contexts(length: int):
+def _refer(length: int):
+    """A reference for each anchor of a text: its hash, a key of its context's bytes, and where the context stands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 content, raw, places = (batch.column(c)[i].as_py() for c in range(3))
-                contexts = [raw[p["low"] : p["high"] + length] for p in places]
-                n = len(places)
-                keys = [_digest(c + (p["at"] - p["low"]).to_bytes(4, "little")) for c, p in zip(contexts, places, strict=True)]
+                anchors_at = [p["at"] - p["low"] for p in places]
+                keys = [
+                    _digest(raw[p["low"] : p["high"] + length] + at.to_bytes(4, "little"))
+                    for p, at in zip(places, anchors_at, strict=True)
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([p["hash"] for p in places], pa.int64()),
                         pa.array(keys, pa.binary()),
-                        pa.array(contexts, pa.binary()),
-                        pa.array([p["at"] - p["low"] for p in places], pa.int32()),
-                        pa.array([content] * n, pa.binary()),
+                        pa.array(anchors_at, pa.int32()),
+                        pa.array([content] * len(places), pa.binary()),
                         pa.array([p["low"] for p in places], pa.int64()),
+                        pa.array([p["high"] for p in places], pa.int64()),
                     ],
-                    ["hash", "key", "context", "anchor", "content", "low"],
+                    ["hash", "key", "anchor", "content", "low", "high"],
+                )
+
+    return run
+
+
+def _cut_contexts(length: int):
+    """The contexts that a text is the first reference of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw, places = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([p["hash"] for p in places], pa.int64()),
+                        pa.array([p["key"] for p in places], pa.binary()),
+                        pa.array([raw[p["low"] : p["high"] + length] for p in places], pa.binary()),
+                        pa.array([p["anchor"] for p in places], pa.int32()),
+                        pa.array([p["times"] for p in places], pa.int64()),
+                        pa.array([p["rank"] for p in places], pa.string()),
+                    ],
+                    ["hash", "key", "context", "anchor", "times", "rank"],
                 )
 
     return run
@@ -354,9 +384,9 @@ def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 def _remaining(remove: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``content, removed, spans, sha, rest`` of each distinct text that has spans."""
-        for batch in batches:
+        for part in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             rows = []
-            for content, raw, pieces in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for content, raw, pieces in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                 flat = [
                     (p["low"] + a, p["low"] + b)
                     for p in pieces
@@ -383,7 +413,7 @@ def _results(documents: DataFrame, remove: str, length: int, gram: int) -> tuple
         ),
         "suffix-anchors",
     )
-    rows = found.select("doc_id", "content", "n_bytes", "sha")
+    rows = written(found.select("doc_id", "content", "n_bytes", "sha"), "suffix-rows")
     texts = written(
         found.groupBy("content").agg(
             F.min("doc_id").alias("first_id"),
@@ -392,10 +422,14 @@ def _results(documents: DataFrame, remove: str, length: int, gram: int) -> tuple
         ),
         "suffix-texts",
     )
+    discard(found)
     placed = texts.select("content", F.explode(F.arrays_zip("hash", "at", "low", "high")).alias("a")).select(
         "content", "a.*"
     )
-    repeated = placed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+    # written, so that the join deals its sides anew and can split the anchors of a common passage
+    repeated = written(
+        placed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "suffix-repeated"
+    )
     wanted = (
         placed.join(repeated, "hash", "left_semi")
         .groupBy("content")
@@ -406,40 +440,65 @@ def _results(documents: DataFrame, remove: str, length: int, gram: int) -> tuple
         wanted.join(raw.groupBy("content").agg(F.first("raw").alias("raw")), "content").select("content", "raw", "places"),
         "suffix-raw",
     )
-    cut = kept_raw.mapInArrow(
-        _cut_contexts(length), "hash long, key binary, context binary, anchor int, content binary, low long"
+    found = kept_raw.mapInArrow(
+        _refer(length), "hash long, key binary, anchor int, content binary, low long, high long"
     )
     # the order that "earlier" means: by first id, then by place
-    ranked = cut.join(texts.select("content", "first_id"), "content") if remove == "later" else cut.withColumn("first_id", F.lit(None).cast(id_type))
-    cut_table = written(ranked, "suffix-contexts")
-    references = cut_table.select("hash", "key", "content", "low", "first_id")
-    order = F.struct(F.col("first_id").isNull(), "first_id", "content", "low")
-    work = cut_table.groupBy("hash", "key").agg(
-        F.first("context").alias("context"),
-        F.first("anchor").alias("anchor"),
-        F.count(F.lit(1)).alias("times"),
-        F.min(order).alias("first"),
+    if remove == "later":
+        found = found.join(texts.select("content", "first_id"), "content")
+    else:
+        found = found.withColumn("first_id", F.lit(None).cast(id_type))
+    references = written(found, "suffix-references")
+    order = F.struct(
+        F.col("first_id").isNull().alias("no_id"), "first_id", "content", "low", "high", "anchor"
     )
+    # equal contexts are counted by their keys; their bytes travel once, from the first reference
+    counted = references.groupBy("hash", "key").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first"))
     # sorts as text as the first reference does: null ids last, then ids, texts and places
-    digits = F.lpad((F.col("first.first_id").cast("decimal(20,0)") + F.expr("CAST('9223372036854775808' AS DECIMAL(20,0))")).cast("string"), 20, "0")
-    rank = F.concat_ws("/", F.coalesce(digits, F.lit("~")), F.hex("first.content"), F.lpad(F.col("first.low").cast("string"), 20, "0"))
+    digits = F.lpad(
+        (F.col("first.first_id").cast("decimal(20,0)") + F.expr("CAST('9223372036854775808' AS DECIMAL(20,0))")).cast("string"),
+        20,
+        "0",
+    )
+    rank = F.concat_ws(
+        "/", F.coalesce(digits, F.lit("~")), F.hex("first.content"), F.lpad(F.col("first.low").cast("string"), 20, "0")
+    )
+    firsts = written(
+        counted.withColumn("rank", rank if id_type in ("bigint", "int") else F.lit("")), "suffix-firsts"
+    )
+    chosen = firsts.groupBy(F.col("first.content").alias("content")).agg(
+        F.collect_list(
+            F.struct(
+                "hash",
+                "key",
+                F.col("first.low").alias("low"),
+                F.col("first.high").alias("high"),
+                F.col("first.anchor").alias("anchor"),
+                "times",
+                "rank",
+            )
+        ).alias("places")
+    )
     work = written(
-        work.select(
-            "hash",
-            "key",
-            F.lit(0).alias("shift"),
-            F.unhex(F.lpad(F.hex("hash"), 16, "0")).alias("grp"),
-            F.col("key").alias("part_key"),
-            "context",
-            "anchor",
-            "times",
-            "first",
-            (rank if id_type in ("bigint", "int") else F.lit("")).alias("rank"),
+        kept_raw.select("content", "raw")
+        .join(chosen, "content")
+        .select("raw", "places")
+        .mapInArrow(
+            _cut_contexts(length), "hash long, key binary, context binary, anchor int, times long, rank string"
         ),
         "suffix-work",
     )
-    firsts = work.select("hash", "key", "first", "times")
-    parts = work.select("hash", "key", "shift", "grp", "part_key", "context", "anchor", "rank", "times")
+    parts = work.select(
+        "hash",
+        "key",
+        F.lit(0).alias("shift"),
+        F.unhex(F.lpad(F.hex("hash"), 16, "0")).alias("grp"),
+        F.col("key").alias("part_key"),
+        "context",
+        "anchor",
+        "rank",
+        "times",
+    )
     schema = "hash long, key binary, shift int, grp binary, part_key binary, context binary, anchor int, rank string"
     step = length - gram + 1
     while step > 1:
@@ -496,7 +555,8 @@ def _results(documents: DataFrame, remove: str, length: int, gram: int) -> tuple
         ),
         "suffix-left",
     )
-    discard(cut_table)
+    for table in (references, work, kept_raw):
+        discard(table)
     return rows, texts.select("content", "first_id", "copies"), left
 
 
@@ -521,8 +581,9 @@ def keep_first_copies(documents: DataFrame, length: int = LENGTH, gram: int = GR
     are left empty stay as rows; ``n_chars``, if there, counts what is left.
     """
     rows, texts, left = _results(documents, "later", length, gram)
-    changed = left.join(texts, "content", "right").select("content", "first_id", "copies", "rest")
-    changed = changed.filter((F.col("copies") > 1) | F.col("rest").isNotNull()).withColumnRenamed("content", "of")
+    changed = left.join(texts, "content", "right").filter((F.col("copies") > 1) | F.col("rest").isNotNull())
+    # names of its own, which no column of the documents has
+    changed = changed.select(*[F.col(c).alias(f"__{c}_") for c in ("content", "first_id", "copies", "rest")])
     names = documents.columns
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -533,9 +594,13 @@ def keep_first_copies(documents: DataFrame, length: int = LENGTH, gram: int = GR
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", `__content` binary"
     keyed = documents.mapInArrow(key, fields)
-    copy = (F.col("copies") > 1) & ~F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.octet_length("text") >= length)
-    text = F.when(F.col("of").isNull(), F.col("text")).when(copy, F.lit("")).otherwise(F.coalesce("rest", "text"))
-    out = keyed.join(changed, keyed["__content"] == changed["of"], "left").withColumn("__text", text)
+    later = ~F.col("doc_id").eqNullSafe(F.col("__first_id_")) & (F.octet_length("text") >= length)
+    text = (
+        F.when(F.col("__content_").isNull(), F.col("text"))
+        .when((F.col("__copies_") > 1) & later, F.lit(""))
+        .otherwise(F.coalesce("__rest_", "text"))
+    )
+    out = keyed.join(changed, F.col("__content") == F.col("__content_"), "left").withColumn("__text", text)
     columns = [
         F.col("__text").alias("text")
         if n == "text"
