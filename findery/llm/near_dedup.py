@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 from findery.llm.alignment import banded_distance
 from findery.llm.graph import components
 from findery.llm.shared import discard, written
+from findery.llm.vocab import release
 
 K = 5
 L = 2
@@ -129,9 +130,10 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
 
 def _prepared(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
                 contents, marks, payloads = [], [], []
                 for text in part.column(1).to_pylist():
                     words = words_of(text)
@@ -166,11 +168,15 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [
-                alike(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), similarity)
-                for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
+            for first in range(0, batch.num_rows, 200):
+                part = batch.slice(first, 200)
+                keep = [
+                    alike(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), similarity)
+                    for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(
+                    pa.array(keep, pa.bool_())
+                )
 
     return pairs.mapInArrow(run, "u binary, v binary")
 
@@ -228,8 +234,10 @@ def near_groups(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
     marks = nodes.select("content", F.posexplode("marks").alias("at", "mark")).select(
         "content", F.xxhash64("at", "mark").alias("bucket")
     )
-    leaders = (
-        marks.groupBy("bucket").agg(F.min("content").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # aggregates are written before they are joined back, so that the joins can split a common bucket or class
+    leaders = written(
+        marks.groupBy("bucket").agg(F.min("content").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"),
+        "near-leaders",
     )
     members = written(marks.join(leaders, "bucket"), "near-members")
     candidates = members.select("content").distinct()
@@ -297,7 +305,7 @@ def near_groups(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
         .select("content", "least_id", F.coalesce("root", "content").alias("root")),
         "near-classes",
     )
-    named = classes.groupBy("root").agg(F.min("least_id").alias("class_id"))
+    named = written(classes.groupBy("root").agg(F.min("least_id").alias("class_id")), "near-named")
     verdict = classes.join(named, "root").select(F.col("content").alias("node"), "class_id")
     alone = F.col("content").isNull()
     return (

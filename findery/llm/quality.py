@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findery.llm.vocab import release
+
 MIN_WORDS = 10
 WINDOW_WORDS = 5
 MAX_REPEAT_PERCENT = 20
@@ -157,6 +159,7 @@ def assess(documents: DataFrame, with_text: bool = False, id_column: str = "doc_
     names = [c.split()[0] for c in _COLUMNS.split(", ")] + (["clean_text"] if with_text else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
@@ -178,6 +181,7 @@ def clean_documents(documents: DataFrame) -> DataFrame:
     length_type = documents.schema["n_chars"].dataType.simpleString() if length_at is not None else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)

@@ -12,7 +12,7 @@ import os
 import re
 import unicodedata
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import regex
 
@@ -22,8 +22,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHE_ENTRIES = 500_000
 #: White space to Python's ``str.split`` but not to the tokenizers' patterns.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Fixed values of the word tokenizer: its normalizer and its splitting pattern.
+#: The word tokenizer's normalizer, and the splitting patterns of both kinds of vocabulary.
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+BYTE_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
@@ -89,8 +90,46 @@ def normalized(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
+class IdCache(dict):
+    """chunk -> ids as bytes, two generations; a chunk that it lacks is noted in ``missing`` and gives no bytes."""
+
+    def __init__(self, entries: int):
+        super().__init__()
+        self.entries = entries
+        self.old: dict[str, bytes] = {}
+        self.missing: list[str] = []
+
+    def __missing__(self, chunk: str) -> bytes:
+        value = self.old.get(chunk)
+        if value is None:
+            self.missing.append(chunk)
+            return b""
+        self.put(chunk, value)
+        return value
+
+    def put(self, chunk: str, value: bytes) -> None:
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = value
+
+    def find(self, chunk: str) -> bytes | None:
+        value = self.get(chunk)
+        return self.old.get(chunk) if value is None else value
+
+
 class LibraryEncoder:
-    """Ids by the tokenizers library, as little-endian unsigned 32-bit bytes."""
+    """Ids by the tokenizers library, as little-endian unsigned 32-bit bytes.
+
+    The library encodes every pre-token that isn't cached, in batches, and every
+    text as a whole that holds a special string or white space that joins chunks.
+    """
+
+    #: Texts whose missing pre-tokens go to the library in one call.
+    STEP = 200
+    ENTRIES = 400_000
+    #: White space other than the space and the line feed.
+    RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -103,63 +142,89 @@ class LibraryEncoder:
         self.lower = self.spec["normalizer"] is not None
         if self.lower:
             check_word_spec(self.spec)
-            self.cache = WordCache(self.encode_one)
-        else:
-            self.cache = WordCache(lambda chunk: self.encode_one(" " + chunk))
-        self.firsts = WordCache(self.encode_one, 50_000)
+        self.split = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN)
+        self.cache = IdCache(self.ENTRIES)  # chunks; of a byte-level vocabulary those after a space, without it
+        self.firsts = IdCache(self.ENTRIES // 8)  # chunks of a byte-level vocabulary that begin a line
+        self.parts = IdCache(self.ENTRIES // 2)
+        self.line_feed = b"" if self.lower else self.encode_one("\n")
 
     def encode_one(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def fill(self, chunks: Iterable[str]) -> None:
-        """Puts the chunks that the cache lacks into it, by one call of the library."""
-        cache = self.cache
-        missing = [c for c in set(chunks) if c not in cache and c not in cache.old]
-        if not missing:
-            return
-        asked = missing if self.lower else [" " + c for c in missing]
-        for chunk, found in zip(missing, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-            if len(cache) >= cache.entries:
-                cache.old = dict(cache)
-                cache.clear()
-            cache[chunk] = array("I", found.ids).tobytes()
-
-    def chunks(self, text: str) -> list[str] | None:
-        """Independent chunks of the text; None where only the library itself can split it."""
-        if self.special is not None and "<|" in text:
+    def fill(self, cache: IdCache, lead: str) -> bool:
+        """Encodes what ``cache`` was asked for and lacked; whether there was anything."""
+        if not cache.missing:
+            return False
+        split, parts = self.split, self.parts
+        cut = {chunk: split.findall(lead + chunk) for chunk in dict.fromkeys(cache.missing)}
+        cache.missing = []
+        found = {part: parts.find(part) for own in cut.values() for part in own}
+        asked = [part for part, ids in found.items() if ids is None]
+        for part, made in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
+            ids = array("I", made.ids).tobytes()
+            found[part] = ids
+            parts.put(part, ids)
+        for chunk, own in cut.items():
+            cache.put(chunk, b"".join([found[p] for p in own]))
+        return True
+
+    def prepared(self, text: str) -> str | None:
+        """The text ready to be cut at spaces; None where only the library itself can split it."""
+        if "<|" in text and self.special is not None:
             return None
         if self.lower:
             text = normalized(text)
-            if "<|" in text or SEPARATORS.search(text):
-                return None
-            return text.split()
-        if self.ODD_SPACE.search(text):
+            return None if "<|" in text or SEPARATORS.search(text) else text
+        if (
+            not text
+            or text[0] in " \n"
+            or text[-1] in " \n"
+            or "  " in text
+            or "\n\n" in text
+            or " \n" in text
+            or "\n " in text
+            or any(map(text.__contains__, self.RARE_SPACES))
+        ):
             return None
-        return text.split(" ")
+        return text
 
-    #: A space beside other white space or at an end: there the byte-level pattern looks across chunks.
-    ODD_SPACE = re.compile(r"\A\s|\s\Z| \s|\S?[^\S ] ")
+    def joined(self, text: str) -> bytes:
+        """The ids of a prepared text from the caches."""
+        get = self.cache.__getitem__
+        if self.lower:
+            return b"".join(map(get, text.split()))
+        out = []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            out.append(self.firsts[words[0]])
+            out.extend(map(get, words[1:]))
+            out.append(self.line_feed)
+        out.pop()
+        return b"".join(out)
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""
-        split = [self.chunks(t) for t in texts]
-        step = 200
         out: list[bytes] = []
-        for i in range(0, len(texts), step):
-            part = split[i : i + step]
-            if self.lower:
-                self.fill(c for chunks in part if chunks for c in chunks)
-            else:
-                self.fill(c for chunks in part if chunks for c in chunks[1:])
-            get = self.cache.__getitem__
-            for text, chunks in zip(texts[i : i + step], part, strict=True):
-                if chunks is None:
-                    out.append(self.encode_one(text))
-                elif self.lower:
-                    out.append(b"".join(map(get, chunks)))
-                else:
-                    first = self.firsts[chunks[0]] if chunks[0] else b""
-                    out.append(first + b"".join(map(get, chunks[1:])))
+        for i in range(0, len(texts), self.STEP):
+            ready = [self.prepared(t) for t in texts[i : i + self.STEP]]
+            made, again = [], []
+            for place, (text, own) in enumerate(zip(texts[i : i + self.STEP], ready, strict=True)):
+                if own is None:
+                    made.append(self.encode_one(text))
+                    continue
+                before = len(self.cache.missing) + len(self.firsts.missing)
+                made.append(self.joined(own))
+                if len(self.cache.missing) + len(self.firsts.missing) > before:
+                    again.append(place)
+            if again:
+                self.fill(self.cache, "" if self.lower else " ")
+                self.fill(self.firsts, "")
+            for place in again:
+                made[place] = self.joined(ready[place])
+                if self.cache.missing or self.firsts.missing:  # more chunks than the caches hold
+                    self.cache.missing, self.firsts.missing = [], []
+                    made[place] = self.encode_one(texts[i + place])
+            out.extend(made)
         return out
 
 
@@ -247,3 +312,8 @@ def loaded(kind: type, path: str):
     if (kind, path) not in _LOADED:
         _LOADED[kind, path] = kind(path)
     return _LOADED[kind, path]
+
+
+def release() -> None:
+    """Frees a worker's caches of words; operators that don't tokenize call it, since workers live on between jobs."""
+    _LOADED.clear()
