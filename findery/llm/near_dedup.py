@@ -8,18 +8,25 @@ agree once are candidates. A candidate pair links if the edit distance of the
 word sequences, computed inside a band, is at most ``1 - SIMILARITY`` of the
 longer one. A class is a connected component of links.
 
+An edit breaks at most ``K`` windows, so texts of ``n`` words that link share
+``(1 - 0.2 K) / (1 + 0.2 K)`` of their windows wherever the edits stand: with
+windows of two words 3/7 of them at least, and a sketch agrees with probability
+0.18 (long texts; 0.13 at ten words). All ``SKETCHES`` miss such a pair with
+probability below 0.002 (0.013 at ten words). Texts of up to ``SHORT`` words may
+differ by one edit; they also meet by the text without any one of its words, so
+no link between two of them is lost.
+
 Documents with the same words are one node. In a bucket of equal sketches every
 document is first aligned with the bucket's smallest node. Only buckets that
 still hold several components are then searched for links between them, all
 pairs of components included, in blocks of bounded size after two exact filters
 (length, and words in common): so no link that joins two classes is lost within
 a bucket, and thousands of near copies cost one alignment each, not one for a
-pair. Recall of the sketches: two texts that share half of their windows meet
-with probability over 0.99, at 0.8 over 0.9999.
+pair. The same filters come before the first alignment.
 
 Defined results: null texts and texts without any character but white space are
-alone in their class and kept; texts shorter than ``K`` words are one window, so
-they link only if all their words agree; a class takes the smallest ``doc_id``
+alone in their class and kept; texts of fewer than five words have no edit to
+spare, so they link only if all their words agree; a class takes the smallest ``doc_id``
 in it, rows that repeat a ``doc_id`` share its verdict; a null ``doc_id`` is never
 the name of a class unless it has no other, and then all its rows are kept;
 texts of any length are compared whole; an empty table gives an empty table.
@@ -43,10 +50,12 @@ from findery.llm.graph import components
 from findery.llm.shared import discard, written
 from findery.llm.vocab import release
 
-K = 5
+K = 2
 L = 2
-SKETCHES = 24
+SKETCHES = 32
 SIMILARITY = 0.8
+#: Words up to which one edit is all that ``SIMILARITY`` allows.
+SHORT = 9
 #: Documents of a bucket that one side of a block holds, and bins of the filter by words in common.
 BLOCK = 512
 BINS = 1024
@@ -104,7 +113,7 @@ def sketches(codes: np.ndarray, k: int = K, count: int = SKETCHES, least: int =
     step = count if len(h) <= AT_ONCE else 1
     for first in range(0, count, step):
         own = seeds[first : first + step]
-        v = _mixed((h ^ own[:, None]) * _MULTIPLY)
+        v = h * (own | np.uint64(1))[:, None]
         rows = np.arange(len(own))
         taken = []
         for _ in range(least):
@@ -119,6 +128,16 @@ def sketches(codes: np.ndarray, k: int = K, count: int = SKETCHES, least: int =
     return out.view(np.int64)
 
 
+def short_marks(codes: np.ndarray) -> np.ndarray:
+    """Hashes of a short text and of it without each one of its words: texts one edit apart share one."""
+    n = len(codes)
+    if not 4 <= n <= SHORT:
+        return np.zeros(0, dtype=np.int64)
+    kept = [codes, *(np.delete(codes, i) for i in range(n))]
+    made = {int.from_bytes(hashlib.blake2b(c.tobytes(), digest_size=8).digest(), "little", signed=True) for c in kept}
+    return np.array(sorted(made), dtype=np.int64)
+
+
 def allowed_edits(n: int, m: int, similarity: float = SIMILARITY) -> int:
     return int(max(n, m) * (1 - similarity) + 1e-9)
 
@@ -128,38 +147,53 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return banded_distance(a.tolist(), b.tolist(), allowed_edits(len(a), len(b), similarity)) is not None
 
 
+def may_be_alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether lengths and words in common leave room for ``alike``; false only if it is."""
+    longest, most = max(len(a), len(b)), allowed_edits(len(a), len(b), similarity)
+    if abs(len(a) - len(b)) > most:
+        return False
+    common = np.minimum(np.bincount(a % BINS, minlength=BINS), np.bincount(b % BINS, minlength=BINS)).sum()
+    return bool(common >= longest - most)
+
+
 def _prepared(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
-                contents, marks, payloads = [], [], []
+                contents, marks, shorts, sizes, payloads = [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     words = words_of(text)
                     if not words:
                         contents.append(None)
                         marks.append(None)
+                        shorts.append(None)
+                        sizes.append(None)
                         payloads.append(None)
                         continue
                     codes = word_codes(words)
                     joined = " ".join(words).encode("utf-8", "surrogatepass")
                     contents.append(hashlib.blake2b(joined, digest_size=16).digest())
                     marks.append(sketches(codes))
+                    shorts.append(short_marks(codes))
+                    sizes.append(len(codes))
                     payloads.append(codes.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array(contents, pa.binary()),
                         pa.array(marks, pa.list_(pa.int64())),
+                        pa.array(shorts, pa.list_(pa.int64())),
+                        pa.array(sizes, pa.int32()),
                         pa.array(payloads, pa.binary()),
                     ],
-                    ["doc_id", "content", "marks", "words"],
+                    ["doc_id", "content", "marks", "shorts", "size", "words"],
                 )
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, content binary, marks array<long>, words binary"
+        run, f"doc_id {id_type}, content binary, marks array<long>, shorts array<long>, size int, words binary"
     )
 
 
@@ -170,10 +204,10 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
-                keep = [
-                    alike(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), similarity)
-                    for a, b in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
-                ]
+                keep = []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                    keep.append(may_be_alike(a, b, similarity) and alike(a, b, similarity))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(
                     pa.array(keep, pa.bool_())
                 )
@@ -228,15 +262,25 @@ def near_groups(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
     nodes = written(
         prepared.filter(F.col("content").isNotNull())
         .groupBy("content")
-        .agg(F.min("doc_id").alias("least_id"), F.first("marks").alias("marks")),
+        .agg(
+            F.min("doc_id").alias("least_id"),
+            F.first("marks").alias("marks"),
+            F.first("shorts").alias("shorts"),
+            F.first("size").alias("size"),
+        ),
         "near-nodes",
     )
-    marks = nodes.select("content", F.posexplode("marks").alias("at", "mark")).select(
-        "content", F.xxhash64("at", "mark").alias("bucket")
+    keys = F.concat(
+        F.transform("marks", lambda mark, at: F.xxhash64(at, mark)),
+        F.transform("shorts", lambda mark: F.xxhash64(F.lit(-1), mark)),
     )
+    marks = nodes.select("content", "size", F.explode(keys).alias("bucket"))
     # aggregates are written before they are joined back, so that the joins can split a common bucket or class
     leaders = written(
-        marks.groupBy("bucket").agg(F.min("content").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"),
+        marks.groupBy("bucket")
+        .agg(F.min(F.struct("content", "size")).alias("least"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .select("bucket", F.col("least.content").alias("leader"), F.col("least.size").alias("leader_size"), "n"),
         "near-leaders",
     )
     members = written(marks.join(leaders, "bucket"), "near-members")
@@ -249,7 +293,11 @@ def near_groups(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
         "near-words",
     )
     discard(prepared)
-    stars = members.filter(F.col("content") != F.col("leader")).select("leader", "content").distinct()
+    longest = F.greatest("size", "leader_size")
+    in_reach = F.abs(F.col("size") - F.col("leader_size")) <= F.floor(longest * (1 - similarity) + 1e-9)
+    stars = (
+        members.filter(F.col("content") != F.col("leader")).filter(in_reach).select("leader", "content").distinct()
+    )
     pairs = (
         stars.join(words.select(F.col("content").alias("leader"), F.col("words").alias("a")), "leader")
         .join(words.select("content", F.col("words").alias("b")), "content")

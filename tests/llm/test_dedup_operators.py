@@ -86,6 +86,33 @@ def test_links_between_members_of_a_bucket(spark, monkeypatch):
     assert {x.doc_id: x.class_id for x in found} == join_up(codes, links)
 
 
+def test_near_copies_at_the_threshold_meet(spark):
+    r = random.Random(21)
+    made, pairs = [], []
+
+    def add(a, b):
+        pairs.append((len(made), len(made) + 1))
+        made.extend([(len(made), " ".join(a)), (len(made) + 1, " ".join(b))])
+
+    for n in (100, 200):
+        for step in (5, 6):  # every fifth or sixth word changed: no five words in a row stay
+            for _ in range(50):
+                a = [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+                add(a, [f"n{r.randint(0, 10**6)}" if i % step == step // 2 else w for i, w in enumerate(a)])
+    at_most_one_edit = len(pairs)
+    for n in range(5, 10):
+        for at in range(n):
+            a = [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+            add(a, [*a[:at], "changed", *a[at + 1 :]])
+            add(a, [*a[:at], *a[at + 1 :]])
+    codes = {i: near_dedup.word_codes(near_dedup.words_of(t)) for i, t in made}
+    assert all(near_dedup.alike(codes[a], codes[b]) for a, b in pairs)
+    assert all(near_dedup.may_be_alike(codes[a], codes[b]) for a, b in pairs)
+    found = {x.doc_id: x.class_id for x in near_dedup.near_groups(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    met = [found[a] == found[b] for a, b in pairs]
+    assert all(met[at_most_one_edit:]) and sum(met[:at_most_one_edit]) >= 0.98 * at_most_one_edit
+
+
 @pytest.mark.parametrize("cell", [4096, 40])
 def test_embeddings(spark, cell):
     r = np.random.default_rng(3)
