@@ -113,6 +113,12 @@ def test_near_copies_at_the_threshold_meet(spark):
     assert all(met[at_most_one_edit:]) and sum(met[:at_most_one_edit]) >= 0.98 * at_most_one_edit
 
 
+def test_moved_and_repeated_passages_are_not_linked():
+    a = np.arange(400, dtype=np.uint32)
+    assert not near_dedup.alike(a, np.concatenate([a[200:], a[:200]]))
+    assert not near_dedup.alike(a, np.concatenate([a, a]))
+
+
 @pytest.mark.parametrize("cell", [4096, 40])
 def test_embeddings(spark, cell):
     r = np.random.default_rng(3)
