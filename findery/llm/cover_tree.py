@@ -45,7 +45,8 @@ class Tree:
         if len(rows) <= LEAF or self.cover[number] < 1e-6:
             self.points[number] = rows
             return number
-        while radius > self.cover[number]:
+        # below the cover, so that the farthest point falls outside the first child and every level shrinks
+        while radius >= self.cover[number]:
             radius /= 2
         # nested: the first ball of the next level keeps the centre; others are opened where no ball reaches
         inside = away <= radius

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from findery.llm import chat_format, dom, embedding_dedup, graph, html_extract, near_dedup, suffix_dedup
+from findery.llm import chat_format, cover_tree, dom, embedding_dedup, graph, html_extract, near_dedup, suffix_dedup
 from findery.llm.alignment import banded_distance
 from findery.llm.html_pages import labelled_pages
 from tests.llm.conftest import rows
@@ -146,6 +146,16 @@ def test_embeddings(spark, cell):
     assert embedding_dedup.near_copies(df.limit(0)).count() == 0
 
 
+def test_cover_tree_of_vectors_and_their_negations():
+    signs = np.random.default_rng(6).choice([-0.25, 0.25], size=(30, 16))
+    for x in (np.concatenate([signs, -signs]), np.concatenate([np.eye(40), -np.eye(40)])):
+        tree, met = cover_tree.Tree(x), set()
+        assert sorted(np.concatenate([p for p in tree.points if p is not None]).tolist()) == list(range(len(x)))
+        cover_tree.dual(tree, tree, 1.0, lambda a, b: met.update((min(i, j), max(i, j)) for i in a.tolist() for j in b.tolist()), True)
+        near = cover_tree.distances(x, x) <= 1.0
+        assert {(i, j) for i, j in np.argwhere(near).tolist() if i < j} <= met
+
+
 def test_longest_previous_factors():
     r = random.Random(4)
     for _ in range(60):
