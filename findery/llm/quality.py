@@ -43,13 +43,22 @@ SEPARATORS = {b"|", b">", b"<", b"/", "»".encode(), "›".encode(), "·".encode
 LINE_ENDS = tuple(".!?…:;,\"')]}»”’。！？")
 MARK_RUN = re.compile(r"[!?]{2,}|\.{4,}")
 BOILERPLATE = re.compile(
-    r"all rights reserved|licensed under|released under the|public license|copyright ©|©|terms of (?:use|service)"
-    r"|privacy policy|cookie|subscribe|sign (?:in|up)|log ?in|click here|read more|share this|enable javascript"
-    r"|powered by|lorem ipsum|skip to (?:main )?content|back to top|newsletter",
+    r"\b(?:all rights reserved|licensed under|released under the|public license|licen[sc]e,? version|terms of (?:use|service)"
+    r"|privacy policy|cookie (?:policy|notice|settings|preferences|consent)|(?:uses?|using|accept|allow) (?:all )?cookies"
+    r"|subscribe|sign (?:in|up)|log ?in|click here|read more|share this|enable javascript"
+    r"|powered by|lorem ipsum|skip to (?:main )?content|back to top|newsletter)\b|(?:\bcopyright )?©",
     re.IGNORECASE,
 )
 #: A boilerplate phrase marks a line of up to so many words; in longer ones it is prose about the matter.
 BOILERPLATE_WORDS = 20
+#: With one phrase only, so many words may stand beside it; with several, any number.
+BESIDE_WORDS = 4
+
+
+def is_boilerplate(line: str, n: int) -> bool:
+    """Whether a line of ``n`` words holds several different phrases, or one and few words besides."""
+    found = {m.lower() for m in BOILERPLATE.findall(line)}
+    return len(found) > 1 or bool(found) and n - len(next(iter(found)).split()) <= BESIDE_WORDS
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW_WORDS) -> int:
@@ -97,7 +106,7 @@ def line_failure(line: str, words: list[bytes], symbols: bool) -> str | None:
             return "navigation"
         if sum(a == b for a, b in zip(words, words[1:], strict=False)) > MAX_SAME_WORD * n:
             return "boilerplate"
-    if n <= BOILERPLATE_WORDS and BOILERPLATE.search(line):
+    if n <= BOILERPLATE_WORDS and is_boilerplate(line, n):
         return "boilerplate"
     return None
 

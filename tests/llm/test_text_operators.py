@@ -67,6 +67,28 @@ def test_quality_rules_of_a_line(line, failed):
     assert quality.line_failure(line, line.encode().split(), True) == failed
 
 
+@pytest.mark.parametrize(
+    ("line", "failed"),
+    [
+        ("She found the old catalog in a drawer of the desk.", None),
+        ("The analog input feeds the board.", None),
+        ("They chose the design in May.", None),
+        ("Put every cookie on the tray.", None),
+        ("The teller asked them to sign in with a pen before the meeting began.", None),
+        ("Please log in or sign up to read the rest of this fine story.", "boilerplate"),
+        ("Click here to go on.", "boilerplate"),
+        ("© 2020 The Company.", "boilerplate"),
+    ],
+)
+def test_quality_phrases_are_whole_and_strong(line, failed):
+    assert quality.line_failure(line, line.encode().split(), True) == failed
+
+
+def test_quality_keeps_prose_with_a_phrase():
+    prose = "The teller asked all of them to sign in with a pen before the meeting began."
+    assert quality.judge(prose)["kept"] and quality.judge(prose)["clean_text"] == prose
+
+
 def test_quality_rejects_what_loses_too_much():
     body = "\n".join(" ".join(f"word{i}x{j}" for j in range(12)) + "." for i in range(6))
     assert quality.judge(body)["kept"]
