@@ -9,11 +9,15 @@ import numpy as np
 
 #: HTML element classes and the words that attributes use for parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math select button".split())
+RAW = frozenset("script style noscript template textarea title iframe".split())
+#: Elements whose own tags are no blocks; the end tag, a block or a block's end tag closes them.
+FOREIGN = frozenset("svg math select".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr br img input".split()
+    "span strike strong sub sup time tt u var wbr br img input button object svg math select".split()
 )
+#: Inline elements that part words.
+SPACED = frozenset("br wbr img input button object svg select".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()
@@ -96,6 +100,7 @@ def parse(source: str) -> Node:
     pieces: list[str] = []
     link_chars = 0
     anchors = 0
+    foreign = False
 
     def close_block() -> None:
         nonlocal block, link_chars
@@ -126,10 +131,19 @@ def parse(source: str) -> Node:
         if tag is None:
             continue
         tag = tag.lower()
+        if foreign and tag not in RAW:
+            if tag in CLOSES_P or closing and (tag in FOREIGN or _open(at, tag)):
+                foreign = False
+            else:
+                if block is not None and tag == "option":
+                    pieces.append(" ")
+                continue
         if closing:
             if tag == "a":
                 anchors = max(0, anchors - 1)
             if tag in INLINE or tag in RAW:
+                if block is not None and tag in SPACED:
+                    pieces.append(" ")
                 continue
             up = at
             while up is not None and up.tag != tag:
@@ -142,18 +156,19 @@ def parse(source: str) -> Node:
             anchors = 0
             continue
         if tag in RAW:
-            if not attributes.endswith("/") or tag not in ("svg", "math", "object"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, position)
-                position = stop.end() if stop else end
+            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, position)
+            position = stop.end() if stop else end
             if block is not None:
                 pieces.append(" ")
             continue
         if tag in INLINE:
             if tag == "a":
                 anchors += 1
+            if tag in FOREIGN and not attributes.endswith("/"):
+                foreign = True
             if block is not None:
                 block.inline += 1
-                if tag in ("br", "wbr", "img", "input"):
+                if tag in SPACED:
                     pieces.append(" ")
             continue
         close_block()

@@ -225,6 +225,19 @@ def test_html_pages(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_drops_only_what_is_no_text():
+    def blocks(page):
+        return [v.text for v in dom.flat(dom.parse(page)) if v.tag == "#block"]
+
+    for tag in ("button", "select", "svg", "math", "object"):
+        assert blocks(f"<div>Note <{tag}></div><article><p>The article.</p></article>") == ["Note", "The article."]
+        assert blocks(f"<div><{tag}><p>The article.</p><p>More of it.</p></div>") == ["The article.", "More of it."]
+    assert blocks("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, then</p><p>more</p>") == ["Let x=2, then", "more"]
+    assert blocks('<p>See <object data="a">the fallback</object> here</p>') == ["See the fallback here"]
+    assert blocks('<p>one<svg><g><path d="M0"/></g></svg>two</p><p>three</p>') == ["one two", "three"]
+    assert blocks("<p>a<script>x</script>b</p><iframe>no</iframe><textarea>no</textarea>") == ["a b"]
+
+
 def test_chats(spark):
     made = [
         (1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (2, 2, "user", "more"),
