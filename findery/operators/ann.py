@@ -61,7 +61,7 @@ class CellIndex:
         rows = vectors.select("id", "vector").mapInPandas(place, f"id {id_type}, vector array<float>, cell int")
         return CellIndex(rows, centers, config)
 
-    def query_batch(self, queries: DataFrame, k: int, probes: int = 4) -> DataFrame:
+    def query_batch(self, queries: DataFrame, k: int, probes: int = 12) -> DataFrame:
         """``query_id, rank, id, score`` from the ``probes`` cells nearest to each row of ``query_id, vector``."""
         asked = [(r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").toLocalIterator()]
         for _, v in asked:

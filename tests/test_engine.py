@@ -173,3 +173,15 @@ def test_approximate_path_recalls(spark):
     found = recall(index.query_batch(queries, 10, probes=4), exact.query_batch(queries, 10)).collect()
     assert sum(x["recall"] for x in found) / len(found) >= 0.9
     assert CellIndex.build(exact.vectors.limit(0), config).query_batch(queries, 3).count() == 0
+
+
+def test_approximate_path_recalls_at_its_defaults_without_structure(spark):
+    from findery.operators.ann import CellIndex, recall
+
+    r = random.Random(9)
+    rows = [(i, [r.gauss(0, 1) for _ in range(64)]) for i in range(500)]
+    config = HnswConfig(64)
+    exact = VectorIndex.build(vecs(spark, rows), config)
+    queries = vecs(spark, rows[:60]).withColumnRenamed("id", "query_id")
+    found = recall(CellIndex.build(exact.vectors, config).query_batch(queries, 10), exact.query_batch(queries, 10)).collect()
+    assert len(found) == 60 and sum(x["recall"] for x in found) / len(found) >= 0.9
