@@ -2,7 +2,7 @@
 
 Each document's ids (its text by the tokenizers library, then an end id) are cut
 into pieces of the sequence length and one rest. A seeded hash deals the pieces
-to groups whose number follows the corpus; in each group the pieces, longest
+(and so equal rows, too) to groups whose number follows the corpus; in each group the pieces, longest
 first, go to the first sequence with room, which a tournament tree of remaining
 capacities finds in logarithmic time. A group holds about ``GROUP_PIECES``
 pieces whatever the corpus or any one document holds.
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from findery.llm.shared import written
-from findery.llm.vocab import LibraryEncoder, default_path, loaded
+from findery.llm.shared import pieces_of, written
+from findery.llm.vocab import TEXT_BYTES, LibraryEncoder, default_path, loaded
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -73,8 +73,7 @@ def cut_pieces(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(LibraryEncoder, path)
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
+            for part in pieces_of(batch, 1, TEXT_BYTES):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 rows, starts, lengths, checks, totals, ids = [], [], [], [], [], []
                 for row, data in enumerate(encoder.encode_texts(texts)):
@@ -118,7 +117,8 @@ def pack(
     path = vocabulary or default_path(VOCABULARY)
     pieces = written(cut_pieces(documents, path, end_id, length, keep_ids), "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32")).withColumn(
+    # by the row's place in the written table: equal rows, null ids included, spread over all groups
+    dealt = pieces.withColumn("draw", F.xxhash64(F.lit(seed), F.monotonically_increasing_id())).withColumn(
         "grp", F.pmod("draw", F.lit(groups))
     )
 

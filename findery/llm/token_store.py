@@ -33,8 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.llm.shared import delete_path, fresh_path
-from findery.llm.vocab import LibraryEncoder, default_path, loaded
+from findery.llm.shared import delete_path, fresh_path, pieces_of
+from findery.llm.vocab import TEXT_BYTES, LibraryEncoder, default_path, loaded, release
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
@@ -104,8 +104,7 @@ def _encoded(documents: DataFrame, path: str, end_id: int, width: int) -> DataFr
         seen: set[bytes] = set()
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
+            for part in pieces_of(batch, 1, TEXT_BYTES):
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 streams = [data + end for data in encoder.encode_texts(texts)]
                 ids = np.frombuffer(b"".join(streams), dtype="<u4")
@@ -129,7 +128,7 @@ def _encoded(documents: DataFrame, path: str, end_id: int, width: int) -> DataFr
                     lengths.append(sizes)
                     tokens.append(start - begun)
                     roots.append(merkle_root(own))
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 n, m = len(texts), len(chunk_data)
                 yield pa.RecordBatch.from_arrays(
@@ -154,13 +153,14 @@ def _encoded(documents: DataFrame, path: str, end_id: int, width: int) -> DataFr
     return documents.select("doc_id", "text").mapInArrow(encode, schema)
 
 
-def _in_parts(id_type: pa.DataType):
+def _in_parts():
     names = ["kind", "part", "place", "doc_id", "before", "n_tokens", "root", "digests", "lengths", "documents"]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place, before, roots = TaskContext.get().partitionId(), 0, 0, []
+        release()
+        part, place, before, roots, kind = TaskContext.get().partitionId(), 0, 0, [], None
         for batch in batches:
-            n = batch.num_rows
+            n, kind = batch.num_rows, batch.column(0).type
             tokens = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             cumulated = before + np.cumsum(tokens)
             roots += batch.column(2).to_pylist()
@@ -181,12 +181,14 @@ def _in_parts(id_type: pa.DataType):
             )
             place += n
             before = int(cumulated[-1]) if n else before
+        if kind is None:  # no rows, and so no id type either
+            return
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(["part"]),
                 pa.array([part], pa.int32()),
                 pa.nulls(1, pa.int64()),
-                pa.nulls(1, id_type),
+                pa.nulls(1, kind),
                 pa.nulls(1, pa.int64()),
                 pa.array([before], pa.int64()),
                 pa.array([merkle_root(roots)], pa.binary()),
@@ -223,11 +225,10 @@ def write_store(
     )
     recipes = encoded.filter(F.col("kind") == "document").select("doc_id", "n_tokens", "root", "digests", "lengths")
     parts = max(1, -(-recipes.count() // part_documents))
-    arrow_id = pa.int64() if id_type == "bigint" else (pa.int32() if id_type == "int" else pa.string())
     recipes.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "root").sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "root"
     ).mapInArrow(
-        _in_parts(arrow_id),
+        _in_parts(),
         f"kind string, part int, place long, doc_id {id_type}, before long, n_tokens long, root binary, "
         "digests array<binary>, lengths array<int>, documents long",
     ).write.partitionBy("kind").parquet(f"{path}/recipes")
@@ -272,6 +273,7 @@ def _recipes(spark: SparkSession, path: str, id_type: str) -> DataFrame:
     """Recipes whose documents have the root and the length that they say."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for root, digests, lengths, tokens in zip(
                 *(batch.column(i).to_pylist() for i in (5, 6, 7, 4)), strict=True
@@ -311,6 +313,7 @@ def _checked_chunks(spark: SparkSession, path: str, width: int, with_data: bool)
     stored = np.dtype(f"<u{width}")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             crcs, counts = [], []
             for digest, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -380,6 +383,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     manifest, starts = _manifest(spark, path)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             out = []
             for pieces in batch.column(2).to_pylist():

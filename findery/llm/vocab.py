@@ -14,19 +14,31 @@ import unicodedata
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries that one generation of a word cache holds; two generations are kept.
 CACHE_ENTRIES = 500_000
+#: Bytes of texts that are tokenized together, as equal words among them are looked up once.
+TEXT_BYTES = 8 << 20
+#: Characters of the longest chunk that a cache keeps.
+LONGEST = 256
 #: White space to Python's ``str.split`` but not to the tokenizers' patterns.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-#: The word tokenizer's normalizer, and the splitting patterns of both kinds of vocabulary.
+#: White space beyond ASCII's common kinds, and white space other than the space and the line feed.
+RARE_SPACES = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+ODD_SPACES = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: The word tokenizer's normalizer, and its splitting pattern.
 WORD_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
-BYTE_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
+#: Latin letters, then ASCII signs but the apostrophe: two pre-tokens of both kinds of vocabulary.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+
 
 def default_path(name: str) -> str:
     import public_tokenizers
@@ -42,7 +54,7 @@ def byte_alphabet() -> list[str]:
 
 
 class WordCache(dict):
-    """chunk -> value, at most two generations of ``entries`` each."""
+    """chunk -> value, at most two generations of ``entries`` each; chunks over ``LONGEST`` characters aren't kept."""
 
     def __init__(self, make: Callable[[str], object], entries: int = CACHE_ENTRIES):
         super().__init__()
@@ -51,6 +63,8 @@ class WordCache(dict):
         self.old: dict = {}
 
     def __missing__(self, chunk: str):
+        if len(chunk) > LONGEST:
+            return self.make(chunk)
         value = self.old.get(chunk)
         if value is None:
             value = self.make(chunk)
@@ -91,45 +105,41 @@ def normalized(text: str) -> str:
 
 
 class IdCache(dict):
-    """chunk -> ids as bytes, two generations; a chunk that it lacks is noted in ``missing`` and gives no bytes."""
+    """chunk -> ids as bytes, at most two generations of ``entries`` each; chunks over ``LONGEST`` characters aren't kept."""
 
     def __init__(self, entries: int):
         super().__init__()
         self.entries = entries
         self.old: dict[str, bytes] = {}
-        self.missing: list[str] = []
-
-    def __missing__(self, chunk: str) -> bytes:
-        value = self.old.get(chunk)
-        if value is None:
-            self.missing.append(chunk)
-            return b""
-        self.put(chunk, value)
-        return value
-
-    def put(self, chunk: str, value: bytes) -> None:
-        if len(self) >= self.entries:
-            self.old = dict(self)
-            self.clear()
-        self[chunk] = value
 
-    def find(self, chunk: str) -> bytes | None:
-        value = self.get(chunk)
-        return self.old.get(chunk) if value is None else value
+    def of(self, chunks: list[str], make: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        ids = list(map(self.get, chunks))
+        lacked = [i for i, own in enumerate(ids) if own is None]
+        if lacked:
+            new = []
+            for i in lacked:
+                ids[i] = self.old.get(chunks[i])
+                if ids[i] is None:
+                    new.append(i)
+            for i, own in zip(new, make([chunks[i] for i in new]), strict=True):
+                ids[i] = own
+            if len(self) + len(lacked) > self.entries:
+                self.old = dict(self)
+                self.clear()
+            self.update((chunks[i], ids[i]) for i in lacked if len(chunks[i]) <= LONGEST)
+        return ids
 
 
 class LibraryEncoder:
     """Ids by the tokenizers library, as little-endian unsigned 32-bit bytes.
 
-    The library encodes every pre-token that isn't cached, in batches, and every
-    text as a whole that holds a special string or white space that joins chunks.
+    Chunks that aren't cached go to the library: plain words to its model, others
+    in one string with marks between them that are tokens of their own. A text
+    that holds a special string or white space that joins chunks goes as a whole.
     """
 
-    #: Texts whose missing pre-tokens go to the library in one call.
-    STEP = 200
-    ENTRIES = 400_000
-    #: White space other than the space and the line feed.
-    RARE_SPACES = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    ENTRIES = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -142,31 +152,72 @@ class LibraryEncoder:
         self.lower = self.spec["normalizer"] is not None
         if self.lower:
             check_word_spec(self.spec)
-        self.split = regex.compile(WORD_PATTERN if self.lower else BYTE_PATTERN)
-        self.cache = IdCache(self.ENTRIES)  # chunks; of a byte-level vocabulary those after a space, without it
-        self.firsts = IdCache(self.ENTRIES // 8)  # chunks of a byte-level vocabulary that begin a line
-        self.parts = IdCache(self.ENTRIES // 2)
+        self.cache = IdCache(self.ENTRIES)
         self.line_feed = b"" if self.lower else self.encode_one("\n")
+        # white space alone divides the words of the one kind, a line feed is a token of the other
+        self.mark = "\x01" if self.lower else "\n"
+        self.mark_ids = np.frombuffer(self.encode_one(self.mark), dtype="<u4")
+        self.space = byte_alphabet()[ord(" ")]
+        self.alphabet = dict(enumerate(byte_alphabet()))
 
     def encode_one(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def fill(self, cache: IdCache, lead: str) -> bool:
-        """Encodes what ``cache`` was asked for and lacked; whether there was anything."""
-        if not cache.missing:
-            return False
-        split, parts = self.split, self.parts
-        cut = {chunk: split.findall(lead + chunk) for chunk in dict.fromkeys(cache.missing)}
-        cache.missing = []
-        found = {part: parts.find(part) for own in cut.values() for part in own}
-        asked = [part for part, ids in found.items() if ids is None]
-        for part, made in zip(asked, self.tokenizer.encode_batch_fast(asked, add_special_tokens=False), strict=True):
-            ids = array("I", made.ids).tobytes()
-            found[part] = ids
-            parts.put(part, ids)
-        for chunk, own in cut.items():
-            cache.put(chunk, b"".join([found[p] for p in own]))
-        return True
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk of a word vocabulary, or of what follows a space, a line feed or a text's begin."""
+        if self.lower:
+            return self.encode_plain(chunks, "")
+        fresh = [i for i, chunk in enumerate(chunks) if chunk[:1] in ("\n", "\r")]
+        made = self.encode_plain([" " if chunk[:1] in ("\n", "\r") else chunk for chunk in chunks], " ")
+        for i, ids in zip(fresh, self.encode_plain([chunks[i][1:] for i in fresh], ""), strict=True):
+            made[i] = self.line_feed + ids if chunks[i][0] == "\n" else ids
+        return made
+
+    def encode_plain(self, chunks: list[str], lead: str) -> list[bytes]:
+        """The ids of each chunk, after a space with ``lead``.
+
+        Latin letters and the ASCII signs after them are a pre-token each, so the
+        library's model gets them as they are; all other chunks go through the
+        whole tokenizer.
+        """
+        tokenize, space, alphabet, match = self.tokenizer.model.tokenize, self.space if lead else "", self.alphabet, PLAIN.fullmatch
+        known: dict[str, bytes] = {}
+
+        def ids_of(part: str, before: str) -> bytes:
+            ids = known.get(part)
+            if ids is None:
+                mapped = part if part.isascii() else part.encode().decode("latin-1").translate(alphabet)
+                ids = known[part] = array("I", [t.id for t in tokenize(before + mapped)]).tobytes()
+            return ids
+
+        out: list[bytes | None] = []
+        for chunk in chunks:
+            if chunk.isascii() and chunk.isalpha():
+                out.append(ids_of(chunk, space))
+                continue
+            found = match(chunk)
+            if found is None:
+                out.append(None)
+                continue
+            letters, signs = found.groups()
+            out.append(ids_of(letters, space) + ids_of(signs, "") if signs else ids_of(letters, space))
+        other = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(other, self.encode_marked([lead + chunks[i] for i in other]), strict=True):
+            out[i] = ids
+        return out
+
+    def encode_marked(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each chunk by one call of the tokenizer; chunk by chunk where the marks don't divide them."""
+        if not chunks:
+            return []
+        between = f" {self.mark} " if self.lower else self.mark
+        ids = np.array(self.tokenizer.encode_batch_fast([between.join(chunks)], add_special_tokens=False)[0].ids, dtype="<u4")
+        marks = np.flatnonzero(ids == self.mark_ids[0])
+        if len(self.mark_ids) != 1 or len(marks) != len(chunks) - 1:
+            return [self.encode_one(chunk) for chunk in chunks]
+        data = ids.tobytes()
+        ends = (4 * marks).tolist()
+        return [data[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(data)], strict=True)]
 
     def prepared(self, text: str) -> str | None:
         """The text ready to be cut at spaces; None where only the library itself can split it."""
@@ -174,7 +225,7 @@ class LibraryEncoder:
             return None
         if self.lower:
             text = normalized(text)
-            return None if "<|" in text or SEPARATORS.search(text) else text
+            return None if "<|" in text or RARE_SPACES.search(text) else text
         if (
             not text
             or text[0] in " \n"
@@ -183,49 +234,36 @@ class LibraryEncoder:
             or "\n\n" in text
             or " \n" in text
             or "\n " in text
-            or any(map(text.__contains__, self.RARE_SPACES))
+            or ODD_SPACES.search(text)
         ):
             return None
         return text
 
-    def joined(self, text: str) -> bytes:
-        """The ids of a prepared text from the caches."""
-        get = self.cache.__getitem__
-        if self.lower:
-            return b"".join(map(get, text.split()))
-        out = []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            out.append(self.firsts[words[0]])
-            out.extend(map(get, words[1:]))
-            out.append(self.line_feed)
-        out.pop()
-        return b"".join(out)
-
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), self.STEP):
-            ready = [self.prepared(t) for t in texts[i : i + self.STEP]]
-            made, again = [], []
-            for place, (text, own) in enumerate(zip(texts[i : i + self.STEP], ready, strict=True)):
-                if own is None:
-                    made.append(self.encode_one(text))
-                    continue
-                before = len(self.cache.missing) + len(self.firsts.missing)
-                made.append(self.joined(own))
-                if len(self.cache.missing) + len(self.firsts.missing) > before:
-                    again.append(place)
-            if again:
-                self.fill(self.cache, "" if self.lower else " ")
-                self.fill(self.firsts, "")
-            for place in again:
-                made[place] = self.joined(ready[place])
-                if self.cache.missing or self.firsts.missing:  # more chunks than the caches hold
-                    self.cache.missing, self.firsts.missing = [], []
-                    made[place] = self.encode_one(texts[i + place])
-            out.extend(made)
-        return out
+        ready = [self.prepared(t) for t in texts]
+        made = iter(self._joined([t for t in ready if t is not None]))
+        return [self.encode_one(t) if own is None else next(made) for t, own in zip(texts, ready, strict=True)]
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """The ids of prepared texts: those of their distinct chunks, laid out in the order of the texts."""
+        if self.lower:
+            lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+        else:
+            # a chunk says whether it begins a line or the text
+            marked = ["\r" + t.replace("\n", " \n") for t in texts]
+            lists = pc.split_pattern(pa.array(marked, pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        ids = self.cache.of(coded.dictionary.to_pylist(), self.encode_chunks)
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        sizes = np.array([len(own) // 4 for own in ids], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        ends = np.concatenate(([0], np.cumsum(sizes[which])))
+        places = np.repeat(starts[which] - ends[:-1], sizes[which]) + np.arange(ends[-1])
+        data = pool[places].tobytes()
+        bounds = (4 * ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        return [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 class HeapBpe:

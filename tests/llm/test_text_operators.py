@@ -1,5 +1,6 @@
 """Quality rules, token counts, packing, the id store and mixing against plain Python."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ from tokenizers import Tokenizer
 
 from findery.llm import mixing, packing, quality, token_count, token_store
 from findery.llm.shared import delete_path, fresh_path
-from findery.llm.vocab import default_path
+from findery.llm.vocab import LibraryEncoder, default_path
 from tests.llm.conftest import rows
 
 WORDS, BYTES = default_path("word_bpe_49k.json"), default_path("byte_bpe_50k.json")
@@ -132,6 +133,12 @@ def test_packing(documents, empty, nulls):
     assert packing.pack(nulls).count() == 8
 
 
+def test_equal_rows_spread_over_the_groups(spark):
+    df = spark.range(4000).selectExpr("CAST(NULL AS bigint) AS doc_id", "CAST(NULL AS string) AS text")
+    groups = Counter(r.sequence_id >> 32 for r in packing.pack(df, group_pieces=200).collect())
+    assert len(groups) == 20 and max(groups.values()) < 300
+
+
 def test_first_fit_is_first_fit():
     r = np.random.default_rng(1)
     sizes = np.sort(r.integers(1, 65, 300))[::-1]
@@ -210,3 +217,27 @@ def test_mix(documents, empty, nulls, spark):
 def test_targets():
     assert [(s, t) for _, s, _, t in mixing.source_targets([("b", 10), (None, 5), ("a", 1000)])] == [("a", 970.0), ("b", 30.0), (None, 15.0)]
     assert [t for *_, t in mixing.source_targets([("a", 0), ("b", 8)])] == [0.0, 8.0]
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(10,2)", "date", "string", "double"])
+def test_ids_of_other_types(spark, kind):
+    texts = ["one two", "three", None, "", "one two"]
+    df = spark.createDataFrame([(i, t, "z") for i, t in enumerate(texts)], "n int, text string, root string")
+    named = "date_add(date'2020-01-01', n)" if kind == "date" else f"CAST(n AS {kind})"
+    df = df.selectExpr(f"CASE WHEN n = 4 THEN NULL ELSE {named} END AS doc_id", "text", "root")
+    found = sorted(token_store.store_and_read(df).collect(), key=lambda r: r.start)
+    assert [r.doc_id is None for r in found] == [True, False, False, False, False]
+    assert [r.n_tokens for r in found] == [len(x) + 1 for x in encoded(BYTES, ["one two", *texts[:4]])]
+    assert packing.pack(df).count() == 5 and token_count.count_tokens(df).count() == 5
+
+
+def test_odd_texts_get_the_library_s_ids():
+    r = random.Random(3)
+    pool = [*"aBéΣς1.,'_-", "́", "23", "!!", "'s", "don't", " ", "  ", "\n", "\x01", "\x00", "漢字", "🎉", "<|", "|>", "<|endoftext|>", "\t", "\r", "\xa0", "ﬁ", "İ", "x" * 300, " ", "ǅ", "\x1c", "ß.", "naïve&&&"]
+    odd = ["".join(r.choice(pool) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    for path in (WORDS, BYTES):
+        encoder = LibraryEncoder(path)
+        encoder.cache.entries = 50
+        made = [np.frombuffer(x, "<u4").tolist() for i in range(0, len(odd), 700) for x in encoder.encode_texts(odd[i : i + 700])]
+        assert made == encoded(path, odd)
+        assert all(len(chunk) <= 256 for chunk in encoder.cache)
