@@ -15,12 +15,15 @@ def _large_star(edges: DataFrame) -> DataFrame:
     least = written(
         both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")), "least"
     )
-    return (
+    moved = written(
         both.join(least, "u")
         .filter(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("least").alias("v"))
-        .distinct()
+        .distinct(),
+        "large-stars",
     )
+    discard(least)
+    return moved
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,7 +31,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = written(down.groupBy("u").agg(F.min("v").alias("least")), "least")
     moved = down.join(least, "u").filter(F.col("v") > F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))
-    return moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct()
+    found = written(moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct(), "small-stars")
+    discard(least)
+    return found
 
 
 def _sum(edges: DataFrame) -> tuple:
@@ -51,10 +56,14 @@ def components(links: DataFrame) -> DataFrame:
     )
     before = _sum(edges)
     while before[0]:
-        found = written(_small_star(_large_star(edges)), "stars")
+        large = _large_star(edges)
+        found = _small_star(large)
         discard(edges)
+        discard(large)
         edges, now = found, _sum(found)
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    roots._findery_path = edges._findery_path  # for discard
+    return roots

@@ -1,35 +1,36 @@
 """Near-duplicate documents by order MinHash, verified by banded alignment.
 
-Texts are compared as sequences of lower-case words (``\\w+``). Each window of
-``K`` words, labelled with its occurrence number, gets a hash; for each of
-``SKETCHES`` permutations the ``L`` smallest labelled windows are taken and hashed
-in the order in which they stand in the text. Two documents whose sketches
-agree once are candidates. A candidate pair links if the edit distance of the
-word sequences, computed inside a band, is at most ``1 - SIMILARITY`` of the
-longer one. A class is a connected component of links.
-
-An edit breaks at most ``K`` windows, so texts of ``n`` words that link share
-``(1 - 0.2 K) / (1 + 0.2 K)`` of their windows wherever the edits stand: with
-windows of two words 3/7 of them at least, and a sketch agrees with probability
-0.18 (long texts; 0.13 at ten words). All ``SKETCHES`` miss such a pair with
-probability below 0.002 (0.013 at ten words). Texts of up to ``SHORT`` words may
-differ by one edit; they also meet by the text without any one of its words, so
-no link between two of them is lost.
+Texts are compared as sequences of lower-case words (runs of letters, digits and low lines). Each window of
+``k`` words, labelled with its occurrence number, gets a hash; for each of a
+number of permutations the ``L`` smallest labelled windows are taken and hashed in
+the order in which they stand in the text. Two documents with an equal sketch are
+candidates. A candidate pair links if the edit distance of the word sequences,
+computed inside a band, is at most ``1 - SIMILARITY`` of the longer one. A class
+is a connected component of links.
+
+An edit breaks at most ``k`` windows, so of texts that link ``(1 - 0.2 k)`` of the
+longer one's windows stay wherever the edits stand. Windows of five words leave
+nothing where every fifth word differs, so windows are shorter: two words in texts
+of up to ``FEW`` words (32 sketches), three in longer ones (48). Texts from
+``0.8 FEW`` to ``FEW`` words have both kinds, as a pair may stand on either side.
+Texts of up to ``SHORT`` words may differ by one edit; they also meet by the text
+without any one of its words, so no link between two of them is lost.
 
 Documents with the same words are one node. In a bucket of equal sketches every
-document is first aligned with the bucket's smallest node. Only buckets that
-still hold several components are then searched for links between them, all
-pairs of components included, in blocks of bounded size after two exact filters
-(length, and words in common): so no link that joins two classes is lost within
-a bucket, and thousands of near copies cost one alignment each, not one for a
-pair. The same filters come before the first alignment.
+node is first aligned with the bucket's smallest node. Only buckets that still
+hold several components are then searched for links between them, all pairs of
+components included, in blocks of bounded size after two exact filters (length,
+and words in common): so no link that joins two classes is lost within a bucket,
+and thousands of near copies cost one alignment each, not one for a pair. The
+same filters come before the first alignment.
 
 Defined results: null texts and texts without any character but white space are
 alone in their class and kept; texts of fewer than five words have no edit to
-spare, so they link only if all their words agree; a class takes the smallest ``doc_id``
-in it, rows that repeat a ``doc_id`` share its verdict; a null ``doc_id`` is never
-the name of a class unless it has no other, and then all its rows are kept;
-texts of any length are compared whole; an empty table gives an empty table.
+spare, so they link only if all their words agree; a class takes the smallest
+``doc_id`` in it, null only if it has no other; every row with its class's id is
+``kept``, so rows that repeat an id in one class share the verdict, and in different
+classes each has its own; texts of any length are compared whole; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -50,17 +51,23 @@ from findery.llm.graph import components
 from findery.llm.shared import discard, written
 from findery.llm.vocab import release
 
-K = 2
+#: Windows of a sketch.
 L = 2
-SKETCHES = 32
+#: Words of a window and sketches of texts of up to ``FEW`` words, and of longer ones.
+FEW = 100
+FEW_K, FEW_SKETCHES = 2, 32
+MANY_K, MANY_SKETCHES = 3, 48
 SIMILARITY = 0.8
 #: Words up to which one edit is all that ``SIMILARITY`` allows.
 SHORT = 9
-#: Documents of a bucket that one side of a block holds, and bins of the filter by words in common.
-BLOCK = 512
+#: Members that are aligned with one leader in one task, and nodes of a mixed bucket on one side of a block.
+BLOCK = 1024
+#: Bins of the filter by words in common.
 BINS = 1024
 #: Windows up to which all permutations are computed at once.
 AT_ONCE = 50_000
+#: Contents that a task remembers, so that copies don't carry their sketches and words along.
+REMEMBERED = 200_000
 _WORD = re.compile(r"\w+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _FINISH = np.uint64(0xBF58476D1CE4E5B9)
@@ -83,7 +90,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(27))
 
 
-def labelled_windows(codes: np.ndarray, k: int = K) -> np.ndarray:
+def labelled_windows(codes: np.ndarray, k: int) -> np.ndarray:
     """A hash of every window of ``k`` words and its occurrence number; one window for shorter texts."""
     n = len(codes) - k + 1
     words = codes.astype(np.uint64)
@@ -104,11 +111,11 @@ def labelled_windows(codes: np.ndarray, k: int = K) -> np.ndarray:
     return _mixed(h + occurrence * _MULTIPLY)
 
 
-def sketches(codes: np.ndarray, k: int = K, count: int = SKETCHES, least: int = L) -> np.ndarray:
+def sketches(codes: np.ndarray, k: int, count: int, least: int = L) -> np.ndarray:
     """Order-MinHash sketches: hashes of the ``least`` smallest windows of each permutation, in text order."""
     h = labelled_windows(codes, k)
     least = min(least, len(h))
-    seeds = _mixed(np.arange(1, count + 1, dtype=np.uint64) * _MULTIPLY)
+    seeds = _mixed(np.arange(1 + 1000 * k, count + 1 + 1000 * k, dtype=np.uint64) * _MULTIPLY)
     out = np.zeros(count, dtype=np.uint64)
     step = count if len(h) <= AT_ONCE else 1
     for first in range(0, count, step):
@@ -128,6 +135,16 @@ def sketches(codes: np.ndarray, k: int = K, count: int = SKETCHES, least: int =
     return out.view(np.int64)
 
 
+def buckets(codes: np.ndarray) -> np.ndarray:
+    """All the buckets that a text falls into."""
+    n, found = len(codes), []
+    if n <= FEW:
+        found += [short_marks(codes), sketches(codes, FEW_K, FEW_SKETCHES)]
+    if n >= SIMILARITY * FEW:
+        found.append(sketches(codes, MANY_K, MANY_SKETCHES))
+    return np.concatenate(found)
+
+
 def short_marks(codes: np.ndarray) -> np.ndarray:
     """Hashes of a short text and of it without each one of its words: texts one edit apart share one."""
     n = len(codes)
@@ -143,7 +160,7 @@ def allowed_edits(n: int, m: int, similarity: float = SIMILARITY) -> int:
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Whether two word sequences have an edit similarity of at least ``similarity``."""
+    """Whether two sequences of word numbers have an edit similarity of at least ``similarity``."""
     return banded_distance(a.tolist(), b.tolist(), allowed_edits(len(a), len(b), similarity)) is not None
 
 
@@ -156,222 +173,279 @@ def may_be_alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -
     return bool(common >= longest - most)
 
 
+class _Codes(dict):
+    """Numbers words as they come, so that equal numbers are equal words."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+    def of(self, packed: bytes) -> np.ndarray:
+        words = unpacked(packed)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def packed(joined: bytes) -> bytes:
+    """Words with spaces between, compressed, after their size."""
+    return len(joined).to_bytes(8, "little") + pa.compress(joined, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> list[bytes]:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True).split(b" ")
+
+
 def _prepared(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        seen: set[bytes] = set()
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
-                contents, marks, shorts, sizes, payloads = [], [], [], [], []
-                for text in part.column(1).to_pylist():
+                rows = []
+                for text in part.column(2).to_pylist():
                     words = words_of(text)
                     if not words:
-                        contents.append(None)
-                        marks.append(None)
-                        shorts.append(None)
-                        sizes.append(None)
-                        payloads.append(None)
+                        rows.append((None, None, None, None))
                         continue
-                    codes = word_codes(words)
                     joined = " ".join(words).encode("utf-8", "surrogatepass")
-                    contents.append(hashlib.blake2b(joined, digest_size=16).digest())
-                    marks.append(sketches(codes))
-                    shorts.append(short_marks(codes))
-                    sizes.append(len(codes))
-                    payloads.append(codes.astype("<u4").tobytes())
+                    content = hashlib.blake2b(joined, digest_size=16).digest()
+                    if content in seen:
+                        rows.append((content, None, None, None))
+                        continue
+                    seen.add(content)
+                    codes = word_codes(words)
+                    rows.append((content, buckets(codes), len(codes), packed(joined)))
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                kinds = [pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+                columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array(contents, pa.binary()),
-                        pa.array(marks, pa.list_(pa.int64())),
-                        pa.array(shorts, pa.list_(pa.int64())),
-                        pa.array(sizes, pa.int32()),
-                        pa.array(payloads, pa.binary()),
-                    ],
-                    ["doc_id", "content", "marks", "shorts", "size", "words"],
+                    [part.column(0), part.column(1), *columns], ["doc_id", "digest", "content", "marks", "size", "words"]
                 )
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {id_type}, content binary, marks array<long>, shorts array<long>, size int, words binary"
+    return documents.select("doc_id", _digest().alias("digest"), "text").mapInArrow(
+        run, f"doc_id {id_type}, digest binary, content binary, marks array<long>, size int, words binary"
     )
 
 
-def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``u, v`` whose words ``a, b`` align."""
+def _digest():
+    """Sixteen bytes that stand for a text as it is written, null for null."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
+
+
+def _verified(stars: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``leader, node`` of ``stars`` whose words align, as ``u, v``.
+
+    The words of a leader travel once for each ``BLOCK`` members, not for each pair.
+    """
+    hot = stars.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK)
+    hot = hot.select(F.col("leader").alias("hot"), F.ceil(F.col("n") / BLOCK).alias("slots"))
+    slot = F.coalesce(F.pmod(F.xxhash64("node"), F.col("slots")), F.lit(0)).cast("int")
+    dealt = stars.join(hot, F.col("leader") == F.col("hot"), "left").select("leader", slot.alias("slot"), "node")
+    heads = dealt.select("leader", "slot").distinct()
+    asked = dealt.select("leader", "slot", F.lit(True).alias("member"), F.col("node").alias("want")).unionByName(
+        heads.select("leader", "slot", F.lit(False).alias("member"), F.col("leader").alias("want"))
+    )
+    sent = asked.join(nodes.select(F.col("node").alias("want"), "words"), "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by leader and slot, the leader's own words first."""
+        codes, leader, words = _Codes(), None, None
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
-                keep = []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                    keep.append(may_be_alike(a, b, similarity) and alike(a, b, similarity))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(
-                    pa.array(keep, pa.bool_())
-                )
+                found: tuple[list, list] = ([], [])
+                for own, member, node, data in zip(*(part.column(i).to_pylist() for i in (0, 2, 3, 4)), strict=True):
+                    if not member:
+                        if len(codes) > 1_000_000:
+                            codes.clear()
+                        leader, words = own, codes.of(data)
+                        continue
+                    other = codes.of(data)
+                    if may_be_alike(words, other, similarity) and alike(words, other, similarity):
+                        found[0].append(leader)
+                        found[1].append(node)
+                yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], ["u", "v"])
 
-    return pairs.mapInArrow(run, "u binary, v binary")
+    return (
+        sent.repartition("leader", "slot")
+        .sortWithinPartitions("leader", "slot", "member")
+        .select("leader", "slot", "member", "want", "words")
+        .mapInArrow(run, "u long, v long")
+    )
 
 
 def _between_components(similarity: float):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         """Links between different components of one block or of two; at most one for each two that meet."""
-        words = [np.frombuffer(w, "<u4") for w in f["words"]]
-        sizes = np.array([len(w) for w in words])
+        codes = _Codes()
+        f = f.assign(codes=[codes.of(w) for w in f["words"]])
+        f = f.assign(length=f["codes"].map(len)).sort_values("length", kind="stable")
+        words, sizes = f["codes"].tolist(), f["length"].to_numpy()
         bins = np.stack([np.bincount(w % BINS, minlength=BINS) for w in words]).astype(np.int32)
-        contents, slots = f["content"].tolist(), f["slot"].to_numpy()
+        nodes, slots = f["node"].tolist(), f["slot"].to_numpy()
         cross = bool(f["cross"].iloc[0])
-        parent: dict[bytes, bytes] = {}
+        roots = f["root"].to_numpy()
+        parent: dict[int, int] = {}
 
-        def root(x: bytes) -> bytes:
+        def root(x: int) -> int:
             while parent.get(x, x) != x:
                 x = parent[x]
             return x
 
-        labels = f["root"].tolist()
         links = []
-        for i in range(len(f) - 1):
-            rest = np.arange(i + 1, len(f))
+        # by length, so that those within reach of a text are a run
+        most = (sizes * (1 - similarity) + 1e-9).astype(np.int64)
+        lows = np.searchsorted(sizes, sizes - most)
+        for i in range(1, len(f)):
+            rest = np.arange(lows[i], i)
+            rest = rest[roots[rest] != roots[i]]
             if cross:
                 rest = rest[slots[rest] != slots[i]]
-            longest = np.maximum(sizes[rest], sizes[i])
-            most = (longest * (1 - similarity) + 1e-9).astype(np.int64)
-            rest = rest[np.abs(sizes[rest] - sizes[i]) <= most]
-            if not len(rest):
-                continue
-            longest = np.maximum(sizes[rest], sizes[i])
-            most = (longest * (1 - similarity) + 1e-9).astype(np.int64)
             # an edit leaves all but one word in common, so fewer common words mean too many edits
-            rest = rest[np.minimum(bins[rest], bins[i]).sum(axis=1) >= longest - most]
+            rest = rest[np.minimum(bins[rest], bins[i]).sum(axis=1) >= sizes[i] - most[i]]
             for j in rest.tolist():
-                a, b = root(labels[i]), root(labels[j])
+                a, b = root(int(roots[i])), root(int(roots[j]))
                 if a != b and alike(words[i], words[j], similarity):
                     parent[max(a, b)] = min(a, b)
-                    links.append((contents[i], contents[j]))
+                    links.append((nodes[i], nodes[j]))
         return pd.DataFrame(links, columns=["u", "v"])
 
     return run
 
 
-def near_groups(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, kept`` of every row: the smallest ``doc_id`` of its class, and whether it is that one."""
+def _verdicts(documents: DataFrame, similarity: float) -> DataFrame:
+    """``doc_id, digest, blank, least`` of every row: the first id and text of its class, null for blank texts."""
     prepared = written(_prepared(documents), "near-prepared")
-    rows = written(prepared.select("doc_id", "content"), "near-rows")
+    rows = written(prepared.select("doc_id", "digest", "content"), "near-rows")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    # numbered once in a written table: fewer bytes than a digest for each bucket
     nodes = written(
         prepared.filter(F.col("content").isNotNull())
         .groupBy("content")
-        .agg(
-            F.min("doc_id").alias("least_id"),
-            F.first("marks").alias("marks"),
-            F.first("shorts").alias("shorts"),
-            F.first("size").alias("size"),
-        ),
+        .agg(F.min(row).alias("least"), *[F.first(c, ignorenulls=True).alias(c) for c in ("marks", "size", "words")])
+        .withColumn("node", F.monotonically_increasing_id()),
         "near-nodes",
     )
-    keys = F.concat(
-        F.transform("marks", lambda mark, at: F.xxhash64(at, mark)),
-        F.transform("shorts", lambda mark: F.xxhash64(F.lit(-1), mark)),
-    )
-    marks = nodes.select("content", "size", F.explode(keys).alias("bucket"))
+    discard(prepared)
+    marks = nodes.select("node", "size", F.explode("marks").alias("bucket"))
     # aggregates are written before they are joined back, so that the joins can split a common bucket or class
     leaders = written(
         marks.groupBy("bucket")
-        .agg(F.min(F.struct("content", "size")).alias("least"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("bucket", F.col("least.content").alias("leader"), F.col("least.size").alias("leader_size"), "n"),
+        .agg(F.min("node").alias("leader"), F.min_by("size", "node").alias("leader_size"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1"),
         "near-leaders",
     )
     members = written(marks.join(leaders, "bucket"), "near-members")
-    candidates = members.select("content").distinct()
-    words = written(
-        prepared.select("content", "words")
-        .join(candidates, "content", "left_semi")
-        .groupBy("content")
-        .agg(F.first("words").alias("words")),
-        "near-words",
-    )
-    discard(prepared)
+    discard(leaders)
     longest = F.greatest("size", "leader_size")
     in_reach = F.abs(F.col("size") - F.col("leader_size")) <= F.floor(longest * (1 - similarity) + 1e-9)
-    stars = (
-        members.filter(F.col("content") != F.col("leader")).filter(in_reach).select("leader", "content").distinct()
-    )
-    pairs = (
-        stars.join(words.select(F.col("content").alias("leader"), F.col("words").alias("a")), "leader")
-        .join(words.select("content", F.col("words").alias("b")), "content")
-        .select("leader", "content", "a", "b")
+    stars = written(
+        members.filter(F.col("node") != F.col("leader")).filter(in_reach).select("leader", "node").distinct(), "near-stars"
     )
-    links = written(_verified(pairs, similarity), "near-links")
+    links = written(_verified(stars, nodes, similarity), "near-links")
+    discard(stars)
     roots = components(links)
-    placed = members.join(roots, members["content"] == roots["node"], "left").select(
-        "bucket", "content", "n", F.coalesce("root", "content").alias("root")
+    # buckets of two have had their only pair aligned
+    placed = written(
+        members.filter("n > 2")
+        .select("bucket", F.col("node").alias("own"), "n")
+        .join(roots, F.col("own") == F.col("node"), "left")
+        .select("bucket", F.col("own").alias("node"), "n", F.coalesce("root", "own").alias("root")),
+        "near-placed",
     )
-    # buckets of two have had their only pair aligned; buckets of equal members are searched once
-    mixed = (
-        placed.filter("n > 2")
-        .groupBy("bucket", "n")
+    discard(members)
+    # buckets of equal members are searched once
+    mixed = written(
+        placed.groupBy("bucket")
         .agg(
+            F.first("n").alias("n"),
             F.min("root").alias("low"),
             F.max("root").alias("high"),
-            F.bit_xor(F.xxhash64("content")).alias("x1"),
-            F.bit_xor(F.xxhash64(F.lit(7), "content")).alias("x2"),
+            F.bit_xor(F.xxhash64("node")).alias("x1"),
+            F.bit_xor(F.xxhash64(F.lit(7), "node")).alias("x2"),
         )
         .filter("low <> high")
         .groupBy("n", "x1", "x2")
         .agg(F.min("bucket").alias("bucket"))
-        .select("bucket")
+        .select("bucket"),
+        "near-mixed",
     )
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    open_rows = (
-        placed.join(mixed, "bucket")
-        .withColumn("blocks", blocks)
-        .withColumn("slot", F.pmod(F.xxhash64(F.lit(3), "content"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "bucket",
-            F.least("slot", "other").alias("low"),
-            F.greatest("slot", "other").alias("high"),
-            "content",
-            "root",
-            "slot",
-            (F.col("slot") != F.col("other")).alias("moved"),
+    if not mixed.isEmpty():
+        open_rows = (
+            placed.join(mixed, "bucket")
+            .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+            .withColumn("slot", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select(
+                "bucket",
+                F.least("slot", "other").alias("low"),
+                F.greatest("slot", "other").alias("high"),
+                "node",
+                "root",
+                "slot",
+            )
+            .withColumn("cross", F.col("low") != F.col("high"))
+            .join(nodes.select("node", "words"), "node")
         )
-        .withColumn("cross", F.col("low") != F.col("high"))
-        .join(words, "content")
-    )
-    more = written(
-        open_rows.groupBy("bucket", "low", "high").applyInPandas(_between_components(similarity), "u binary, v binary"),
-        "near-more",
-    )
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        more = written(
+            open_rows.groupBy("bucket", "low", "high").applyInPandas(_between_components(similarity), "u long, v long"),
+            "near-more",
+        )
+        if not more.isEmpty():
+            before = roots
+            roots = components(links.unionByName(more))
+            discard(before)
+        discard(more)
+    for table in (placed, mixed, links):
+        discard(table)
     classes = written(
-        nodes.select("content", "least_id")
-        .join(roots, nodes["content"] == roots["node"], "left")
-        .select("content", "least_id", F.coalesce("root", "content").alias("root")),
+        nodes.select("content", "least", F.col("node").alias("own"))
+        .join(roots, F.col("own") == F.col("node"), "left")
+        .select("content", "least", F.coalesce("root", "own").alias("root")),
         "near-classes",
     )
-    named = written(classes.groupBy("root").agg(F.min("least_id").alias("class_id")), "near-named")
-    verdict = classes.join(named, "root").select(F.col("content").alias("node"), "class_id")
-    alone = F.col("content").isNull()
+    discard(nodes)
+    discard(roots)
+    named = written(classes.groupBy("root").agg(F.min("least").alias("class_least")), "near-named")
+    verdict = classes.join(named, "root").select(F.col("content").alias("of"), F.col("class_least").alias("least"))
+    return rows.join(verdict, F.col("content") == F.col("of"), "left").select(
+        "doc_id", "digest", F.col("content").isNull().alias("blank"), "least"
+    )
+
+
+def near_groups(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, class_id, kept`` of every row: the smallest ``doc_id`` of its class, and whether it is that one."""
+    class_id = F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("least.doc_id"))
     return (
-        rows.join(verdict, rows["content"] == verdict["node"], "left")
-        .select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+        _verdicts(documents, similarity)
+        .select("doc_id", class_id.alias("class_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
     )
 
 
 def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that name their class, all columns as they were; rows equal in ``doc_id`` and text once."""
-    verdicts = written(near_groups(documents, similarity), "near-verdicts").filter("kept").select("doc_id")
-    names = verdicts.distinct()
-    counts = verdicts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    named = names.withColumnRenamed("doc_id", "kept_id")
-    if counts["n"] == counts["d"]:
-        return documents.join(named, documents["doc_id"] == named["kept_id"], "left_semi")
-    # ids are null or repeated
-    return documents.join(named, documents["doc_id"].eqNullSafe(named["kept_id"]), "left_semi").dropDuplicates(
-        ["doc_id", "text"]
+    """One row of each class with all its columns as they were, and every blank row.
+
+    That row has the class's smallest ``doc_id`` (null last), of several texts
+    under that id the one with the smallest digest, and of rows equal in both any one.
+    """
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & F.col("digest").eqNullSafe(F.col("least.digest"))
+    verdicts = written(
+        _verdicts(documents, similarity).select("doc_id", "digest", "blank", (F.col("blank") | first).alias("stays")),
+        "near-verdicts",
+    )
+    stay = verdicts.filter("stays")
+    ids = verdicts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    if ids["n"] == ids["d"]:
+        named = stay.select(F.col("doc_id").alias("kept_id"))
+        return documents.join(named, documents["doc_id"] == F.col("kept_id"), "left_semi")
+    # ids are null or repeated: rows are told apart by their texts, too
+    named = stay.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"), "blank").distinct()
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").alias("own_id"), _digest().alias("own_digest"))
+    found = whole.join(
+        named, F.col("own_id").eqNullSafe(F.col("kept_id")) & F.col("own_digest").eqNullSafe(F.col("kept_digest"))
     )
+    once = found.filter(~F.col("blank")).dropDuplicates(["own_id", "own_digest"])
+    return found.filter("blank").unionByName(once).select("row.*")
