@@ -6,20 +6,26 @@ corpus, every such string has an anchor that its bytes alone determine: the
 smallest (leftmost of equals) hash of ``GRAM`` bytes in it. The strings that share
 an anchor form one context, a few hundred bytes, and only contexts whose
 anchor's hash stands twice or more in the corpus go on. Equal contexts are
-counted before the shuffle. The contexts of an anchor hash meet in one task,
-which puts their suffixes in order by prefix doubling and finds with previous and
-next smaller positions whether an equal string stands earlier (a longest
-previous factor of ``LENGTH``) or, on reversed positions, later.
+counted before the shuffle, and their bytes travel once.
+
+The contexts of an anchor hash meet in one task. Equal strings lie at equal
+distances from their anchors, so the suffixes of all contexts are put in suffix
+order column by column: those that start at the anchor are sorted, and each
+column further left follows from the one before by a stable sort on one byte,
+with the common prefixes of neighbours. In that order the previous and the next
+smaller position give a suffix's longest previous factor. A factor of ``LENGTH``
+says that the string stands earlier; on reversed positions, that it stands later.
 
 An anchor with more than ``GROUP`` different contexts is dealt again by a part of
 its strings' offsets and the bytes common to them, until each share is small or
 holds one string only; so no passage, however common, fills one task.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` lose nothing;
-rows equal in text are copies, so each loses all strings (``remove="all"``) or
-all but the smallest ``doc_id``'s stay untouched (``remove="later"``; of rows that
-share id and text, each is a first copy); an empty table gives an empty table.
-Texts of any length are searched whole.
+rows equal in text are copies, so each loses all strings (``repeated_bytes``) or
+all but those of the smallest ``doc_id`` stay untouched (``keep_first_copies``; rows
+that share id and text are first copies each, and a null id comes after all
+others); ids may be of any type that has an order; an empty table gives an empty
+table. Texts of any length are searched whole.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findery.llm.shared import discard, written
@@ -40,8 +46,10 @@ GRAM = 50
 #: Different contexts of one anchor hash that are solved together.
 GROUP = 2000
 #: Bytes of contexts that one suffix order takes, and of text that one pass of anchors takes.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 4 << 20
 SEGMENT = 1 << 19
+#: Texts that a task remembers, so that copies don't carry their anchors and bytes along.
+REMEMBERED = 200_000
 _POSITION = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
@@ -101,85 +109,99 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     return tuple(np.concatenate([f[i] for f in found]) for i in range(4))
 
 
-def prefix_ranks(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Ranks of all ``length``-byte substrings in lexicographic order, by prefix doubling.
+def _previous(positions: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest common prefix of each suffix, in suffix order, with the nearest before it that has a smaller position.
 
-    The last ``length - 1`` positions have none.
+    ``common`` is each suffix's common prefix with the one before; 0 where there is no smaller position.
     """
-    n = len(data) - 7
-    keys = np.zeros(n, dtype=np.uint64)
-    for i in range(8):
-        keys = (keys << np.uint64(8)) | data[i : n + i].astype(np.uint64)
-    ranks = np.unique(keys, return_inverse=True)[1]
-    span = 8
-    while span < length:
-        step = min(span, length - span)
-        pair = (ranks[: len(ranks) - step].astype(np.uint64) << np.uint64(32)) | ranks[step:].astype(np.uint64)
-        ranks = np.unique(pair, return_inverse=True)[1]
-        span += step
-    return ranks
-
-
-def _smaller(positions: np.ndarray, previous: bool) -> np.ndarray:
-    """Index of the nearest smaller position before (or after) each one in suffix order, -1 for none."""
-    n = len(positions)
-    if not previous:
-        back = _smaller(positions[::-1], True)[::-1]
-        return np.where(back < 0, -1, n - 1 - back)
-    link = np.arange(n) - 1
-    open_ = np.flatnonzero(link >= 0)
+    link = np.arange(len(positions)) - 1
+    reach = common.copy()
+    open_ = np.flatnonzero((link >= 0) & (reach > 0))
     while len(open_):
         open_ = open_[positions[link[open_]] > positions[open_]]
-        link[open_] = link[link[open_]]
-        open_ = open_[link[open_] >= 0]
-    return link
+        over = link[open_]
+        reach[open_] = np.minimum(reach[open_], reach[over])
+        link[open_] = link[over]
+        ended = link[open_] < 0
+        reach[open_[ended]] = 0
+        open_ = open_[~ended & (reach[open_] > 0)]
+    return reach
+
 
+def previous_factors(positions: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Longest previous factors of suffixes in suffix order: the longer match of previous and next smaller position."""
+    if not len(positions):
+        return common.copy()
+    behind = np.concatenate((common[1:], [0]))[::-1]
+    return np.maximum(_previous(positions, np.concatenate(([0], common[1:]))), _previous(positions[::-1], behind)[::-1])
 
-def previous_factor(classes: np.ndarray, positions: np.ndarray) -> np.ndarray:
-    """For substrings at ``positions`` with equal ones in equal ``classes``: whether one stands at a smaller position.
 
-    That is a longest-previous-factor value of the substrings' length: in suffix
-    order, a position's longest earlier match is with its previous or its next
-    smaller position.
+def columns_in_suffix_order(groups: np.ndarray, contexts: list[bytes], anchors_at: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(offset, order, common)`` of the suffixes that start ``offset`` bytes before their context's anchor.
+
+    ``order`` are context numbers, by group and then by suffix; ``common`` is the
+    length that a suffix shares with the one before in its group, 0 for a group's first.
     """
-    order = np.lexsort((positions, classes))
-    at, group = positions[order], classes[order]
-    earlier = np.zeros(len(order), dtype=bool)
-    for previous in (True, False):
-        near = _smaller(at, previous)
-        earlier |= (near >= 0) & (group[near] == group)
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = earlier
+    n = len(contexts)
+    right = [c[a:] for c, a in zip(contexts, anchors_at, strict=True)]
+    at, sizes = np.array(anchors_at, dtype=np.int64), np.array([len(r) for r in right])
+    numbers = groups.tolist()
+    order = np.array(sorted(range(n), key=lambda i: (numbers[i], right[i])), dtype=np.int64)
+    # the bytes from the anchor on, and those before it from the anchor leftwards
+    ahead = _matrix(right, int(sizes.max(initial=0)))
+    before = _matrix([c[:a][::-1] for c, a in zip(contexts, anchors_at, strict=True)], int(at.max(initial=0)))
+    x, y = order[:-1], order[1:]
+    differ = ahead[x] != ahead[y]
+    alike = np.where(differ.any(axis=1), differ.argmax(axis=1), ahead.shape[1])
+    common = np.zeros(n, dtype=np.int64)
+    common[1:] = np.where(groups[x] == groups[y], np.minimum(alike, np.minimum(sizes[x], sizes[y])), 0)
+    yield 0, order, common
+    for offset in range(1, int(at.max(initial=0)) + 1):
+        stay = at[order] >= offset
+        if not stay.all():
+            kept = np.flatnonzero(stay)
+            if len(kept) > 1:
+                low = np.minimum.reduceat(common[: kept[-1] + 1], kept[:-1] + 1)
+                common = np.concatenate(([0], low))
+            else:
+                common = np.zeros(len(kept), dtype=np.int64)
+            order = order[kept]
+        keys = groups[order] << 8 | before[order, offset - 1]
+        new = np.zeros(len(order), dtype=np.int64)
+        if (keys[1:] >= keys[:-1]).all():
+            new[1:] = np.where(keys[1:] == keys[:-1], common[1:] + 1, 0)
+        else:
+            place = np.argsort(keys, kind="stable")
+            order, keys = order[place], keys[place]
+            same = np.flatnonzero(keys[1:] == keys[:-1])
+            # the least common prefix between two suffixes of the column before
+            spans = np.stack([place[same] + 1, place[same + 1] + 1], axis=1).ravel()
+            if len(spans):
+                new[same + 1] = np.minimum.reduceat(np.append(common, 0), spans)[::2] + 1
+        common = new
+        yield offset, order, common
+
+
+def _matrix(rows: list[bytes], width: int) -> np.ndarray:
+    out = np.zeros((len(rows), max(1, width)), dtype=np.uint8)
+    sizes = np.array([len(r) for r in rows], dtype=np.int64)
+    flat = np.frombuffer(b"".join(rows), dtype=np.uint8)
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    out[owner, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
 def longest_previous_factors(data: bytes) -> list[int]:
-    """The whole longest-previous-factor array of one text (suffix array, common prefixes, smaller positions)."""
+    """The whole longest-previous-factor array of one text, by the same arrays as the columns'."""
     n = len(data)
     order = sorted(range(n), key=lambda i: data[i:])
-    common = [0] * n  # with the suffix before in order
-    place = {p: r for r, p in enumerate(order)}
-    h = 0
-    for i in range(n):
-        r = place[i]
-        if r:
-            j = order[r - 1]
-            while i + h < n and j + h < n and data[i + h] == data[j + h]:
-                h += 1
-            common[r] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    positions = np.array(order, dtype=np.int64)
-    before, after = _smaller(positions, True), _smaller(positions, False)
+    common = [0] * n
+    for r in range(1, n):
+        a, b = data[order[r - 1] :], data[order[r] :]
+        common[r] = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
     out = [0] * n
-    for r, p in enumerate(order):
-        lengths = [0]
-        if before[r] >= 0:
-            lengths.append(min(common[before[r] + 1 : r + 1]))
-        if after[r] >= 0:
-            lengths.append(min(common[r + 1 : after[r] + 1]))
-        out[p] = max(lengths)
+    for p, length in zip(order, previous_factors(np.array(order, dtype=np.int64), np.array(common, dtype=np.int64)).tolist(), strict=True):
+        out[p] = length
     return out
 
 
@@ -194,24 +216,39 @@ def _runs(mask: np.ndarray, length: int) -> list[int]:
     return np.stack([begins, ends], axis=1).ravel().tolist()
 
 
-def _solve(groups: list, contexts: list[bytes], counts: list[int], length: int) -> tuple[list[list[int]], list[list[int]]]:
-    """For each context, the spans of its repeated strings, and of those with an equal one in an earlier context."""
-    data = np.frombuffer(b"".join(contexts) + bytes(length), dtype=np.uint8)
-    sizes = np.array([len(c) for c in contexts])
-    starts = np.cumsum(sizes) - sizes
-    strings = np.maximum(0, sizes - length + 1)
-    owner = np.repeat(np.arange(len(contexts)), strings)
-    within = np.arange(len(owner)) - np.repeat(np.cumsum(strings) - strings, strings)
-    positions = starts[owner] + within
-    ranks = prefix_ranks(data, length)[positions]
-    group = np.unique(np.array(groups), return_inverse=True)[1][owner]
-    classes = group.astype(np.int64) << 32 | ranks
-    earlier = previous_factor(classes, positions)
-    later = previous_factor(classes, len(data) - positions)
-    repeated = earlier | later | (np.array(counts)[owner] > 1)
-    ends = np.cumsum(strings)
-    every = [_runs(repeated[e - n : e], length) for n, e in zip(strings, ends, strict=True)]
-    first = [_runs(earlier[e - n : e], length) for n, e in zip(strings, ends, strict=True)]
+def _solve(
+    groups: list, contexts: list[bytes], anchors_at: list[int], counts: list[int], length: int, later: bool
+) -> tuple[list[list[int]], list[list[int]]]:
+    """For each context, the spans of its repeated strings, and of those with an equal one in an earlier context.
+
+    Contexts come by group and in the order that earlier means. Without
+    ``later``, the first are those of contexts that stand twice or more only.
+    """
+    n = len(contexts)
+    fresh = [i == 0 or groups[i] != groups[i - 1] for i in range(n)]
+    numbers = np.cumsum(fresh).astype(np.int64)
+    width = max(anchors_at, default=0) + 1
+    early, late = np.zeros((n, width), dtype=bool), np.zeros((n, width), dtype=bool)
+    for offset, order, common in columns_in_suffix_order(numbers, contexts, anchors_at):
+        # only neighbours that share a whole string can have a factor of that length
+        near = common >= length
+        if not near.any():
+            continue
+        some = near.copy()
+        some[:-1] |= near[1:]
+        own, shared = order[some], np.where(near, common, 0)[some]
+        early[own, offset] = previous_factors(own, shared) >= length
+        if later:
+            late[own, offset] = previous_factors(-own, shared) >= length
+    marked = early | late
+    any_early, any_marked = early.any(axis=1).tolist(), marked.any(axis=1).tolist()
+    every, first = [], []
+    for i, (context, at) in enumerate(zip(contexts, anchors_at, strict=True)):
+        if counts[i] > 1:
+            every.append([0, len(context)])
+        else:
+            every.append(_runs(marked[i, at::-1], length) if any_marked[i] else [])
+        first.append(_runs(early[i, at::-1], length) if any_early[i] else [])
     return every, first
 
 
@@ -219,58 +256,51 @@ def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+def _key(context: bytes, anchor: int) -> bytes:
+    return hashlib.blake2b(context + anchor.to_bytes(4, "little"), digest_size=8).digest()
+
+
+def packed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+_PLACES = [("hash", pa.int64()), ("key", pa.int64()), ("anchor", pa.int32()), ("low", pa.int32()), ("high", pa.int32())]
+
+
 def _with_anchors(length: int, gram: int):
+    """Facts of each row, and for the first of equal texts in a task its packed bytes and its anchors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        seen: set[bytes] = set()
         for batch in batches:
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
                 rows = []
                 for text in part.column(1).to_pylist():
                     raw = (text or "").encode("utf-8", "surrogatepass")
+                    content, sha = _digest(raw), hashlib.sha256(raw).digest()
+                    if content in seen:
+                        rows.append((content, len(raw), sha, *[None] * 6))
+                        continue
+                    seen.add(content)
                     h, at, low, high = anchors(np.frombuffer(raw, dtype=np.uint8), length, gram)
-                    rows.append((_digest(raw), len(raw), hashlib.sha256(raw).hexdigest(), h.view(np.int64), at, low, high))
-                kinds = [pa.binary(), pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 4]
+                    at = (at - low).tolist()
+                    low, high = low.tolist(), high.tolist()
+                    keys = b"".join(_key(raw[i : j + length], a) for a, i, j in zip(at, low, high, strict=True))
+                    rows.append(
+                        (content, len(raw), sha, packed(raw), h.view(np.int64), np.frombuffer(keys, dtype="<i8"), at, low, high)
+                    )
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(kind) for _, kind in _PLACES]]
                 columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *columns], ["doc_id", "content", "n_bytes", "sha", "hash", "at", "low", "high"]
-                )
-
-    return run
-
-
-def _with_content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first in range(0, batch.num_rows, 200):
-            texts = batch.column(0).slice(first, 200).to_pylist()
-            raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_digest(r) for r in raw], pa.binary()), pa.array(raw, pa.binary())], ["content", "raw"]
-            )
-
-
-def _refer(length: int):
-    """A reference for each anchor of a text: its hash, a key of its context's bytes, and where the context stands."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                content, raw, places = (batch.column(c)[i].as_py() for c in range(3))
-                anchors_at = [p["at"] - p["low"] for p in places]
-                keys = [
-                    _digest(raw[p["low"] : p["high"] + length] + at.to_bytes(4, "little"))
-                    for p, at in zip(places, anchors_at, strict=True)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([p["hash"] for p in places], pa.int64()),
-                        pa.array(keys, pa.binary()),
-                        pa.array(anchors_at, pa.int32()),
-                        pa.array([content] * len(places), pa.binary()),
-                        pa.array([p["low"] for p in places], pa.int64()),
-                        pa.array([p["high"] for p in places], pa.int64()),
-                    ],
-                    ["hash", "key", "anchor", "content", "low", "high"],
+                    [part.column(0), *columns], ["doc_id", "content", "n_bytes", "sha", "raw", *[name for name, _ in _PLACES]]
                 )
 
     return run
@@ -282,17 +312,12 @@ def _cut_contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                raw, places = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                raw, places = unpacked(batch.column(0)[i].as_py()), batch.column(1)[i].values
+                low, high = places.field("low").to_pylist(), places.field("high").to_pylist()
+                contexts = [raw[a : b + length] for a, b in zip(low, high, strict=True)]
+                names = ["hash", "key", "anchor", "times", "rank"]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([p["hash"] for p in places], pa.int64()),
-                        pa.array([p["key"] for p in places], pa.binary()),
-                        pa.array([raw[p["low"] : p["high"] + length] for p in places], pa.binary()),
-                        pa.array([p["anchor"] for p in places], pa.int32()),
-                        pa.array([p["times"] for p in places], pa.int64()),
-                        pa.array([p["rank"] for p in places], pa.string()),
-                    ],
-                    ["hash", "key", "context", "anchor", "times", "rank"],
+                    [*[places.field(name) for name in names], pa.array(contexts, pa.binary())], [*names, "context"]
                 )
 
     return run
@@ -303,8 +328,9 @@ def _split(step: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for row in batch.to_pylist():
+            out: list[list] = [[] for _ in range(7)]
+            rows: list[int] = []
+            for number, row in enumerate(batch.drop_columns(["rank"]).to_pylist()):
                 context, anchor = row["context"], row["anchor"]
                 strings = len(context) - length + 1
                 # offset of the string that starts at s: anchor - s
@@ -317,45 +343,46 @@ def _split(step: int, length: int):
                     piece = context[low : high + length]
                     group = _digest(row["grp"] + share.to_bytes(4, "little") + core)
                     key = _digest(piece + (anchor - low).to_bytes(4, "little"))
+                    rows.append(number)
                     for column, value in zip(
-                        out,
-                        (row["hash"], row["key"], row["shift"] + low, group, key, piece, anchor - low, row["rank"]),
-                        strict=True,
+                        out, (row["hash"], row["key"], row["shift"] + low, group, key, piece, anchor - low), strict=True
                     ):
                         column.append(value)
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.string()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32()]
             names = ["hash", "key", "shift", "grp", "part_key", "context", "anchor", "rank"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+            columns = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("rank").take(pa.array(rows, pa.int64()))], names)
 
     return run
 
 
-def _solved(length: int):
+def _solved(length: int, later: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group and order; a suffix order takes whole groups up to a size."""
+        """Rows ``grp, part_key, context, anchor, times, rank`` come by group and rank; whole groups are solved up to a size."""
         held: list[tuple] = []
+        kept: list[pa.RecordBatch] = []  # columns that answers repeat
         size = 0
 
         def flush() -> pa.RecordBatch:
-            every, first = _solve([h[0] for h in held], [h[2] for h in held], [h[3] for h in held], length)
+            groups, contexts, at, counts = zip(*held, strict=True)
+            every, first = _solve(groups, contexts, at, counts, length, later)
+            columns = [pa.concat_arrays([k.column(i) for k in kept]) for i in range(3)]
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([h[0] for h in held], pa.binary()),
-                    pa.array([h[1] for h in held], pa.binary()),
-                    pa.array(every, pa.list_(pa.int32())),
-                    pa.array(first, pa.list_(pa.int32())),
-                    pa.array([h[4] for h in held], pa.string()),
-                ],
-                ["grp", "part_key", "every", "early", "least"],
+                [*columns, pa.array(every, pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int32()))],
+                ["grp", "part_key", "least", "every", "early"],
             )
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            begun = 0
+            answers = batch.select(["grp", "part_key", "rank"])
+            for number, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("grp", "context", "anchor", "times")), strict=True)):
                 if size >= BATCH_BYTES and row[0] != held[-1][0]:
+                    kept.append(answers.slice(begun, number - begun))
                     yield flush()
-                    held, size = [], 0
+                    held, kept, size, begun = [], [], 0, number
                 held.append(row)
-                size += len(row[2])
+                size += len(row[1])
+            kept.append(answers.slice(begun))
         if held:
             yield flush()
 
@@ -381,188 +408,190 @@ def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(kept)
 
 
-def _remaining(remove: str, length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``content, removed, spans, sha, rest`` of each distinct text that has spans."""
-        for part in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
-            rows = []
-            for content, raw, pieces in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                flat = [
-                    (p["low"] + a, p["low"] + b)
-                    for p in pieces
-                    for a, b in zip(p["spans"][::2], p["spans"][1::2], strict=True)
-                ]
-                spans = _union(flat)
-                rest = _without(raw, spans)
-                sha = hashlib.sha256(rest).hexdigest()
-                rows.append((content, len(raw) - len(rest), len(spans), sha, rest.decode("utf-8", "ignore")))
-            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, ["content", "removed", "spans", "rest_sha", "rest"])
+def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``content, removed, spans, rest_sha, rest`` of each distinct text that has spans."""
+    for part in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
+        rows = []
+        for content, data, pieces in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+            raw = unpacked(data)
+            spans = _union(
+                [(p["low"] + a, p["low"] + b) for p in pieces for a, b in zip(p["spans"][::2], p["spans"][1::2], strict=True)]
+            )
+            rest = _without(raw, spans)
+            sha = hashlib.sha256(rest).digest()
+            rows.append((content, len(raw) - len(rest), len(spans), sha, rest.decode("utf-8", "ignore")))
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, ["content", "removed", "spans", "rest_sha", "rest"])
+
+
+def _answers(parts: DataFrame, length: int, later: bool) -> DataFrame:
+    """``grp, part_key, least, every, early`` of ``parts(grp, part_key, context, anchor, times, rank)``."""
+    kind = {f.name: f.dataType.simpleString() for f in parts.schema}
+    return (
+        parts.select("grp", "part_key", "context", "anchor", "times", "rank")
+        .repartition("grp")
+        .sortWithinPartitions("grp", "rank")
+        .mapInArrow(
+            _solved(length, later),
+            f"grp {kind['grp']}, part_key {kind['part_key']}, least {kind['rank']}, every array<int>, early array<int>",
+        )
+    )
 
-    return run
+
+def _split_answers(work: DataFrame, length: int, gram: int, later: bool) -> DataFrame:
+    """``hash, key, every, early`` of the contexts of anchors that have more than ``GROUP``."""
+    rank_type = work.schema["rank"].dataType.simpleString()
+    times = work.select("hash", "key", "times")
+    parts = work.select(
+        "hash",
+        "key",
+        F.lit(0).alias("shift"),
+        F.unhex(F.lpad(F.hex("hash"), 16, "0")).alias("grp"),
+        F.unhex(F.lpad(F.hex("key"), 16, "0")).alias("part_key"),
+        "context",
+        "anchor",
+        "rank",
+    )
+    schema = f"hash long, key long, shift int, grp binary, part_key binary, context binary, anchor int, rank {rank_type}"
+    step, done = length - gram + 1, []
+    while step > 1:
+        large = parts.groupBy("grp").agg(F.count_distinct("part_key").alias("n")).filter(F.col("n") > GROUP).select("grp")
+        large = written(large, "suffix-large")
+        if large.isEmpty():
+            break
+        step = -(-step // 2)
+        done.append(parts.join(large, "grp", "left_anti"))
+        parts = written(parts.join(large, "grp", "left_semi").mapInArrow(_split(step, length), schema), "suffix-parts")
+    for one in done:
+        parts = one.unionByName(parts)
+    shared = (
+        parts.join(times, ["hash", "key"])
+        .groupBy("grp", "part_key")
+        .agg(
+            F.first("context").alias("context"),
+            F.first("anchor").alias("anchor"),
+            F.sum("times").alias("times"),
+            F.min("rank").alias("rank"),
+        )
+    )
+    answers = written(_answers(shared, length, later), "suffix-part-answers")
+    # contexts may share a part: only the first of them holds its first copy
+    moved = [F.transform(c, lambda x: x + F.col("shift")).alias(c) for c in ("every", "early")]
+    early = F.when(F.col("rank") == F.col("least"), F.col("early")).otherwise(F.col("every")).alias("early")
+    return (
+        parts.select("hash", "key", "shift", "grp", "part_key", "rank")
+        .join(answers, ["grp", "part_key"])
+        .select("hash", "key", "shift", "every", early)
+        .select("hash", "key", *moved)
+    )
 
 
-def _results(documents: DataFrame, remove: str, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _results(documents: DataFrame, later_only: bool, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows of the documents, distinct texts with their first id and copies, and what is left of those that lose bytes."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    lists = ", ".join(f"{c} array<long>" for c in ("hash", "at", "low", "high"))
+    lists = ", ".join(f"{name} array<{'long' if kind == pa.int64() else 'int'}>" for name, kind in _PLACES)
     found = written(
         documents.select("doc_id", "text").mapInArrow(
-            _with_anchors(length, gram), f"doc_id {id_type}, content binary, n_bytes long, sha string, {lists}"
+            _with_anchors(length, gram), f"doc_id {id_type}, content binary, n_bytes long, sha binary, raw binary, {lists}"
         ),
-        "suffix-anchors",
+        "suffix-found",
     )
     rows = written(found.select("doc_id", "content", "n_bytes", "sha"), "suffix-rows")
+    fields = [name for name, _ in _PLACES]
+    # texts are numbered once in a written table: fewer bytes than a digest for each anchor
     texts = written(
-        found.groupBy("content").agg(
+        found.groupBy("content")
+        .agg(
             F.min("doc_id").alias("first_id"),
             F.count(F.lit(1)).alias("copies"),
-            *[F.first(c).alias(c) for c in ("hash", "at", "low", "high")],
-        ),
+            *[F.first(c, ignorenulls=True).alias(c) for c in ("raw", *fields)],
+        )
+        .withColumn("tid", F.monotonically_increasing_id()),
         "suffix-texts",
     )
     discard(found)
-    placed = texts.select("content", F.explode(F.arrays_zip("hash", "at", "low", "high")).alias("a")).select(
-        "content", "a.*"
+    # the order that "earlier" means: by first id, then by text and place
+    first = [F.col("first_id").isNull().alias("no_id"), "first_id", "content"] if later_only else []
+    placed = texts.select("tid", *first, F.explode(F.arrays_zip(*fields)).alias("a")).select(
+        "tid", *[c if isinstance(c, str) else "no_id" for c in first], "a.*"
     )
-    # written, so that the join deals its sides anew and can split the anchors of a common passage
+    # written, so that the joins deal their sides anew and can split the anchors of a common passage
     repeated = written(
         placed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "suffix-repeated"
     )
-    wanted = (
-        placed.join(repeated, "hash", "left_semi")
-        .groupBy("content")
-        .agg(F.collect_list(F.struct("hash", "at", "low", "high")).alias("places"))
-    )
-    raw = documents.select("text").mapInArrow(_with_content, "content binary, raw binary")
-    kept_raw = written(
-        wanted.join(raw.groupBy("content").agg(F.first("raw").alias("raw")), "content").select("content", "raw", "places"),
-        "suffix-raw",
-    )
-    found = kept_raw.mapInArrow(
-        _refer(length), "hash long, key binary, anchor int, content binary, low long, high long"
-    )
-    # the order that "earlier" means: by first id, then by place
-    if remove == "later":
-        found = found.join(texts.select("content", "first_id"), "content")
-    else:
-        found = found.withColumn("first_id", F.lit(None).cast(id_type))
-    references = written(found, "suffix-references")
-    order = F.struct(
-        F.col("first_id").isNull().alias("no_id"), "first_id", "content", "low", "high", "anchor"
-    )
+    references = written(placed.join(repeated, "hash", "left_semi"), "suffix-references")
+    discard(repeated)
+    rank = F.struct(*(["no_id", "first_id", "content"] if later_only else ["tid"]), "low")
     # equal contexts are counted by their keys; their bytes travel once, from the first reference
-    counted = references.groupBy("hash", "key").agg(F.count(F.lit(1)).alias("times"), F.min(order).alias("first"))
-    # sorts as text as the first reference does: null ids last, then ids, texts and places
-    digits = F.lpad(
-        (F.col("first.first_id").cast("decimal(20,0)") + F.expr("CAST('9223372036854775808' AS DECIMAL(20,0))")).cast("string"),
-        20,
-        "0",
-    )
-    rank = F.concat_ws(
-        "/", F.coalesce(digits, F.lit("~")), F.hex("first.content"), F.lpad(F.col("first.low").cast("string"), 20, "0")
-    )
-    firsts = written(
-        counted.withColumn("rank", rank if id_type in ("bigint", "int") else F.lit("")), "suffix-firsts"
-    )
-    chosen = firsts.groupBy(F.col("first.content").alias("content")).agg(
+    place = F.struct(rank.alias("rank"), "tid", "low", "high", "anchor")
+    firsts = references.groupBy("hash", "key").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("first"))
+    chosen = firsts.groupBy(F.col("first.tid").alias("tid")).agg(
         F.collect_list(
             F.struct(
                 "hash",
                 "key",
+                F.col("first.anchor").alias("anchor"),
                 F.col("first.low").alias("low"),
                 F.col("first.high").alias("high"),
-                F.col("first.anchor").alias("anchor"),
                 "times",
-                "rank",
+                F.col("first.rank").alias("rank"),
             )
         ).alias("places")
     )
+    rank_type = references.select(rank.alias("rank")).schema["rank"].dataType.simpleString()
     work = written(
-        kept_raw.select("content", "raw")
-        .join(chosen, "content")
+        texts.select("tid", "raw")
+        .join(chosen, "tid")
         .select("raw", "places")
-        .mapInArrow(
-            _cut_contexts(length), "hash long, key binary, context binary, anchor int, times long, rank string"
-        ),
+        .mapInArrow(_cut_contexts(length), f"hash long, key long, anchor int, times long, rank {rank_type}, context binary"),
         "suffix-work",
     )
-    parts = work.select(
-        "hash",
-        "key",
-        F.lit(0).alias("shift"),
-        F.unhex(F.lpad(F.hex("hash"), 16, "0")).alias("grp"),
-        F.col("key").alias("part_key"),
-        "context",
-        "anchor",
-        "rank",
-        "times",
-    )
-    schema = "hash long, key binary, shift int, grp binary, part_key binary, context binary, anchor int, rank string"
-    step = length - gram + 1
-    while step > 1:
-        large = parts.groupBy("grp").agg(F.count_distinct("part_key").alias("n")).filter(F.col("n") > GROUP).select("grp")
-        large = written(large, "suffix-large")
-        if large.isEmpty():
-            break
-        step = -(-step // 2)
-        split = (
-            parts.join(large, "grp", "left_semi")
-            .select("hash", "key", "shift", "grp", "part_key", "context", "anchor", "rank")
-            .mapInArrow(_split(step, length), schema)
-            .join(firsts.select("hash", "key", "times"), ["hash", "key"])
-        )
-        parts = written(parts.join(large, "grp", "left_anti").unionByName(split), "suffix-parts")
-    shared = (
-        parts.groupBy("grp", "part_key")
-        .agg(F.first("context").alias("context"), F.sum("times").alias("times"), F.min("rank").alias("rank"))
-        .select("grp", "part_key", "context", "times", "rank")
-    )
-    answers = written(
-        shared.repartition("grp")
-        .sortWithinPartitions("grp", "rank")
-        .mapInArrow(_solved(length), "grp binary, part_key binary, every array<int>, early array<int>, least string"),
-        "suffix-answers",
+    large = written(
+        work.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("hash"), "suffix-hot"
     )
-    answered = parts.select("hash", "key", "shift", "grp", "part_key", "rank").join(answers, ["grp", "part_key"])
-    if remove == "all":
-        spans = answered.filter(F.size("every") > 0).select(
-            "hash", "key", F.transform("every", lambda x: x + F.col("shift")).alias("spans")
-        )
-        hits = references.join(spans, ["hash", "key"]).select("content", "low", "spans")
+    common = not large.isEmpty()
+    whole = work.join(large, "hash", "left_anti") if common else work
+    answers = _answers(whole.withColumnRenamed("hash", "grp").withColumnRenamed("key", "part_key"), length, not later_only)
+    answers = answers.select(F.col("grp").alias("hash"), F.col("part_key").alias("key"), "every", "early")
+    if common:
+        answers = answers.unionByName(_split_answers(work.join(large, "hash", "left_semi"), length, gram, not later_only))
+    if later_only:
+        # only the first reference of a context can hold first copies
+        own = work.select("hash", "key", F.col("rank").alias("first_rank"), "times")
+        answers = answers.join(own, ["hash", "key"]).filter((F.col("times") > 1) | (F.size("early") > 0))
     else:
-        spans = answered.select(
-            "hash",
-            "key",
-            F.transform("every", lambda x: x + F.col("shift")).alias("every"),
-            # after a split, contexts may share a part: only the first of them holds its first copy
-            F.when(
-                F.col("rank") == F.col("least"), F.transform("early", lambda x: x + F.col("shift"))
-            ).otherwise(F.transform("every", lambda x: x + F.col("shift"))).alias("early"),
-        ).join(firsts, ["hash", "key"])
-        is_first = (references["content"] == F.col("first.content")) & (references["low"] == F.col("first.low"))
-        hits = references.join(spans, ["hash", "key"]).select(
-            "content", "low", F.when(is_first, F.col("early")).otherwise(F.col("every")).alias("spans")
-        )
-        hits = hits.filter(F.size("spans") > 0)
-    per_text = hits.groupBy("content").agg(F.collect_list(F.struct("low", "spans")).alias("pieces"))
+        answers = answers.filter(F.size("every") > 0)
+    answers = written(answers, "suffix-answers")
+    discard(work)
+    hits = references.join(answers, ["hash", "key"])
+    if later_only:
+        spans = F.when(rank == F.col("first_rank"), F.col("early")).otherwise(F.col("every"))
+    else:
+        spans = F.col("every")
+    per_text = (
+        hits.select("tid", "low", spans.alias("spans"))
+        .filter(F.size("spans") > 0)
+        .groupBy("tid")
+        .agg(F.collect_list(F.struct("low", "spans")).alias("pieces"))
+    )
     left = written(
-        kept_raw.select("content", "raw")
-        .join(per_text, "content")
-        .mapInArrow(
-            _remaining(remove, length), "content binary, removed long, spans long, rest_sha string, rest string"
-        ),
+        texts.select("tid", "content", "raw")
+        .join(per_text, "tid")
+        .select("content", "raw", "pieces")
+        .mapInArrow(_remaining, "content binary, removed long, spans long, rest_sha binary, rest string"),
         "suffix-left",
     )
-    for table in (references, work, kept_raw):
-        discard(table)
-    return rows, texts.select("content", "first_id", "copies"), left
+    discard(references)
+    discard(answers)
+    facts = written(texts.select("content", "first_id", "copies"), "suffix-facts")
+    discard(texts)
+    return rows, facts, left
 
 
 def repeated_bytes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``: every byte in a string that also starts elsewhere goes."""
-    rows, texts, left = _results(documents, "all", length, gram)
+    rows, texts, left = _results(documents, False, length, gram)
     facts = texts.join(left.drop("rest"), "content", "left").withColumnRenamed("content", "of")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return rows.join(facts, rows["content"] == facts["of"]).select(
@@ -570,7 +599,9 @@ def repeated_bytes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM)
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("rest_sha", "sha")).alias("kept_sha256"),
+        F.when(whole, F.lit(hashlib.sha256(b"").hexdigest()))
+        .otherwise(F.lower(F.hex(F.coalesce("rest_sha", "sha"))))
+        .alias("kept_sha256"),
     )
 
 
@@ -580,8 +611,8 @@ def keep_first_copies(documents: DataFrame, length: int = LENGTH, gram: int = GR
     A cut inside a character drops the character's other bytes too. Texts that
     are left empty stay as rows; ``n_chars``, if there, counts what is left.
     """
-    rows, texts, left = _results(documents, "later", length, gram)
-    changed = left.join(texts, "content", "right").filter((F.col("copies") > 1) | F.col("rest").isNotNull())
+    rows, texts, left = _results(documents, True, length, gram)
+    changed = left.select("content", "rest").join(texts, "content", "right").filter((F.col("copies") > 1) | F.col("rest").isNotNull())
     # names of its own, which no column of the documents has
     changed = changed.select(*[F.col(c).alias(f"__{c}_") for c in ("content", "first_id", "copies", "rest")])
     names = documents.columns
