@@ -5,8 +5,8 @@ conversations are prefixes of a longer one. ``format_chats`` numbers the turns
 of each conversation, keeps a rolling hash of the turns so far (the XOR of 64-bit
 hashes of position, role and text, under two seeds), and drops every
 conversation whose full hash is a proper prefix of another conversation. Of
-conversations with the same turns the smallest ``conv_id`` stays. What is left
-is rendered with a chat template.
+conversations with the same turns the smallest ``conv_id`` stays, and null only if
+there is no other. What is left is rendered with a chat template.
 
 Defined results:
 
@@ -79,12 +79,7 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     ends = (
         prefixes.filter(F.col("idx") == F.col("n"))
         .groupBy("p1", "p2", "n")
-        .agg(
-            F.min("conv_id").alias("conv_id"),
-            F.count(F.lit(1)).alias("copies"),
-            F.max(F.col("conv_id").isNull()).alias("has_null"),
-        )
-        .withColumn("conv_id", F.when(F.col("has_null"), F.lit(None)).otherwise(F.col("conv_id")))
+        .agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
     )
     inner = prefixes.filter(F.col("idx") < F.col("n")).select("p1", "p2", F.col("idx").alias("n")).distinct()
     return ends.join(inner, ["p1", "p2", "n"], "left_anti").select(
