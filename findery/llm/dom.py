@@ -10,6 +10,8 @@ import numpy as np
 #: HTML element classes and the words that attributes use for parts of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe".split())
+#: Of these, the ones that reach to the end of a page where their end tag is missing.
+ENDLESS = frozenset("script style textarea title".split())
 #: Elements whose own tags are no blocks; the end tag, a block or a block's end tag closes them.
 FOREIGN = frozenset("svg math select".split())
 INLINE = frozenset(
@@ -55,9 +57,8 @@ TOKEN_GROUPS = (
 )
 FEATURES = GROUPS + 3 * len(TOKEN_GROUPS) + 26
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL
-)
+_BEGIN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/<>]*)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -92,6 +93,49 @@ def _attributes(source: str) -> tuple[int, str | None]:
     return bits, mark
 
 
+class _Tags:
+    """Cuts a page into tags and text, in time linear in the page however broken its tags are."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.last_quote = {q: source.rfind(q) for q in "\"'"}
+        self.quotes = True
+
+    def token(self, position: int) -> tuple[str | None, str | None, str, str | None, int]:
+        """``closing, tag, attributes, text, end`` of what begins at ``position``; comments have neither tag nor text."""
+        source = self.source
+        if source[position] != "<":
+            end = source.find("<", position)
+            end = len(source) if end < 0 else end
+            return None, None, "", source[position:end], end
+        found = _BEGIN.match(source, position) if position < self.last or source.startswith("<!--", position) else None
+        if found is None:
+            return None, None, "", "<", position + 1
+        closing, tag = found.groups()
+        if tag is None:
+            mark, skip = ("-->", 4) if found.group() == "<!--" else (">", 2)
+            end = source.find(mark, position + skip)
+            return None, None, "", None, len(source) if end < 0 else end + len(mark)
+        end = self.end(found.end())
+        return closing, tag, source[found.end() : end - 1], None, end
+
+    def end(self, at: int) -> int:
+        """The end of a tag whose attributes begin at ``at``: behind the first ``>`` outside quotes, or behind any."""
+        source, begin = self.source, at
+        while self.quotes:
+            found = _STOP.search(source, at)
+            if found is None:
+                self.quotes = False  # every later tag would run to the end in vain, too
+                break
+            quote, at = found.group(), found.end()
+            if quote == ">":
+                return at
+            if at <= self.last_quote[quote]:  # a quote that never closes is a sign like others
+                at = source.find(quote, at) + 1
+        return source.find(">", begin) + 1
+
+
 def parse(source: str) -> Node:
     """The tree of a page. Unclosed and stray tags are handled as browsers mostly do; nothing raises."""
     root = Node("#root", None)
@@ -113,13 +157,10 @@ def parse(source: str) -> Node:
         pieces.clear()
         link_chars = 0
 
+    tags, unclosed = _Tags(source), set()
     position, end = 0, len(source)
     while position < end:
-        found = _TOKEN.match(source, position)
-        if found is None:  # a tag that never ends: the rest is no text
-            break
-        position = found.end()
-        closing, tag, attributes, text = found.groups()
+        closing, tag, attributes, text, position = tags.token(position)
         if text is not None:
             if block is None and text.strip():
                 block = Node("#block", at)
@@ -156,8 +197,15 @@ def parse(source: str) -> Node:
             anchors = 0
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, position)
-            position = stop.end() if stop else end
+            stop = None
+            if tag not in unclosed:
+                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, position)
+            if stop is not None:
+                position = stop.end()
+            elif tag in ENDLESS:
+                position = end
+            else:  # without its end tag the element hides nothing
+                unclosed.add(tag)
             if block is not None:
                 pieces.append(" ")
             continue
