@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findery.llm.shared import written
+from findery.llm.shared import discard, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -32,6 +32,8 @@ SEED = 17
 EXACT_BUDGET = 1 << 15
 #: Documents of one source and length that are ranked together.
 RANKED_TOGETHER = 512
+#: Equal rows that are written out together.
+TOGETHER = 10_000
 #: Sources up to which the table of targets is sent to every executor.
 BROADCAST_SOURCES = 10_000
 
@@ -65,9 +67,11 @@ def source_targets(
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their words come as near to ``budget`` as can be, not over.
+    """How many documents of each length to take so that their words come near to ``budget``, not over.
 
-    ``lengths`` are distinct and positive. Memory is bounded by the number of
+    An even share of every length and then the longest that fit bring the rest
+    below ``EXACT_BUDGET``; of what is left of the lengths, the sum nearest to that
+    rest is found exactly. ``lengths`` are distinct and positive. Memory is bounded by the number of
     lengths times ``EXACT_BUDGET`` bits.
     """
     take = np.zeros(len(lengths), dtype=np.int64)
@@ -124,19 +128,10 @@ def _fits(max_repeats: int):
     return fit
 
 
-def mix(
-    documents: DataFrame,
-    weights: Sequence[int] = WEIGHTS,
-    max_repeats: int = MAX_REPEATS,
-    seed: int = SEED,
-    with_draw: bool = False,
-) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row; with ``with_draw`` the hash that orders it, too.
+def _decided(documents: DataFrame, weights: Sequence[int], max_repeats: int, seed: int) -> DataFrame:
+    """``source, doc_id, draw, size, source_size, target, rows, passes, more`` of rows equal in all of the first four.
 
-    The driver sees one row for each source; the lengths of a source meet in
-    one task as counts. Documents of one source and length are dealt by their
-    seeded hash to as many parts as their number asks for, so neither a large
-    source nor thousands of copies meet in one task.
+    ``rows`` are as many as there are; each is taken ``passes`` times and ``more`` of them once again.
     """
     spark = documents.sparkSession
     base = written(
@@ -145,10 +140,12 @@ def mix(
             "source",
             word_count(F.col("text")).alias("size"),
             F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"),
-        ),
+        )
+        .groupBy("source", "size", "draw", "doc_id")
+        .agg(F.count(F.lit(1)).alias("rows")),
         "mix-base",
     )
-    by_length = written(base.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), "mix-lengths")
+    by_length = written(base.groupBy("source", "size").agg(F.sum("rows").alias("docs")), "mix-lengths")
     sizes = [
         (r["source"], int(r["words"]))
         for r in by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("words")).toLocalIterator()
@@ -167,53 +164,102 @@ def mix(
         .applyInPandas(_fits(max_repeats), "sid int, size long, docs long, passes long, more long"),
         "mix-fits",
     )
+    discard(by_length)
     parts = F.ceil(F.col("docs") / RANKED_TOGETHER)
-    dealt = (
+    # lengths grow in number with the documents, so they are not sent to every executor
+    dealt = written(
         base.join(targets, on_source)
-        .join(fitted, ["sid", "size"])
+        .join(fitted.hint("shuffle_merge"), ["sid", "size"])
         .withColumn("part", F.pmod(F.shiftright(F.col("draw"), 20), parts))
+        .drop("target_source", "docs"),
+        "mix-dealt",
     )
+    for table in (base, fitted):
+        discard(table)
     # documents of the same source and length that come in parts before one's own
-    before = Window.partitionBy("sid", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("sid", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         dealt.groupBy("sid", "size", "part")
-        .agg(F.count(F.lit(1)).alias("in_part"))
-        .withColumn("start", F.coalesce(F.sum("in_part").over(before), F.lit(0)))
+        .agg(F.sum("rows").alias("in_part"))
+        .withColumn("start", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)))
         .drop("in_part")
     )
-    rank = F.row_number().over(Window.partitionBy("sid", "size", "part").orderBy("draw", "doc_id"))
+    before = Window.partitionBy("sid", "size", "part").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("start") + F.coalesce(F.sum("rows").over(before), F.lit(0))
     return (
-        dealt.join(starts, ["sid", "size", "part"])
-        .withColumn("rank", rank + F.col("start"))
-        .select(
-            "doc_id",
-            "size",
-            "source_size",
-            "target",
-            (F.col("size") * (F.col("passes") + F.when(F.col("rank") <= F.col("more"), 1).otherwise(0))).alias("taken"),
-            *(["draw"] if with_draw else []),
-        )
+        dealt.join(starts.hint("shuffle_merge"), ["sid", "size", "part"])
+        .withColumn("more", F.least(F.col("rows"), F.greatest(F.lit(0), F.col("more") - first)))
+        .select("source", "doc_id", "draw", "size", "source_size", "target", "rows", "passes", "more")
+    )
+
+
+def mix(
+    documents: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED
+) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` of every row.
+
+    The driver sees one row for each source; the lengths of a source meet in
+    one task as counts. Rows equal in source, ``doc_id`` and text are one with a
+    number, and documents of one source and length are dealt by their seeded hash
+    to as many parts as their number asks for, so neither a large source nor
+    thousands of copies meet in one task.
+    """
+    decided = _decided(documents, weights, max_repeats, seed)
+    # equal rows come back in steps, which are dealt anew before they are written out
+    step = F.explode(F.sequence(F.lit(0), F.col("rows") - 1, F.lit(TOGETHER)))
+    facts = ["doc_id", "size", "source_size", "target", "passes"]
+    many = decided.filter("rows > 1").withColumn("first", step).repartition("doc_id", "draw", "first")
+    number = F.explode(F.sequence(F.col("first"), F.least(F.col("first") + TOGETHER, F.col("rows")) - 1))
+    single = decided.filter("rows = 1").select(*facts, "more")
+    repeated = many.withColumn("number", number).select(*facts, (F.col("number") < F.col("more")).cast("long").alias("more"))
+    return single.unionByName(repeated).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("passes") + F.col("more"))).alias("taken")
     )
 
 
-def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+def mixed_documents(
+    documents: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED
+) -> DataFrame:
     """The documents of the mix with all their columns, each row as often as the mix takes it.
 
-    Decisions are made on narrow rows and joined back once, by ``doc_id`` and
-    draw; rows equal in both and in text get the larger of their numbers.
+    Decisions are made on narrow rows and joined back once, by source, ``doc_id``
+    and draw. Of rows equal in these the first, in any order, are taken once more.
     """
-    seed = options.get("seed", SEED)
-    copies = (F.col("taken") / F.col("size")).cast("int")
-    decided = (
-        mix(documents, with_draw=True, **options)
-        .filter(F.col("taken") > 0)
-        .groupBy(F.col("doc_id").alias("__id"), F.col("draw").alias("__draw"))
-        .agg(F.max(copies).alias("__copies"))
+    decided = written(
+        _decided(documents, weights, max_repeats, seed)
+        .filter("size > 0 AND passes * rows + more > 0")
+        .select(F.struct("source", "doc_id", "draw").alias("of"), "rows", "passes", "more"),
+        "mix-decided",
     )
-    drawn = documents.withColumn("__own", F.xxhash64(F.lit(seed), "doc_id", "text"))
-    same = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__own") == F.col("__draw"))
-    return (
-        drawn.join(decided, same)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*[F.col(f"`{c}`") for c in documents.columns])
+    # the documents are one column, so that no name of theirs clashes
+    whole = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+        F.struct("source", "doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw")).alias("own"),
     )
+    on_own = F.col("own").eqNullSafe(F.col("of"))
+    out = whole.join(decided.filter("rows = 1"), on_own).select("row", (F.col("passes") + F.col("more")).alias("copies"))
+    many = decided.filter("rows > 1")
+    if not many.isEmpty():
+        found = written(whole.join(many, on_own).withColumn("id", F.monotonically_increasing_id()), "mix-repeated")
+        # equal rows are numbered within the parts of the written table, and the parts by what comes before them
+        part = F.shiftright("id", 33).alias("part")
+        earlier = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = (
+            found.groupBy("of", part)
+            .agg(F.count(F.lit(1)).alias("in_part"))
+            .select("of", "part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("start"))
+            .withColumnsRenamed({"of": "start_of", "part": "start_part"})
+        )
+        within = F.row_number().over(Window.partitionBy("of", "part").orderBy("id"))
+        numbers = (
+            found.select("id", "of", part, "passes", "more")
+            .withColumn("number", within)
+            .join(starts, F.col("of").eqNullSafe(F.col("start_of")) & (F.col("part") == F.col("start_part")))
+            .select(
+                F.col("id").alias("numbered"),
+                (F.col("passes") + (F.col("start") + F.col("number") <= F.col("more")).cast("long")).alias("copies"),
+            )
+        )
+        out = out.unionByName(found.join(numbers, F.col("id") == F.col("numbered")).select("row", "copies"))
+    copy = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
+    return out.filter("copies > 0").withColumn("copy", copy).select("row.*")
