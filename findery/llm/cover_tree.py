@@ -8,8 +8,10 @@ import numpy as np
 
 #: Points of a node that is not split further.
 LEAF = 32
-#: Points on either side that one comparison of leaves takes.
+#: Points on either side that one comparison of leaves takes, and children of a node on either side of one of nodes.
 BLOCK = 1024
+#: Centres whose distances are taken at once as a level is built.
+HEADS = 128
 #: Slack of pruning, above the rounding of distances near the threshold.
 SLACK = 1e-7
 
@@ -53,11 +55,15 @@ class Tree:
         self.children[number].append(self._node(center, rows[inside], away[inside], radius))
         rows = rows[~inside]
         while len(rows):
-            center = int(rows[0])
-            away = distances(self.x[center : center + 1], self.x[rows])[0]
-            inside = away <= radius
-            self.children[number].append(self._node(center, rows[inside], away[inside], radius))
-            rows = rows[~inside]
+            gaps = distances(self.x[rows[:HEADS]], self.x[rows])
+            reached, open_ = gaps <= radius, np.ones(len(rows), dtype=bool)
+            for k in range(len(gaps)):
+                if open_[k]:
+                    inside = open_ & reached[k]
+                    inside[k] = True
+                    open_ &= ~inside
+                    self.children[number].append(self._node(int(rows[k]), rows[inside], gaps[k, inside], radius))
+            rows = rows[open_]
         return number
 
 
@@ -87,24 +93,43 @@ def dual(a: Tree, b: Tree, reach: float, visit: Callable[[np.ndarray, np.ndarray
             ci, cj = a.children[i], [j]
         else:
             ci, cj = [i], b.children[j]
-        gap = distances(a.x[[a.center[k] for k in ci]], b.x[[b.center[k] for k in cj]])
-        bound = np.array([a.cover[k] for k in ci])[:, None] + np.array([b.cover[k] for k in cj]) + reach + SLACK
-        near = gap <= bound
-        leaf_i = np.array([a.points[k] is not None for k in ci])
-        leaf_j = np.array([b.points[k] is not None for k in cj])
-        both = near & leaf_i[:, None] & leaf_j
-        if both.any():
-            # leaves near some leaf of the other side are compared as one block: many are single points
-            _blocks(
-                np.concatenate([a.points[ci[k]] for k in np.flatnonzero(both.any(axis=1))]),
-                np.concatenate([b.points[cj[k]] for k in np.flatnonzero(both.any(axis=0))]),
-                visit,
-                same and i == j,
-            )
-        near_i, near_j = np.nonzero(near & ~both)
-        for p, q in zip(near_i.tolist(), near_j.tolist(), strict=True):
-            if not (same and i == j and q < p):
-                stack.append((ci[p], cj[q]))
+        for p in range(0, len(ci), BLOCK):
+            for q in range(p if same and i == j else 0, len(cj), BLOCK):
+                _children(a, b, ci[p : p + BLOCK], cj[q : q + BLOCK], reach, visit, same and i == j and p == q, stack)
+
+
+def _children(
+    a: Tree,
+    b: Tree,
+    ci: list[int],
+    cj: list[int],
+    reach: float,
+    visit: Callable[[np.ndarray, np.ndarray], None],
+    same: bool,
+    stack: list[tuple[int, int]],
+) -> None:
+    """Visits the pairs of leaves among two lists of children (one list, with ``same``) and stacks the other pairs."""
+    gap = distances(a.x[[a.center[k] for k in ci]], b.x[[b.center[k] for k in cj]])
+    bound = np.array([a.cover[k] for k in ci])[:, None] + np.array([b.cover[k] for k in cj]) + reach + SLACK
+    near = gap <= bound
+    leaf_i = np.array([a.points[k] is not None for k in ci])
+    leaf_j = np.array([b.points[k] is not None for k in cj])
+    if same:
+        # a single point is no pair with itself
+        alone = np.array([a.points[k] is not None and len(a.points[k]) == 1 for k in ci])
+        near[alone, alone.nonzero()[0]] = False
+    both = near & leaf_i[:, None] & leaf_j
+    if both.any():
+        # leaves near some leaf of the other side are compared as one block: many are single points
+        _blocks(
+            np.concatenate([a.points[ci[k]] for k in np.flatnonzero(both.any(axis=1))]),
+            np.concatenate([b.points[cj[k]] for k in np.flatnonzero(both.any(axis=0))]),
+            visit,
+            same,
+        )
+    for p, q in np.argwhere(near & ~both).tolist():
+        if not (same and q < p):
+            stack.append((ci[p], cj[q]))
 
 
 def _blocks(rows: np.ndarray, cols: np.ndarray, visit: Callable[[np.ndarray, np.ndarray], None], same: bool) -> None:

@@ -8,17 +8,18 @@ are pruned by their covering radii. A cell's points build a cover tree (nested
 levels of halving radii); a dual traversal prunes pairs of nodes by covering
 radii, and the pairs left are decided by their cosine in double precision.
 
-A task emits a count and one link for a point, never its pairs. Cells hold at
-most ``CELL`` points and are dealt by blocks beyond that. The work between cells
-grows with the pairs of cells that the data really bring within reach; vectors
-without any structure have no cheaper exact join.
+A task emits a count and one link for a point, never its pairs. Cells hold about
+``CELL_BYTES`` of vectors and are dealt by blocks beyond that. A block's tree is
+built once for ``SPAN`` blocks of visitors, which stream past it. The work between
+cells grows with the pairs of cells that the data really bring within reach;
+vectors without any structure have no cheaper exact join.
 
 Defined results: a row whose label is null, or whose vector is null, zero, or
 holds a null or a non-finite component, links with nothing (0 links, itself its
 component, kept); vectors of different lengths don't link; equal vectors link
 with each other; repeated ``vec_id`` rows count as vectors of their own; rows
-with a null ``vec_id`` link, but never name a component unless alone in it; an
-empty table gives an empty table.
+with a null ``vec_id`` link, but never name a component unless alone in it; other
+columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,14 +35,17 @@ from pyspark.sql import functions as F
 
 from findery.llm.cover_tree import Tree, dual
 from findery.llm.graph import components
-from findery.llm.shared import written
+from findery.llm.shared import discard, written
 
 COSINE = 0.93
-#: Points of a cell, and of a block of visitors, that one task holds.
-CELL = 4096
-#: Pivots of a label at most; beyond ``PIVOTS * CELL`` points of a label, cells are dealt by more blocks.
+#: Bytes of a cell's or block's vectors, which one task holds.
+CELL_BYTES = 8 << 20
+#: Blocks of visitors that stream past a block's tree in one task.
+SPAN = 16
+#: Pivots of a label at most, and bytes of all pivots; with fewer pivots, cells are dealt by more blocks.
 PIVOTS = 512
-#: Rows up to which a label's pivots are sampled from.
+PIVOT_BYTES = 32 << 20
+#: Rows that a label's pivots are chosen from.
 PIVOT_SAMPLE = 20_000
 
 
@@ -66,20 +70,6 @@ def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-class _Cells:
-    """Pivots and covering radii of the labels that have more than one cell. Bounded by ``PIVOTS`` for a label."""
-
-    def __init__(self, pivots: dict, blocks: dict, reach: float):
-        self.pivots = pivots
-        self.blocks = blocks
-        self.reach = reach
-        self.radius: dict = {}
-
-    def nearest(self, label, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ self.pivots[label].T)))
-        return gaps, gaps.argmin(axis=1)
-
-
 def _choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     """Points far from each other: each is the farthest from those before (a cover tree's top level)."""
     chosen = [0]
@@ -93,19 +83,26 @@ def _choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _join_cell(residents: tuple, visitors: tuple | None, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted links of each row and one smaller linked row for each component met, of residents then visitors.
+class _Block:
+    """A block's vectors with their copies and cover tree."""
+
+    def __init__(self, keys: list[bytes], units: list[bytes], copies: list[int]):
+        self.keys = keys
+        self.x = np.frombuffer(b"".join(units)).reshape(len(units), -1)
+        self.weight = np.array(copies, dtype=np.int64)
+        self.tree = Tree(self.x)
+
+
+def _join(residents: _Block, visitors: _Block | None, cosine: float) -> pa.RecordBatch:
+    """``key, links, root``: weighted links of each vector and the vector that stands for those it is linked with here.
 
     Without visitors the residents are joined with themselves.
     """
-    x, weight = residents
-    n = len(x)
     same = visitors is None
-    y, other = residents if same else visitors
-    offset = 0 if same else n
-    total = n if same else n + len(y)
-    links = np.zeros(total, dtype=np.int64)
-    parent = np.arange(total)
+    other = residents if same else visitors
+    offset = 0 if same else len(residents.x)
+    total = offset + len(other.x)
+    links, parent = np.zeros(total, dtype=np.int64), np.arange(total)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -114,33 +111,78 @@ def _join_cell(residents: tuple, visitors: tuple | None, cosine: float) -> tuple
         return i
 
     def visit(rows: np.ndarray, cols: np.ndarray) -> None:
-        near = x[rows] @ y[cols].T >= cosine
+        near = residents.x[rows] @ other.x[cols].T >= cosine
         if same:
             near &= rows[:, None] != cols[None, :]
         if not near.any():
             return
         twice = same and (len(rows) != len(cols) or rows[0] != cols[0])
-        links[rows] += near @ other[cols]
+        links[rows] += near @ other.weight[cols]
         if not same or twice:
-            links[offset + cols] += weight[rows] @ near
-        for r, hits in zip(rows.tolist(), near, strict=True):
-            if hits.any():
-                top = root(r)
-                for c in np.unique(parent[offset + cols[hits]]).tolist():
-                    low = root(c)
-                    if low != top:
-                        parent[max(low, top)] = min(low, top)
-                        top = min(low, top)
+            links[offset + cols] += residents.weight[rows] @ near
+        for r in np.flatnonzero(near.any(axis=1)).tolist():
+            top = root(int(rows[r]))
+            for c in np.unique(parent[offset + cols[near[r]]]).tolist():
+                low = root(c)
+                if low != top:
+                    parent[max(low, top)] = min(low, top)
+                    top = min(low, top)
 
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine)))
-    tree = Tree(x)
-    dual(tree, tree if same else Tree(y), reach, visit, same)
-    roots = np.array([root(i) for i in range(total)])
-    return links, roots
+    dual(residents.tree, other.tree, reach, visit, same)
+    keys = residents.keys if same else residents.keys + other.keys
+    found = [(i, root(i)) for i in range(total) if links[i] or parent[i] != i]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([keys[i] for i, _ in found], pa.binary()),
+            pa.array([int(links[i]) for i, _ in found], pa.int64()),
+            pa.array([keys[r] for _, r in found], pa.binary()),
+        ],
+        ["key", "links", "root"],
+    )
+
+
+def _joined(cosine: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by ``home`` and ``span``, residents first, then the visitors by block."""
+        task, own, guests, block = None, [], [], None
+        residents: _Block | None = None
+
+        def made(rows: list[tuple]) -> _Block:
+            return _Block(*map(list, zip(*rows, strict=True)))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal residents
+            if guests:
+                residents = residents or made(own)
+                yield _join(residents, made(guests), cosine)
+                guests.clear()
+            elif own and task[1] < 0:
+                yield _join(made(own), None, cosine)
+
+        for batch in batches:
+            for home, span, visit, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (home, span) != task:
+                    yield from flush()
+                    task, own, guests, residents = (home, span), [], [], None
+                if visit < 0:
+                    own.append(row)
+                else:
+                    if guests and visit != block:
+                        yield from flush()
+                    guests.append(row)
+                    block = visit
+        yield from flush()
+
+    return run
+
 
+def _matrix(units: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(units)).reshape(len(units), -1)
 
-def near_copies(embeddings: DataFrame, cosine: float = COSINE, cell: int = CELL) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` of every row."""
+
+def near_copies(embeddings: DataFrame, cosine: float = COSINE, cell: int | None = None) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` of every row; ``cell`` sets the vectors of a cell."""
     spark = embeddings.sparkSession
     id_type = embeddings.schema["vec_id"].dataType.simpleString()
     label_type = embeddings.schema["label"].dataType.simpleString()
@@ -150,117 +192,123 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, cell: int = CELL)
         ),
         "vectors",
     )
-    valid = rows.filter(F.col("key").isNotNull())
+    shape = F.concat_ws(":", F.col("label").cast("string"), F.octet_length("unit").cast("string"))
     points = written(
-        valid.groupBy("key").agg(
+        rows.filter(F.col("key").isNotNull())
+        .groupBy("key")
+        .agg(
             F.min("vec_id").alias("least_id"),
             F.count(F.lit(1)).alias("copies"),
             F.first("label").alias("label"),
             F.first("unit").alias("unit"),
-        ),
+        )
+        .withColumn("shape", shape),
         "points",
     )
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * cosine)))
-    shape = F.concat_ws(":", F.col("label").cast("string"), F.octet_length("unit").cast("string"))
-    points = points.withColumn("shape", shape)
-    large = {
-        r["shape"]: r["n"]
-        for r in points.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell).toLocalIterator()
-    }
-    pivots, blocks = {}, {}
-    for name, n in large.items():
-        share = min(1.0, 1.2 * PIVOT_SAMPLE / n)
-        chosen = points.filter(F.col("shape") == name).filter(
-            F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(share * 1_000_000)
+    limit = F.lit(cell) if cell else F.greatest(F.lit(256), F.floor(F.lit(CELL_BYTES) / F.col("width")))
+    # the driver sees one row for each label with more than a cell of vectors
+    large = [
+        (r["shape"], r["width"], r["n"], r["most"])
+        for r in points.groupBy("shape", F.octet_length("unit").alias("width"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("most", limit.cast("long"))
+        .filter(F.col("n") > F.col("most"))
+        .toLocalIterator()
+    ]
+    wanted = {name: min(PIVOTS, max(2, 2 * -(-n // most))) for name, _, n, most in large}
+    scale = min(1.0, PIVOT_BYTES / max(1, sum(wanted[name] * width for name, width, _, _ in large)))
+    most_of = {name: most for name, _, _, most in large}
+    pivots: dict[str, np.ndarray] = {}
+    if large:
+        shares = spark.createDataFrame(
+            [(name, min(1.0, 1.2 * PIVOT_SAMPLE / n), max(1, int(scale * wanted[name]))) for name, _, n, _ in large],
+            "shape string, share double, pivots int",
         )
-        sample = chosen.select("unit").limit(PIVOT_SAMPLE).collect()  # a bounded sample: pivots only steer the cells
-        pivots[name] = _choose_pivots(
-            np.stack([np.frombuffer(r["unit"]) for r in sample]), min(PIVOTS, max(2, 2 * -(-n // cell)))
+
+        def choose(f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values("key").head(PIVOT_SAMPLE)  # a bounded sample: pivots only steer the cells
+            chosen = _choose_pivots(_matrix(f["unit"]), int(f["pivots"].iloc[0]))
+            return pd.DataFrame({"shape": f["shape"].iloc[:1], "chosen": [chosen.tobytes()]})
+
+        sampled = points.join(shares, "shape").filter(
+            F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.col("share") * 1_000_000
         )
-    cells = _Cells(pivots, blocks, reach)
+        chosen = sampled.select("shape", "key", "unit", "pivots").groupBy("shape").applyInPandas(choose, "shape string, chosen binary")
+        width_of = {name: width for name, width, _, _ in large}
+        for r in chosen.collect():  # PIVOT_BYTES at most
+            pivots[r["shape"]] = np.frombuffer(bytes(r["chosen"])).reshape(-1, width_of[r["shape"]] // 8)
+
+    def gaps_of(name: str, f: pd.DataFrame) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (_matrix(f["unit"]) @ pivots[name].T)))
 
     def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for name, g in f.groupby("shape"):
-                if name in cells.pivots:
-                    x = np.stack([np.frombuffer(u) for u in g["unit"]])
-                    gaps, own = cells.nearest(name, x)
-                    g = g.assign(own=own, gap=gaps[np.arange(len(g)), own])
-                else:
-                    g = g.assign(own=0, gap=0.0)
-                yield g[["shape", "own", "gap"]]
-
-    names = "shape string, own int, gap double"
-    sizes = (
-        points.select("shape", "unit")
-        .mapInPandas(assign, names)
-        .groupBy("shape", "own")
-        .agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n"))
-    )
-    # at most PIVOTS rows for each label with more than a cell of points
-    for r in sizes.filter(F.col("shape").isin(list(large)) if large else F.lit(False)).collect():
-        cells.radius[r["shape"], r["own"]] = r["radius"]
-        cells.blocks[r["shape"], r["own"]] = -(-r["n"] // cell)
+                gaps = gaps_of(name, g)
+                yield pd.DataFrame({"shape": name, "own": gaps.argmin(axis=1), "gap": gaps.min(axis=1)})
+
+    radius = {name: np.full(len(p), -1.0) for name, p in pivots.items()}
+    blocks = {name: np.zeros(len(p), dtype=np.int64) for name, p in pivots.items()}
+    if large:
+        sizes = (
+            points.join(shares.select("shape"), "shape", "left_semi")
+            .select("shape", "unit")
+            .mapInPandas(assign, "shape string, own int, gap double")
+            .groupBy("shape", "own")
+            .agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n"))
+        )
+        for r in sizes.collect():  # a row for each pivot
+            radius[r["shape"]][r["own"]] = r["radius"]
+            blocks[r["shape"]][r["own"]] = -(-r["n"] // most_of[r["shape"]])
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows (task, side): 0 residents, 1 visitors. Blocks of a large cell visit its earlier blocks."""
+        """Rows (home, span, visit): -1 residents, else visitors. Blocks of a large cell visit its later blocks."""
         for f in frames:
             for name, g in f.groupby("shape"):
-                base = pd.DataFrame({"key": g["key"], "copies": g["copies"], "unit": g["unit"]})
-                if name not in cells.pivots:
-                    yield base.assign(task=f"{name}", side=0)
+                base = g[["key", "copies", "unit"]]
+                if name not in pivots:
+                    yield base.assign(home=f"{name}/0", span=-1, visit=-1)
                     continue
-                x = np.stack([np.frombuffer(u) for u in g["unit"]])
-                gaps, own = cells.nearest(name, x)
+                gaps = gaps_of(name, g)
+                own = gaps.argmin(axis=1)
+                first = np.cumsum(blocks[name]) - blocks[name]
                 hashes = np.array([int.from_bytes(k[:6], "little") for k in g["key"]])
-                for c in range(len(cells.pivots[name])):
-                    if (name, c) not in cells.radius:
-                        continue
-                    blocks = cells.blocks[name, c]
-                    inside = own == c
-                    near = (own < c) & (gaps[:, c] <= cells.radius[name, c] + reach + 1e-7)
-                    slot = hashes % blocks
-                    for b in range(blocks):
-                        if (inside & (slot == b)).any():
-                            yield base[inside & (slot == b)].assign(task=f"{name}/{c}/{b}", side=0)
-                        # visitors come in blocks of their own cells, so one task stays bounded
-                        guests = np.flatnonzero(near | (inside & (slot < b)))
-                        if len(guests):
-                            from_blocks = [
-                                f"{own[i]}.{hashes[i] % cells.blocks[name, int(own[i])]}" for i in guests
-                            ]
-                            yield base.iloc[guests].assign(
-                                task=[f"{name}/{c}/{b}/{v}" for v in from_blocks], side=1
-                            )
-
-    task_schema = "key binary, copies long, unit binary, task string, side int"
-    dealt = points.select("shape", "key", "copies", "unit").mapInPandas(deal, task_schema)
-    dealt = written(dealt, "dealt")
-    residents = dealt.filter("side = 0").withColumnRenamed("task", "home")
-    visitors = dealt.filter("side = 1").withColumn("home", F.regexp_extract("task", r"^(.*)/[^/]*$", 1))
-    # a task for each block of visitors at a cell: the residents are copied to it
-    guests = visitors.select("home", "task").distinct()
-    pairs = residents.join(guests, "home").select("task", "key", "copies", "unit", F.lit(0).alias("side"))
-    work = (
-        residents.select(F.col("home").alias("task"), "key", "copies", "unit", F.lit(0).alias("side"))
-        .unionByName(pairs)
-        .unionByName(visitors.select("task", "key", "copies", "unit", F.lit(1).alias("side")))
-    )
+                slot = hashes % blocks[name][own]
+                block = first[own] + slot
+                yield base.assign(home=[f"{name}/{b}" for b in block], span=-1, visit=-1)
+                cells = np.arange(len(first))
+                within = (own[:, None] < cells) & (gaps <= radius[name] + reach + 1e-7) & (blocks[name] > 0)
+                guest, at = np.nonzero(within)
+                # all blocks of the cells within reach, and the later blocks of one's own
+                who = np.concatenate((guest, np.arange(len(g))))
+                begin = np.concatenate((first[at], block + 1))
+                count = np.concatenate((blocks[name][at], blocks[name][own] - slot - 1))
+                who_all = np.repeat(who, count)
+                homes = np.repeat(begin, count) + np.arange(len(who_all)) - np.repeat(np.cumsum(count) - count, count)
+                if len(who_all):
+                    visit = block[who_all]
+                    yield base.iloc[who_all].assign(home=[f"{name}/{b}" for b in homes], span=visit // SPAN, visit=visit)
 
-    def solve(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("side", kind="stable")
-        x = np.stack([np.frombuffer(u) for u in f["unit"]])
-        weight = f["copies"].to_numpy(np.int64)
-        split = int((f["side"] == 0).sum())
-        if split == len(f):
-            links, roots = _join_cell((x, weight), None, cosine)
-        else:
-            links, roots = _join_cell((x[:split], weight[:split]), (x[split:], weight[split:]), cosine)
-        keys = f["key"].to_numpy()
-        found = (links > 0) | (roots != np.arange(len(f)))
-        return pd.DataFrame({"key": keys[found], "links": links[found], "root": keys[roots[found]]})
-
-    solved = written(work.groupBy("task").applyInPandas(solve, "key binary, links long, root binary"), "solved")
+    dealt = written(
+        points.select("shape", "key", "copies", "unit").mapInPandas(
+            deal, "key binary, copies long, unit binary, home string, span int, visit int"
+        ),
+        "dealt",
+    )
+    residents, visitors = dealt.filter("visit < 0"), dealt.filter("visit >= 0")
+    # a task for each span of visitors at a block: the residents are copied to it
+    asked = visitors.select("home", F.col("span").alias("asked")).distinct()
+    columns = ["home", "span", "visit", "key", "unit", "copies"]
+    copied = residents.join(asked, "home").withColumn("span", F.col("asked"))
+    work = residents.select(columns).unionByName(copied.select(columns)).unionByName(visitors.select(columns))
+    solved = written(
+        work.repartition("home", "span")
+        .sortWithinPartitions("home", "span", "visit")
+        .mapInArrow(_joined(cosine), "key binary, links long, root binary"),
+        "solved",
+    )
+    discard(dealt)
     counts = solved.groupBy("key").agg(F.sum("links").alias("links"))
     comps = components(solved.select(F.col("key").alias("u"), F.col("root").alias("v")))
     named = written(
@@ -274,6 +322,8 @@ def near_copies(embeddings: DataFrame, cosine: float = COSINE, cell: int = CELL)
         ),
         "named",
     )
+    for table in (points, solved, comps):
+        discard(table)
     least = written(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least-ids")
     verdicts = named.join(least, "root").select("key", "n_links", "component_id")
     return (
