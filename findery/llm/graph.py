@@ -16,7 +16,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
         both.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least")), "least"
     )
     moved = written(
-        both.join(least, "u")
+        both.join(least.hint("merge"), "u")
         .filter(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("least").alias("v"))
         .distinct(),
@@ -30,7 +30,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = written(down.groupBy("u").agg(F.min("v").alias("least")), "least")
-    moved = down.join(least, "u").filter(F.col("v") > F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))
+    moved = down.join(least.hint("merge"), "u").filter(F.col("v") > F.col("least")).select(F.col("v").alias("u"), F.col("least").alias("v"))
     found = written(moved.unionByName(least.select("u", F.col("least").alias("v"))).distinct(), "small-stars")
     discard(least)
     return found

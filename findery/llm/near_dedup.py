@@ -62,7 +62,8 @@ SIMILARITY = 0.8
 SHORT = 9
 #: Members that are aligned with one leader in one task, and nodes of a mixed bucket on one side of a block.
 BLOCK = 1024
-#: Bins of the filter by words in common.
+#: Bins of the filters by words in common: of the first, which travels without the words, and of the second.
+FEW_BINS = 256
 BINS = 1024
 #: Windows up to which all permutations are computed at once.
 AT_ONCE = 50_000
@@ -81,8 +82,9 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text) or text.split()
 
 
-def word_codes(words: list[str]) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words))
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """Hashes of words, for windows alone: texts are compared by the words themselves."""
+    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -205,30 +207,46 @@ def _prepared(documents: DataFrame) -> DataFrame:
                 for text in part.column(2).to_pylist():
                     words = words_of(text)
                     if not words:
-                        rows.append((None, None, None, None))
+                        rows.append((None, None, None))
                         continue
                     joined = " ".join(words).encode("utf-8", "surrogatepass")
                     content = hashlib.blake2b(joined, digest_size=16).digest()
                     if content in seen:
-                        rows.append((content, None, None, None))
+                        rows.append((content, None, None))
                         continue
                     seen.add(content)
-                    codes = word_codes(words)
-                    rows.append((content, buckets(codes), len(codes), packed(joined)))
+                    rows.append((content, len(words), packed(joined)))
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                kinds = [pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
+                kinds = [pa.binary(), pa.int32(), pa.binary()]
                 columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *columns], ["doc_id", "digest", "content", "marks", "size", "words"]
+                    [part.column(0), part.column(1), *columns], ["doc_id", "digest", "content", "size", "words"]
                 )
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", _digest().alias("digest"), "text").mapInArrow(
-        run, f"doc_id {id_type}, digest binary, content binary, marks array<long>, size int, words binary"
+        run, f"doc_id {id_type}, digest binary, content binary, size int, words binary"
     )
 
 
+def _marks(nodes: DataFrame) -> DataFrame:
+    """``node, size, bucket`` of every node and each bucket that it falls into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
+                made = [buckets(word_codes(unpacked(data))) for data in part.column(2).to_pylist()]
+                times = pa.array(np.repeat(np.arange(part.num_rows), [len(m) for m in made]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(times), part.column(1).take(times), pa.array(np.concatenate(made))],
+                    ["node", "size", "bucket"],
+                )
+
+    return nodes.select("node", "size", "words").mapInArrow(run, "node long, size int, bucket long")
+
+
 def _digest():
     """Sixteen bytes that stand for a text as it is written, null for null."""
     return F.unhex(F.md5(F.col("text").cast("binary")))
@@ -247,7 +265,7 @@ def _verified(stars: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     asked = dealt.select("leader", "slot", F.lit(True).alias("member"), F.col("node").alias("want")).unionByName(
         heads.select("leader", "slot", F.lit(False).alias("member"), F.col("leader").alias("want"))
     )
-    sent = asked.join(nodes.select(F.col("node").alias("want"), "words"), "want")
+    sent = asked.join(nodes.select(F.col("node").alias("want"), "words").hint("merge"), "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by leader and slot, the leader's own words first."""
@@ -276,17 +294,78 @@ def _verified(stars: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     )
 
 
+def _bins(nodes: DataFrame) -> DataFrame:
+    """``node, size, bins``: how many words fall into each of ``FEW_BINS`` bins, null where a byte can't hold one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = []
+            for data in batch.column(2).to_pylist():
+                counts = np.bincount(word_codes(unpacked(data)) % FEW_BINS, minlength=FEW_BINS)
+                bins.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins, pa.binary())], ["node", "size", "bins"])
+
+    return nodes.select("node", "size", "words").mapInArrow(run, "node long, size int, bins binary")
+
+
+class _Reach:
+    """Nodes of one block or of two by length, and for each the ones before it that it may link with.
+
+    Those are of another component (and of the other block, in two), within
+    reach by length, and share enough words by a count of bins.
+    """
+
+    def __init__(self, sizes: np.ndarray, bins: np.ndarray, roots: np.ndarray, slots: np.ndarray, cross: bool, similarity: float):
+        self.sizes, self.bins, self.roots, self.slots, self.cross = sizes, bins, roots, slots, cross
+        self.most = (sizes * (1 - similarity) + 1e-9).astype(np.int64)
+        # by length, so that those within reach of a text are a run
+        self.lows = np.searchsorted(sizes, sizes - self.most)
+
+    def before(self, i: int) -> np.ndarray:
+        rest = np.arange(self.lows[i], i)
+        apart = self.roots[rest] != self.roots[i]
+        if self.cross:
+            apart &= self.slots[rest] != self.slots[i]
+        rest = rest[apart]
+        # an edit leaves all but one word in common, so fewer common words mean too many edits
+        common = np.minimum(self.bins[rest], self.bins[i]).sum(axis=1, dtype=np.int64)
+        return rest[common >= self.sizes[i] - self.most[i]]
+
+
+def _may_link(similarity: float):
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a block or two that may link with one of another component, by lengths and bins."""
+        f = f.sort_values("size", kind="stable")
+        wide = f["bins"].isna().to_numpy()
+        held = b"".join(b"\xff" * FEW_BINS if w else x for x, w in zip(f["bins"], wide, strict=True))
+        bins = np.frombuffer(held, dtype=np.uint8).reshape(len(f), FEW_BINS)
+        reach = _Reach(f["size"].to_numpy(np.int64), bins, f["root"].to_numpy(), f["slot"].to_numpy(), bool(f["cross"].iloc[0]), similarity)
+        stays = wide.copy()
+        for i in range(1, len(f)):
+            if wide[i]:
+                stays[reach.lows[i] : i] = True  # its bins tell nothing
+                continue
+            found = reach.before(i)
+            if len(found):
+                stays[i] = True
+                stays[found] = True
+        if wide.any():
+            for i in np.flatnonzero(wide).tolist():
+                stays[i : np.searchsorted(reach.lows, i, "right")] = True
+        return f.loc[stays, ["bucket", "low", "high", "node", "root", "slot", "cross"]]
+
+    return run
+
+
 def _between_components(similarity: float):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         """Links between different components of one block or of two; at most one for each two that meet."""
         codes = _Codes()
         f = f.assign(codes=[codes.of(w) for w in f["words"]])
         f = f.assign(length=f["codes"].map(len)).sort_values("length", kind="stable")
-        words, sizes = f["codes"].tolist(), f["length"].to_numpy()
+        words, nodes, roots = f["codes"].tolist(), f["node"].tolist(), f["root"].to_numpy()
         bins = np.stack([np.bincount(w % BINS, minlength=BINS) for w in words]).astype(np.int32)
-        nodes, slots = f["node"].tolist(), f["slot"].to_numpy()
-        cross = bool(f["cross"].iloc[0])
-        roots = f["root"].to_numpy()
+        reach = _Reach(f["length"].to_numpy(), bins, roots, f["slot"].to_numpy(), bool(f["cross"].iloc[0]), similarity)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -295,17 +374,8 @@ def _between_components(similarity: float):
             return x
 
         links = []
-        # by length, so that those within reach of a text are a run
-        most = (sizes * (1 - similarity) + 1e-9).astype(np.int64)
-        lows = np.searchsorted(sizes, sizes - most)
         for i in range(1, len(f)):
-            rest = np.arange(lows[i], i)
-            rest = rest[roots[rest] != roots[i]]
-            if cross:
-                rest = rest[slots[rest] != slots[i]]
-            # an edit leaves all but one word in common, so fewer common words mean too many edits
-            rest = rest[np.minimum(bins[rest], bins[i]).sum(axis=1) >= sizes[i] - most[i]]
-            for j in rest.tolist():
+            for j in reach.before(i).tolist():
                 a, b = root(int(roots[i])), root(int(roots[j]))
                 if a != b and alike(words[i], words[j], similarity):
                     parent[max(a, b)] = min(a, b)
@@ -324,12 +394,12 @@ def _verdicts(documents: DataFrame, similarity: float) -> DataFrame:
     nodes = written(
         prepared.filter(F.col("content").isNotNull())
         .groupBy("content")
-        .agg(F.min(row).alias("least"), *[F.first(c, ignorenulls=True).alias(c) for c in ("marks", "size", "words")])
+        .agg(F.min(row).alias("least"), *[F.first(c, ignorenulls=True).alias(c) for c in ("size", "words")])
         .withColumn("node", F.monotonically_increasing_id()),
         "near-nodes",
     )
     discard(prepared)
-    marks = nodes.select("node", "size", F.explode("marks").alias("bucket"))
+    marks = written(_marks(nodes), "near-marks")
     # aggregates are written before they are joined back, so that the joins can split a common bucket or class
     leaders = written(
         marks.groupBy("bucket")
@@ -337,8 +407,9 @@ def _verdicts(documents: DataFrame, similarity: float) -> DataFrame:
         .filter("n > 1"),
         "near-leaders",
     )
-    members = written(marks.join(leaders, "bucket"), "near-members")
+    members = written(marks.join(leaders.hint("merge"), "bucket"), "near-members")
     discard(leaders)
+    discard(marks)
     longest = F.greatest("size", "leader_size")
     in_reach = F.abs(F.col("size") - F.col("leader_size")) <= F.floor(longest * (1 - similarity) + 1e-9)
     stars = written(
@@ -351,7 +422,7 @@ def _verdicts(documents: DataFrame, similarity: float) -> DataFrame:
     placed = written(
         members.filter("n > 2")
         .select("bucket", F.col("node").alias("own"), "n")
-        .join(roots, F.col("own") == F.col("node"), "left")
+        .join(roots.hint("merge"), F.col("own") == F.col("node"), "left")
         .select("bucket", F.col("own").alias("node"), "n", F.coalesce("root", "own").alias("root")),
         "near-placed",
     )
@@ -373,7 +444,7 @@ def _verdicts(documents: DataFrame, similarity: float) -> DataFrame:
         "near-mixed",
     )
     if not mixed.isEmpty():
-        open_rows = (
+        opened = (
             placed.join(mixed, "bucket")
             .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
             .withColumn("slot", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
@@ -387,12 +458,22 @@ def _verdicts(documents: DataFrame, similarity: float) -> DataFrame:
                 "slot",
             )
             .withColumn("cross", F.col("low") != F.col("high"))
-            .join(nodes.select("node", "words"), "node")
+        )
+        own = placed.join(mixed, "bucket").select("node").distinct()
+        bins = written(_bins(nodes.join(own.hint("merge"), "node", "left_semi")), "near-bins")
+        columns = "bucket long, low int, high int, node long, root long, slot int, cross boolean"
+        within = written(
+            opened.join(bins.hint("merge"), "node").groupBy("bucket", "low", "high").applyInPandas(_may_link(similarity), columns),
+            "near-within",
         )
         more = written(
-            open_rows.groupBy("bucket", "low", "high").applyInPandas(_between_components(similarity), "u long, v long"),
+            within.join(nodes.select("node", "words").hint("merge"), "node")
+            .groupBy("bucket", "low", "high")
+            .applyInPandas(_between_components(similarity), "u long, v long"),
             "near-more",
         )
+        discard(bins)
+        discard(within)
         if not more.isEmpty():
             before = roots
             roots = components(links.unionByName(more))
@@ -402,15 +483,15 @@ def _verdicts(documents: DataFrame, similarity: float) -> DataFrame:
         discard(table)
     classes = written(
         nodes.select("content", "least", F.col("node").alias("own"))
-        .join(roots, F.col("own") == F.col("node"), "left")
+        .join(roots.hint("merge"), F.col("own") == F.col("node"), "left")
         .select("content", "least", F.coalesce("root", "own").alias("root")),
         "near-classes",
     )
     discard(nodes)
     discard(roots)
     named = written(classes.groupBy("root").agg(F.min("least").alias("class_least")), "near-named")
-    verdict = classes.join(named, "root").select(F.col("content").alias("of"), F.col("class_least").alias("least"))
-    return rows.join(verdict, F.col("content") == F.col("of"), "left").select(
+    verdict = classes.join(named.hint("merge"), "root").select(F.col("content").alias("of"), F.col("class_least").alias("least"))
+    return rows.join(verdict.hint("merge"), F.col("content") == F.col("of"), "left").select(
         "doc_id", "digest", F.col("content").isNull().alias("blank"), "least"
     )
 
