@@ -272,7 +272,7 @@ _PLACES = [("hash", pa.int64()), ("key", pa.int64()), ("anchor", pa.int32()), ("
 
 
 def _with_anchors(length: int, gram: int):
-    """Facts of each row, and for the first of equal texts in a task its packed bytes and its anchors."""
+    """``content, doc_id`` of each row, and for the first of equal texts in a task its packed bytes and its anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -281,31 +281,33 @@ def _with_anchors(length: int, gram: int):
             for first in range(0, batch.num_rows, 200):
                 part = batch.slice(first, 200)
                 rows = []
-                for text in part.column(1).to_pylist():
-                    raw = (text or "").encode("utf-8", "surrogatepass")
-                    content, sha = _digest(raw), hashlib.sha256(raw).digest()
+                for content, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
                     if content in seen:
-                        rows.append((content, len(raw), sha, *[None] * 6))
+                        rows.append([None] * 6)
                         continue
                     seen.add(content)
+                    raw = (text or "").encode("utf-8", "surrogatepass")
                     h, at, low, high = anchors(np.frombuffer(raw, dtype=np.uint8), length, gram)
                     at = (at - low).tolist()
                     low, high = low.tolist(), high.tolist()
                     keys = b"".join(_key(raw[i : j + length], a) for a, i, j in zip(at, low, high, strict=True))
-                    rows.append(
-                        (content, len(raw), sha, packed(raw), h.view(np.int64), np.frombuffer(keys, dtype="<i8"), at, low, high)
-                    )
+                    rows.append((packed(raw), h.view(np.int64), np.frombuffer(keys, dtype="<i8"), at, low, high))
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(kind) for _, kind in _PLACES]]
+                kinds = [pa.binary(), *[pa.list_(kind) for _, kind in _PLACES]]
                 columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *columns], ["doc_id", "content", "n_bytes", "sha", "raw", *[name for name, _ in _PLACES]]
+                    [part.column(0), part.column(1), *columns], ["content", "doc_id", "raw", *[name for name, _ in _PLACES]]
                 )
 
     return run
 
 
+def _content() -> Column:
+    """The SHA-256 of a text's bytes, of nothing for null."""
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+
+
 def _cut_contexts(length: int):
     """The contexts that a text is the first reference of."""
 
@@ -439,8 +441,8 @@ def _answers(parts: DataFrame, length: int, later: bool) -> DataFrame:
     )
 
 
-def _split_answers(work: DataFrame, length: int, gram: int, later: bool) -> DataFrame:
-    """``hash, key, every, early`` of the contexts of anchors that have more than ``GROUP``."""
+def _split_answers(work: DataFrame, length: int, gram: int, later: bool, tables: list[DataFrame]) -> DataFrame:
+    """``hash, key, every, early`` of the contexts of anchors that have more than ``GROUP``; ``tables`` gets what it wrote."""
     rank_type = work.schema["rank"].dataType.simpleString()
     times = work.select("hash", "key", "times")
     parts = work.select(
@@ -463,6 +465,7 @@ def _split_answers(work: DataFrame, length: int, gram: int, later: bool) -> Data
         step = -(-step // 2)
         done.append(parts.join(large, "grp", "left_anti"))
         parts = written(parts.join(large, "grp", "left_semi").mapInArrow(_split(step, length), schema), "suffix-parts")
+        tables.append(parts)
     for one in done:
         parts = one.unionByName(parts)
     shared = (
@@ -476,6 +479,7 @@ def _split_answers(work: DataFrame, length: int, gram: int, later: bool) -> Data
         )
     )
     answers = written(_answers(shared, length, later), "suffix-part-answers")
+    tables.append(answers)
     # contexts may share a part: only the first of them holds its first copy
     moved = [F.transform(c, lambda x: x + F.col("shift")).alias(c) for c in ("every", "early")]
     early = F.when(F.col("rank") == F.col("least"), F.col("early")).otherwise(F.col("every")).alias("early")
@@ -487,17 +491,13 @@ def _split_answers(work: DataFrame, length: int, gram: int, later: bool) -> Data
     )
 
 
-def _results(documents: DataFrame, later_only: bool, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of the documents, distinct texts with their first id and copies, and what is left of those that lose bytes."""
+def _results(documents: DataFrame, later_only: bool, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts with their first id and copies, and what is left of those that lose bytes."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
     lists = ", ".join(f"{name} array<{'long' if kind == pa.int64() else 'int'}>" for name, kind in _PLACES)
-    found = written(
-        documents.select("doc_id", "text").mapInArrow(
-            _with_anchors(length, gram), f"doc_id {id_type}, content binary, n_bytes long, sha binary, raw binary, {lists}"
-        ),
-        "suffix-found",
+    found = documents.select(_content().alias("content"), "doc_id", "text").mapInArrow(
+        _with_anchors(length, gram), f"content binary, doc_id {id_type}, raw binary, {lists}"
     )
-    rows = written(found.select("doc_id", "content", "n_bytes", "sha"), "suffix-rows")
     fields = [name for name, _ in _PLACES]
     # texts are numbered once in a written table: fewer bytes than a digest for each anchor
     texts = written(
@@ -510,7 +510,6 @@ def _results(documents: DataFrame, later_only: bool, length: int, gram: int) ->
         .withColumn("tid", F.monotonically_increasing_id()),
         "suffix-texts",
     )
-    discard(found)
     # the order that "earlier" means: by first id, then by text and place
     first = [F.col("first_id").isNull().alias("no_id"), "first_id", "content"] if later_only else []
     placed = texts.select("tid", *first, F.explode(F.arrays_zip(*fields)).alias("a")).select(
@@ -520,7 +519,7 @@ def _results(documents: DataFrame, later_only: bool, length: int, gram: int) ->
     repeated = written(
         placed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "suffix-repeated"
     )
-    references = written(placed.join(repeated, "hash", "left_semi"), "suffix-references")
+    references = written(placed.join(repeated.hint("merge"), "hash", "left_semi"), "suffix-references")
     discard(repeated)
     rank = F.struct(*(["no_id", "first_id", "content"] if later_only else ["tid"]), "low")
     # equal contexts are counted by their keys; their bytes travel once, from the first reference
@@ -542,7 +541,7 @@ def _results(documents: DataFrame, later_only: bool, length: int, gram: int) ->
     rank_type = references.select(rank.alias("rank")).schema["rank"].dataType.simpleString()
     work = written(
         texts.select("tid", "raw")
-        .join(chosen, "tid")
+        .join(chosen.hint("merge"), "tid")
         .select("raw", "places")
         .mapInArrow(_cut_contexts(length), f"hash long, key long, anchor int, times long, rank {rank_type}, context binary"),
         "suffix-work",
@@ -550,21 +549,19 @@ def _results(documents: DataFrame, later_only: bool, length: int, gram: int) ->
     large = written(
         work.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("hash"), "suffix-hot"
     )
-    common = not large.isEmpty()
+    common, tables = not large.isEmpty(), [references, work, large]
     whole = work.join(large, "hash", "left_anti") if common else work
     answers = _answers(whole.withColumnRenamed("hash", "grp").withColumnRenamed("key", "part_key"), length, not later_only)
     answers = answers.select(F.col("grp").alias("hash"), F.col("part_key").alias("key"), "every", "early")
     if common:
-        answers = answers.unionByName(_split_answers(work.join(large, "hash", "left_semi"), length, gram, not later_only))
+        answers = answers.unionByName(_split_answers(work.join(large, "hash", "left_semi"), length, gram, not later_only, tables))
     if later_only:
         # only the first reference of a context can hold first copies
         own = work.select("hash", "key", F.col("rank").alias("first_rank"), "times")
-        answers = answers.join(own, ["hash", "key"]).filter((F.col("times") > 1) | (F.size("early") > 0))
+        answers = answers.join(own.hint("merge"), ["hash", "key"]).filter((F.col("times") > 1) | (F.size("early") > 0))
     else:
         answers = answers.filter(F.size("every") > 0)
-    answers = written(answers, "suffix-answers")
-    discard(work)
-    hits = references.join(answers, ["hash", "key"])
+    hits = references.join(answers.hint("merge"), ["hash", "key"])
     if later_only:
         spans = F.when(rank == F.col("first_rank"), F.col("early")).otherwise(F.col("every"))
     else:
@@ -577,30 +574,30 @@ def _results(documents: DataFrame, later_only: bool, length: int, gram: int) ->
     )
     left = written(
         texts.select("tid", "content", "raw")
-        .join(per_text, "tid")
+        .join(per_text.hint("merge"), "tid")
         .select("content", "raw", "pieces")
         .mapInArrow(_remaining, "content binary, removed long, spans long, rest_sha binary, rest string"),
         "suffix-left",
     )
-    discard(references)
-    discard(answers)
-    facts = written(texts.select("content", "first_id", "copies"), "suffix-facts")
-    discard(texts)
-    return rows, facts, left
+    for table in tables:
+        discard(table)
+    return texts.select("content", "first_id", "copies"), left
 
 
 def repeated_bytes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``: every byte in a string that also starts elsewhere goes."""
-    rows, texts, left = _results(documents, False, length, gram)
-    facts = texts.join(left.drop("rest"), "content", "left").withColumnRenamed("content", "of")
+    texts, left = _results(documents, False, length, gram)
+    facts = texts.join(left.drop("rest").hint("merge"), "content", "left").withColumnRenamed("content", "of")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    rows = documents.select("doc_id", n_bytes, _content().alias("content"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    return rows.join(facts, rows["content"] == facts["of"]).select(
+    return rows.join(facts.hint("merge"), rows["content"] == facts["of"]).select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest()))
-        .otherwise(F.lower(F.hex(F.coalesce("rest_sha", "sha"))))
+        .otherwise(F.lower(F.hex(F.coalesce("rest_sha", "content"))))
         .alias("kept_sha256"),
     )
 
@@ -611,33 +608,25 @@ def keep_first_copies(documents: DataFrame, length: int = LENGTH, gram: int = GR
     A cut inside a character drops the character's other bytes too. Texts that
     are left empty stay as rows; ``n_chars``, if there, counts what is left.
     """
-    rows, texts, left = _results(documents, True, length, gram)
-    changed = left.select("content", "rest").join(texts, "content", "right").filter((F.col("copies") > 1) | F.col("rest").isNotNull())
-    # names of its own, which no column of the documents has
-    changed = changed.select(*[F.col(c).alias(f"__{c}_") for c in ("content", "first_id", "copies", "rest")])
-    names = documents.columns
-
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index("text")
-        for batch in batches:
-            keys = [_digest((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], [*names, "__content"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", `__content` binary"
-    keyed = documents.mapInArrow(key, fields)
-    later = ~F.col("doc_id").eqNullSafe(F.col("__first_id_")) & (F.octet_length("text") >= length)
+    texts, left = _results(documents, True, length, gram)
+    of = [F.col("content").alias("of"), "first_id", "copies", "rest"]
+    changed = left.select("content", "rest").join(texts.hint("merge"), "content", "right").select(*of)
+    changed = changed.filter((F.col("copies") > 1) | F.col("rest").isNotNull())
+    # the documents are one column, so that no name of theirs clashes
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), _content().alias("content"))
+    later = ~F.col("row.doc_id").eqNullSafe(F.col("first_id")) & (F.octet_length("row.text") >= length)
     text = (
-        F.when(F.col("__content_").isNull(), F.col("text"))
-        .when((F.col("__copies_") > 1) & later, F.lit(""))
-        .otherwise(F.coalesce("__rest_", "text"))
+        F.when(F.col("of").isNull(), F.col("row.text"))
+        .when((F.col("copies") > 1) & later, F.lit(""))
+        .otherwise(F.coalesce("rest", "row.text"))
     )
-    out = keyed.join(changed, F.col("__content") == F.col("__content_"), "left").withColumn("__text", text)
+    out = whole.join(changed.hint("merge"), F.col("content") == F.col("of"), "left").withColumn("left_text", text)
     columns = [
-        F.col("__text").alias("text")
+        F.col("left_text").alias("text")
         if n == "text"
-        else F.length("__text").cast(documents.schema["n_chars"].dataType).alias("n_chars")
+        else F.length("left_text").cast(documents.schema["n_chars"].dataType).alias("n_chars")
         if n == "n_chars"
-        else F.col(f"`{n}`")
-        for n in names
+        else F.col(f"row.`{n}`").alias(n)
+        for n in documents.columns
     ]
     return out.select(*columns)
