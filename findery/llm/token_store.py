@@ -269,17 +269,20 @@ def _manifest(spark: SparkSession, path: str) -> tuple[dict, list[tuple[int, int
     return found[0].asDict(), starts
 
 
-def _recipes(spark: SparkSession, path: str, id_type: str) -> DataFrame:
-    """Recipes whose documents have the root and the length that they say."""
+def _recipes(spark: SparkSession, path: str, id_type: str, checked: bool = False) -> DataFrame:
+    """Recipes; if ``checked``, only of documents that have the root and the length that they say."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            for root, digests, lengths, tokens in zip(
-                *(batch.column(i).to_pylist() for i in (5, 6, 7, 4)), strict=True
+            digests, ends = batch.column(6).values.to_pylist(), batch.column(6).offsets.to_pylist()
+            lengths, places = batch.column(7).values.to_numpy(), batch.column(7).offsets.to_numpy()
+            totals = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))[places]
+            if (np.diff(totals) != batch.column(4).to_numpy()).any() or any(
+                merkle_root(digests[a:b]) != root
+                for a, b, root in zip(ends[:-1], ends[1:], batch.column(5).to_pylist(), strict=True)
             ):
-                if merkle_root(digests) != root or sum(lengths) != tokens:
-                    raise StoreError("a document's recipe differs from its root")
+                raise StoreError("a document's recipe differs from its root")
             yield batch
 
     schema = (
@@ -287,7 +290,8 @@ def _recipes(spark: SparkSession, path: str, id_type: str) -> DataFrame:
         "lengths array<int>"
     )
     rows = spark.read.schema(schema + ", kind string").parquet(f"{path}/recipes").filter(F.col("kind") == "document")
-    return rows.drop("kind").mapInArrow(check, schema)
+    rows = rows.drop("kind")
+    return rows.mapInArrow(check, schema) if checked else rows
 
 
 def verify_parts(spark: SparkSession, path: str) -> None:
@@ -363,10 +367,13 @@ def crc32_joined(first: int, second: int, second_bytes: int) -> int:
 def _joined(spark: SparkSession, path: str, manifest: dict, with_data: bool) -> DataFrame:
     """A row for each document with its chunks in order, read from the files."""
     chunks = _checked_chunks(spark, path, manifest["width"], with_data)
-    wanted = _recipes(spark, path, manifest["id_type"]).select("part", "place", F.posexplode("digests").alias("seq", "digest"))
+    wanted = _recipes(spark, path, manifest["id_type"], checked=True).select(
+        "part", "place", F.posexplode("digests").alias("seq", "digest")
+    )
     fields = ["seq", "crc", "ids"] + (["data"] if with_data else [])
+    # a chunk that very many documents hold is one row of this side, and the other side can be split
     return (
-        wanted.join(chunks, "digest", "left")
+        wanted.join(chunks.hint("merge"), "digest", "left")
         .groupBy("part", "place")
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("pieces"))
     )
@@ -385,17 +392,19 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            out = []
-            for pieces in batch.column(2).to_pylist():
-                crc = 0
-                for piece in pieces:
-                    if piece["crc"] is None:
-                        raise StoreError("a chunk is missing")
-                    crc = crc32_joined(crc, piece["crc"], 4 * piece["ids"])
+            pieces, ends = batch.column(2).values, batch.column(2).offsets.to_numpy()
+            crcs, sizes = pieces.field("crc"), pieces.field("ids")
+            if crcs.null_count:
+                raise StoreError("a chunk is missing")
+            read = np.concatenate(([0], np.cumsum(sizes.to_numpy())))
+            crcs, sizes, places, out = crcs.to_pylist(), sizes.to_pylist(), ends.tolist(), []
+            for first, last in zip(places[:-1], places[1:], strict=True):
+                crc = crcs[first] if first < last else 0
+                for i in range(first + 1, last):
+                    crc = crc32_joined(crc, crcs[i], 4 * sizes[i])
                 out.append(crc)
-            read = [sum(p["ids"] for p in pieces) for pieces in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.int64()), pa.array(read, pa.int64())],
+                [batch.column(0), batch.column(1), pa.array(out, pa.int64()), pa.array(np.diff(read[ends]))],
                 ["part", "place", "ids_crc32", "read"],
             )
 

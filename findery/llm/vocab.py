@@ -116,18 +116,19 @@ class IdCache(dict):
         """The ids of distinct chunks."""
         ids = list(map(self.get, chunks))
         lacked = [i for i, own in enumerate(ids) if own is None]
-        if lacked:
-            new = []
-            for i in lacked:
-                ids[i] = self.old.get(chunks[i])
-                if ids[i] is None:
-                    new.append(i)
-            for i, own in zip(new, make([chunks[i] for i in new]), strict=True):
-                ids[i] = own
-            if len(self) + len(lacked) > self.entries:
-                self.old = dict(self)
-                self.clear()
-            self.update((chunks[i], ids[i]) for i in lacked if len(chunks[i]) <= LONGEST)
+        if not lacked:
+            return ids
+        held = list(map(self.old.get, map(chunks.__getitem__, lacked)))
+        new = [chunks[i] for i, own in zip(lacked, held, strict=True) if own is None]
+        made = iter(make(new))
+        for i, own in zip(lacked, held, strict=True):
+            ids[i] = next(made) if own is None else own
+        if len(self) + len(lacked) > self.entries:
+            self.old = dict(self)
+            self.clear()
+        self.update((chunks[i], ids[i]) for i in lacked)
+        for chunk in [chunk for chunk in new if len(chunk) > LONGEST]:
+            del self[chunk]
         return ids
 
 
@@ -140,6 +141,8 @@ class LibraryEncoder:
     """
 
     ENTRIES = 300_000
+    #: Runs of signs whose ids are kept.
+    SIGNS = 10_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -153,6 +156,7 @@ class LibraryEncoder:
         if self.lower:
             check_word_spec(self.spec)
         self.cache = IdCache(self.ENTRIES)
+        self.signs: dict[str, bytes] = {}
         self.line_feed = b"" if self.lower else self.encode_one("\n")
         # white space alone divides the words of the one kind, a line feed is a token of the other
         self.mark = "\x01" if self.lower else "\n"
@@ -167,40 +171,51 @@ class LibraryEncoder:
         """The ids of each chunk of a word vocabulary, or of what follows a space, a line feed or a text's begin."""
         if self.lower:
             return self.encode_plain(chunks, "")
-        fresh = [i for i, chunk in enumerate(chunks) if chunk[:1] in ("\n", "\r")]
-        made = self.encode_plain([" " if chunk[:1] in ("\n", "\r") else chunk for chunk in chunks], " ")
-        for i, ids in zip(fresh, self.encode_plain([chunks[i][1:] for i in fresh], ""), strict=True):
-            made[i] = self.line_feed + ids if chunks[i][0] == "\n" else ids
+        # a chunk after a line feed or at a text's begin isn't after a space
+        fresh = [i for i, chunk in enumerate(chunks) if chunk[:1] < " " and chunk[:1] in ("\n", "\r")]
+        begun = [chunks[i] for i in fresh]
+        if fresh:
+            chunks = chunks.copy()
+            for i in fresh:
+                chunks[i] = ""
+        made = self.encode_plain(chunks, " ")
+        for i, chunk, ids in zip(fresh, begun, self.encode_plain([chunk[1:] for chunk in begun], ""), strict=True):
+            made[i] = self.line_feed + ids if chunk[0] == "\n" else ids
         return made
 
     def encode_plain(self, chunks: list[str], lead: str) -> list[bytes]:
-        """The ids of each chunk, after a space with ``lead``.
+        """The ids of each chunk, after a space with ``lead``; none for an empty one.
 
         Latin letters and the ASCII signs after them are a pre-token each, so the
         library's model gets them as they are; all other chunks go through the
         whole tokenizer.
         """
-        tokenize, space, alphabet, match = self.tokenizer.model.tokenize, self.space if lead else "", self.alphabet, PLAIN.fullmatch
-        known: dict[str, bytes] = {}
-
-        def ids_of(part: str, before: str) -> bytes:
-            ids = known.get(part)
-            if ids is None:
-                mapped = part if part.isascii() else part.encode().decode("latin-1").translate(alphabet)
-                ids = known[part] = array("I", [t.id for t in tokenize(before + mapped)]).tobytes()
-            return ids
-
+        tokenize, alphabet, match = self.tokenizer.model.tokenize, self.alphabet, PLAIN.fullmatch
+        space = self.space if lead else ""
+        known: dict[str, bytes] = {"": b""}
+        signs_known = self.signs
         out: list[bytes | None] = []
         for chunk in chunks:
-            if chunk.isascii() and chunk.isalpha():
-                out.append(ids_of(chunk, space))
-                continue
-            found = match(chunk)
-            if found is None:
-                out.append(None)
-                continue
-            letters, signs = found.groups()
-            out.append(ids_of(letters, space) + ids_of(signs, "") if signs else ids_of(letters, space))
+            if chunk.isalpha() and chunk.isascii():
+                letters, signs = chunk, ""
+            else:
+                found = match(chunk)
+                if found is None:
+                    out.append(b"" if not chunk else None)
+                    continue
+                letters, signs = found.groups()
+            ids = known.get(letters)
+            if ids is None:
+                part = letters if letters.isascii() else letters.encode().decode("latin-1").translate(alphabet)
+                ids = known[letters] = array("I", [t.id for t in tokenize(space + part)]).tobytes()
+            if signs:
+                own = signs_known.get(signs)
+                if own is None:
+                    own = array("I", [t.id for t in tokenize(signs)]).tobytes()
+                    if len(signs_known) < self.SIGNS:
+                        signs_known[signs] = own
+                ids += own
+            out.append(ids)
         other = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(other, self.encode_marked([lead + chunks[i] for i in other]), strict=True):
             out[i] = ids
