@@ -214,6 +214,25 @@ def test_mix(documents, empty, nulls, spark):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_equal_rows_are_mixed_one_by_one(spark):
+    made = [(1, "a b c d e", "s", "x"), *[(7, "one two three four", "t", "y")] * 5, *[(None, "u v w", "t", str(i)) for i in range(4)], (2, "q " * 40, None, "z")]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string, copies string").repartition(3)
+    decided = Counter()
+    for r in mixing.mix(df).collect():
+        decided[r.doc_id] += r.taken
+    whole = mixing.mixed_documents(df)
+    assert whole.columns == df.columns
+    taken, times = Counter(), Counter()
+    for r in whole.collect():
+        taken[r.doc_id] += len(r.text.split())
+        times[tuple(r)] += 1
+    assert mixing.mix(df).count() == len(made) and taken == +decided
+    # of equal rows each is taken as often as another, or once more
+    assert all(times[m] <= 3 * made.count(m) for m in made)
+    own = [times[m] for m in made if m[0] is None]
+    assert max(own) - min(own) <= 1
+
+
 def test_targets():
     assert [(s, t) for _, s, _, t in mixing.source_targets([("b", 10), (None, 5), ("a", 1000)])] == [("a", 970.0), ("b", 30.0), (None, 15.0)]
     assert [t for *_, t in mixing.source_targets([("a", 0), ("b", 8)])] == [0.0, 8.0]
