@@ -11,8 +11,12 @@ from findery.functions.text import document_terms, tokenize
 from findery.schemas import FtsConfig
 
 K1, B = 1.2, 0.75
-#: Query terms up to which the table of terms is sent to every executor; larger batches are joined by shuffle.
-BROADCAST_TERMS = 100_000
+#: Rows of queries and terms up to which they are sent to every executor; larger batches are joined by shuffle.
+BROADCAST_ROWS = 100_000
+#: Terms up to which a query names them in a filter that reaches the scan of stored postings.
+FILTER_TERMS = 256
+#: Contributions are added as whole multiples of this, so that a sum doesn't depend on their order.
+UNIT = 2.0**-40
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -34,7 +38,10 @@ def check_ids(batch: DataFrame) -> None:
 
 
 class Bm25Index:
-    """``docs(id, length)`` and ``tf(id, term, tf)``; immutable, every change gives another index."""
+    """``docs(id, length)`` and ``tf(id, term, tf, length)``; immutable, every change gives another index.
+
+    A posting holds its document's length, so scoring needs no join with ``docs``.
+    """
 
     def __init__(self, docs: DataFrame, tf: DataFrame, config: FtsConfig | None = None):
         self.docs, self.tf = docs, tf
@@ -49,7 +56,10 @@ class Bm25Index:
             check_ids(documents)
         terms = document_terms(documents.select("id", F.coalesce("text", F.lit("")).alias("text")))
         tf = (
-            terms.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+            terms.select("id", "length", F.explode("terms").alias("term"))
+            .groupBy("id", "length", "term")
+            .agg(F.count(F.lit(1)).alias("tf"))
+            .select("id", "term", "tf", "length")
         )
         return Bm25Index(terms.select("id", "length"), tf, config)
 
@@ -112,27 +122,30 @@ class Bm25Index:
             "query_id", F.explode(F.array_distinct(tokenize(F.coalesce("text", F.lit(""))))).alias("term")
         )
         terms = asked.select("term").distinct()
-        if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-            asked, terms = F.broadcast(asked), F.broadcast(terms)
+        few = [r["term"] for r in terms.limit(FILTER_TERMS + 1).collect()]  # bounded
         # only the postings of the terms asked for go on
-        postings = self.tf.join(terms, "term", "left_semi")
-        frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        if len(few) <= FILTER_TERMS:
+            postings = self.tf.filter(F.col("term").isin(few)) if few else self.tf.limit(0)
+            asked = F.broadcast(asked) if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked
+        elif asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            asked = F.broadcast(asked)
+            postings = self.tf.join(F.broadcast(terms), "term", "left_semi")
+        else:
+            postings = self.tf.join(terms, "term", "left_semi")
+        # names all columns of a posting, so that both uses of the postings share one exchange
+        held = (F.col("tf") > 0) & (F.col("length") > 0) & F.col("id").isNotNull()
+        frequency = postings.groupBy("term").agg(F.count_if(held).alias("df"))
         value = term_score(
             idf(F.col("n_docs"), F.col("df")), F.col("tf"), F.col("length"), F.nullif("avgdl", F.lit(0.0))
         )
         weighted = (
             postings.join(frequency, "term")
-            .join(self.docs, "id")
             .crossJoin(F.broadcast(self.stats()))  # one row
-            .select("term", "id", value.alias("part"))
+            .select("term", "id", F.round(value / F.lit(UNIT)).cast("long").alias("part"))
         )
-        # added in term order, so equal documents get equal bits
-        parts = F.array_sort(F.collect_list(F.struct("term", "part")))
-        total = F.aggregate("parts", F.lit(0.0), lambda sum_, p: sum_ + p["part"])
         return (
             weighted.join(asked, "term")
             .groupBy("query_id", "id")
-            .agg(parts.alias("parts"))
-            .select("query_id", "id", total.alias("exact"))
+            .agg((F.sum("part") * F.lit(UNIT)).alias("exact"))
             .withColumn("score", F.col("exact").cast("float"))
         )

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from findery.errors import InvalidKConstant
 
 DEFAULT_K = 60.0
+#: Fused rows that one task ranks.
+RANKED_TOGETHER = 200_000
 
 
 def rrf(rankings: DataFrame, k: float = DEFAULT_K, limit: int | None = None) -> DataFrame:
@@ -26,10 +28,27 @@ def rrf(rankings: DataFrame, k: float = DEFAULT_K, limit: int | None = None) ->
     fused = best.groupBy("id").agg(parts.alias("parts")).select(
         "id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("exact")
     )
+    order = [F.col("exact").desc(), F.col("id").asc()]
     if limit is not None:
-        fused = fused.orderBy(F.col("exact").desc(), "id").limit(limit)
-    rank = F.row_number().over(Window.orderBy(F.col("exact").desc(), "id"))  # rankings hold a few rows for a query
-    return fused.select(rank.alias("rank"), "id", F.col("exact").cast("float").alias("score"), "exact")
+        best = fused.orderBy(*order).limit(limit)
+        ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # the window sees limit rows
+    else:
+        ranked = _numbered(fused)
+    return ranked.select("rank", "id", F.col("exact").cast("float").alias("score"), "exact")
+
+
+def _numbered(fused: DataFrame) -> DataFrame:
+    """``id, exact`` with its ``rank``: ranks within ranges of ``exact``, and what the ranges before hold."""
+    rows = fused.count()
+    ranges = -(-rows // RANKED_TOGETHER)
+    bounds = fused.approxQuantile("exact", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
+    above = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x > F.col("exact"))) if bounds else F.lit(0)
+    ranged = fused.withColumn("range", above)
+    counts = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("held"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = counts.select("range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(F.col("exact").desc(), "id"))
+    return ranged.withColumn("own", own).join(starts, "range").withColumn("rank", (F.col("own") + F.col("start")).cast("int"))
 
 
 def as_rankings(*rankings: DataFrame) -> DataFrame:

@@ -121,18 +121,6 @@ def config_from_json(value: dict) -> HnswConfig | FtsConfig:
     return FtsConfig(make(value["tokenizer"]), tuple(make(f) for f in value["filters"]))
 
 
-def tf_schema(id_type: T.DataType) -> T.StructType:
-    return T.StructType().add("id", id_type).add("term", T.StringType()).add("tf", T.LongType())
-
-
-def docs_schema(id_type: T.DataType) -> T.StructType:
-    return T.StructType().add("id", id_type).add("length", T.LongType())
-
-
-def vectors_schema(id_type: T.DataType) -> T.StructType:
-    return T.StructType().add("id", id_type).add("vector", T.ArrayType(T.FloatType()))
-
-
 def member_table_schema(id_type: T.DataType) -> T.StructType:
     return (
         T.StructType()
@@ -142,5 +130,3 @@ def member_table_schema(id_type: T.DataType) -> T.StructType:
         .add("supersedes", T.LongType())
     )
 
-
-PREVIOUS = T.StructType().add("provenance", T.StringType()).add("introduced", T.LongType()).add("supersedes", T.LongType())
