@@ -9,12 +9,14 @@ batches, diffs and indexes stay distributed.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ from findery.sources.snapshot import check_fts, check_vector_payload, read_table
 Config = HnswConfig | FtsConfig
 #: Deepest JSON value of a consumer's provenance or retention.
 MOST_DEPTH = 64
+#: Members up to which a digest reads them one by one.
+STREAMED = 1_000_000
 INTEGER_TYPES = {"tinyint", "smallint", "int", "bigint"}
 
 
@@ -160,6 +164,11 @@ def check_json(value: object) -> None:
             raise E.UnencodableOperation(type(v).__name__)
 
 
+def repeated_ids(members: DataFrame) -> DataFrame:
+    """``id, times`` of the ids that a batch names twice or more."""
+    return members.groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+
+
 class Checked:
     """An operation that passed every check that needs no stored state, in their fixed order."""
 
@@ -172,7 +181,7 @@ class Checked:
             if isinstance(change, Insert | Remove) and members.isEmpty():
                 raise E.EmptyBatch(str(change.transition))
             if not isinstance(change, Remove):
-                twice = members.groupBy("id").count().filter("count > 1").orderBy("id").first()
+                twice = repeated_ids(members).orderBy("id").first()
                 if twice is not None:
                     raise E.DuplicateMember(str(twice["id"])[:64])
             kind = members.schema["id"].dataType.simpleString()
@@ -195,7 +204,12 @@ class Checked:
         self.digest = self._digest()
 
     def _digest(self) -> str:
-        """Members stream to the driver in id order: the hash is sequential by definition."""
+        """SHA-256 of the operation's canonical form.
+
+        Up to ``STREAMED`` members stream to the driver in id order, as the form is
+        sequential. Of larger batches the executors hash each member, and the sum
+        of these hashes stands for the members; both depend on the content alone.
+        """
         o, change, w = self.operation, self.operation.change, self.widths
         fields: list[tuple[str, bytes | None]] = []
         if isinstance(change, Create | Rebuild):
@@ -213,22 +227,45 @@ class Checked:
             if raw is not None:
                 out.add(raw)
                 continue
-            rows = self.members.orderBy("id")
-            out.add(D.sequence_start(rows.count()))
-            for r in rows.toLocalIterator():
+            count = self.members.count()
+            out.add(D.sequence_start(count))
+            if count > STREAMED:
+                out.add(self._members_sum())
+                continue
+            for r in self.members.orderBy("id").toLocalIterator():
                 out.add(D.item(self._canonical_member(r)))
         return out.add(D.string("transition")).add(D.string(str(change.transition).capitalize())).hex()
 
-    def _canonical_member(self, row) -> object:
-        own = _typed(row["id"], self.widths.id_bits)
-        if isinstance(self.operation.change, Remove):
-            return own
-        if self.family == Family.VECTOR:
-            content = D.Variant("vector_bits", [D.component_bits(x) for x in row["vector"]])
-        else:
-            content = D.Variant("document", row["text"] or "")
-        provenance = _typed(_consumer(row["provenance"]), self.widths.provenance_bits)
-        return {"id": own, "provenance": provenance, "content": content}
+    def _members_sum(self) -> bytes:
+        """The sum of the members' hashes modulo 2 ** 256: a row for each partition comes to the driver."""
+        canonical = self._canonical_member
+
+        def hashed(batches):
+            total = 0
+            for batch in batches:
+                for row in batch.to_pylist():
+                    total += int.from_bytes(hashlib.sha256(D.item(canonical(row))).digest(), "big")
+            yield pa.RecordBatch.from_pydict({"total": [(total % (1 << 256)).to_bytes(32, "big")]})
+
+        parts = self.members.mapInArrow(hashed, "total binary").toLocalIterator()
+        return (sum(int.from_bytes(bytes(r["total"]), "big") for r in parts) % (1 << 256)).to_bytes(32, "big")
+
+    @property
+    def _canonical_member(self):
+        """A member's canonical form, as a function that executors can take."""
+        widths, ids_only, vectors = self.widths, isinstance(self.operation.change, Remove), self.family == Family.VECTOR
+
+        def canonical(row) -> object:
+            own = _typed(row["id"], widths.id_bits)
+            if ids_only:
+                return own
+            if vectors:
+                content = D.Variant("vector_bits", [D.component_bits(x) for x in row["vector"]])
+            else:
+                content = D.Variant("document", row["text"] or "")
+            return {"id": own, "provenance": _typed(_consumer(row["provenance"]), widths.provenance_bits), "content": content}
+
+        return canonical
 
 
 def canonical_config(config: Config) -> D.Variant:
@@ -307,18 +344,23 @@ class PublishedIndex:
         return self._hits(self.engine.query(text, k))
 
     def _hits(self, ranked: DataFrame) -> DataFrame:
-        hits = changes.with_provenance(ranked, self.members.withColumn("held", F.lit(True)), self.version)
-        lost = ranked.join(self.members.select("id"), "id", "left_anti")
-        if not lost.isEmpty():
-            raise E.CorruptSnapshot("a hit isn't in the member table")
-        return hits.orderBy("rank")
+        """Hits with their provenance and this version; a hit without a member is corruption, told when it is read."""
+        held = self.members.select("id", "provenance", F.lit(True).alias("held"))
+        lost = F.raise_error(F.lit(f"{E.CorruptSnapshot.__name__}: a hit isn't in the member table")).cast("string")
+        found = ranked.join(held, "id", "left").withColumn(
+            "provenance", F.when(F.col("held").isNull(), lost).otherwise(F.col("provenance").cast("string"))
+        )
+        return found.select("rank", "id", "score", "provenance", F.lit(self.version).cast("long").alias("version")).orderBy("rank")
 
 
 class Lifecycle:
     """Operations on the indexes of one store; data folders lie below ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str, store: LifecycleStore, widths: Widths | None = None):
+    def __init__(
+        self, spark: SparkSession, root: str, store: LifecycleStore, widths: Widths | None = None, check_on_read: bool = True
+    ):
         self.spark, self.root, self.store = spark, root.rstrip("/"), store
+        self.check_on_read = check_on_read
         self.files = Files(spark, root)
         self.widths = widths or Widths()
 
@@ -364,7 +406,10 @@ class Lifecycle:
             engine = VectorIndex(tables["vectors"], config)
         else:
             engine = Bm25Index(tables["docs"], tables["tf"], config)
-        return PublishedIndex(index, version, config, engine, tables["members"])
+        published = PublishedIndex(index, version, config, engine, tables["members"])
+        if self.check_on_read:
+            check_payload(published)
+        return published
 
     # writing
     def apply(self, operation: Operation) -> Receipt:
@@ -461,7 +506,7 @@ class Prepared:
             else:
                 engine = Bm25Index(
                     spark.createDataFrame([], "id long, length long"),
-                    spark.createDataFrame([], "id long, term string, tf long"),
+                    spark.createDataFrame([], "id long, term string, tf long, length long"),
                     config,
                 )
             return config, engine, empty, None
@@ -495,22 +540,30 @@ class Prepared:
         return old.insert(members)
 
     def stage(self) -> Staged:
-        """Writes the new version and its marker. The head doesn't move, so nobody reads it yet."""
+        """Writes the new version and its marker. The head doesn't move, so nobody reads it yet.
+
+        All that the log will hold is encoded, and refused if too large, before anything is written.
+        """
         lifecycle, operation = self.lifecycle, self.operation
         index = operation.index
-        op_key = keys.operation(index.namespace, index.name, operation.key)
+        destroyed = isinstance(operation.change, Destroy)
+        config = operation.change.config if isinstance(operation.change, Create | Rebuild) else self.current.config
+        path = None if isinstance(operation.change, Create) else f"{self._folder}/changes"
+        marker = json.dumps(
+            {"format_version": FORMAT_VERSION, "operation": operation.key, "digest": self.checked.digest, "predecessor": self.version - 1 or None},
+            sort_keys=True,
+        )
+        staged = Staged(self, None if destroyed else marker, path, config)
+        lifecycle.store.refuse_oversized(marker=marker, payload=self._folder, head=staged.head, record=json.dumps(staged.record))
         try:
-            if isinstance(operation.change, Destroy):
-                path = f"{self._folder}/changes"
+            if destroyed:
                 changes.destroy(self.current.members).write.parquet(f"{lifecycle.root}/{path}")
-                return Staged(self, None, path, self.current.config)
-            config, engine, table, found = self._built()
+                return staged
+            _, engine, table, found = self._built()
             tables = {"members": table}
             tables |= {"vectors": engine.vectors} if config.family == Family.VECTOR else {"docs": engine.docs, "tf": engine.tf}
             facts = write_tables(tables, f"{lifecycle.root}/{self._folder}")
-            path = None
             if found is not None:
-                path = f"{self._folder}/changes"
                 found.write.parquet(f"{lifecycle.root}/{path}")
             manifest = {
                 "format_version": FORMAT_VERSION,
@@ -527,34 +580,28 @@ class Prepared:
             raise
         except Exception as e:
             raise E.Persistence(str(e)[:500]) from e
-        marker = json.dumps(
-            {"format_version": FORMAT_VERSION, "operation": operation.key, "digest": self.checked.digest, "predecessor": self.version - 1 or None},
-            sort_keys=True,
-        )
         version = keys.version(index.namespace, index.name, self.version)
+        op_key = keys.operation(index.namespace, index.name, operation.key)
         lifecycle.store.stage(index.key, self.head, version, marker, self._folder, op_key)
-        return Staged(self, marker, path, config)
+        return staged
 
 
 class Staged:
     def __init__(self, prepared: Prepared, marker: str | None, changes_path: str | None, config: Config):
-        self.prepared, self.marker, self.changes_path, self.config = prepared, marker, changes_path, config
-
-    def publish(self) -> Receipt:
-        """The one point at which the operation becomes visible."""
-        p = self.prepared
-        index, change, store = p.operation.index, p.operation.change, p.lifecycle.store
+        self.prepared, self.marker = prepared, marker
+        p, change = prepared, prepared.operation.change
         destroyed = isinstance(change, Destroy)
         head = {
             "format_version": FORMAT_VERSION,
-            "index": index.key,
+            "index": p.operation.index.key,
             "state": str(StateKind.DESTROYED if destroyed else StateKind.ACTIVE),
             "version": p.version,
-            "config": self.config.to_json(),
+            "config": config.to_json(),
         }
         if destroyed:
             head |= {"retention": change.retention, "operation": p.operation.key}
-        record = {
+        self.head = json.dumps(head, sort_keys=True)
+        self.record = {
             "format_version": FORMAT_VERSION,
             "key": p.operation.key,
             "digest": p.checked.digest,
@@ -562,19 +609,23 @@ class Staged:
             "from": None if p.record is None else p.record["version"],
             "version": p.version,
             "previous_config": p.record["config"] if isinstance(change, Rebuild) else None,
-            "changes": self.changes_path,
+            "changes": changes_path,
         }
-        op_key = keys.operation(index.namespace, index.name, p.operation.key)
-        head_raw, record_raw = json.dumps(head, sort_keys=True), json.dumps(record, sort_keys=True)
+
+    def publish(self) -> Receipt:
+        """The one point at which the operation becomes visible."""
+        p = self.prepared
+        index, store = p.operation.index, p.lifecycle.store
+        op_key, record = keys.operation(index.namespace, index.name, p.operation.key), json.dumps(self.record, sort_keys=True)
         try:
-            if destroyed:
-                store.destroy(index.key, p.head, head_raw, op_key, record_raw)
+            if self.marker is None:
+                store.destroy(index.key, p.head, self.head, op_key, record)
             else:
                 version = keys.version(index.namespace, index.name, p.version)
-                store.publish(index.key, p.head, version, self.marker, head_raw, op_key, record_raw)
+                store.publish(index.key, p.head, version, self.marker, self.head, op_key, record)
         finally:
             p.close()
-        return Receipt(p.version, False, record)
+        return Receipt(p.version, False, self.record)
 
 
 def _decode(raw: str, what: str) -> dict:
@@ -600,13 +651,15 @@ def _decode_head(raw: str, index: IndexIdentity) -> dict:
 
 def check_payload(published: PublishedIndex) -> None:
     """The invariants of a version: engine and member table hold the same ids, versions are in order."""
-    ids = published.engine.member_ids()
-    table = published.members
     if published.config.family == Family.VECTOR:
         check_vector_payload(published.engine)
+        ids = published.engine.vectors.select(F.col("id").alias("own"))
     else:
         check_fts(published.engine)
-    apart = ids.join(table.select("id"), "id", "left_anti").limit(1).count() + table.join(ids, "id", "left_anti").limit(1).count()
-    late = table.filter(f"introduced > {published.version} OR introduced < 1 OR supersedes >= introduced").limit(1).count()
-    if apart or late:
+        ids = published.engine.docs.select(F.col("id").alias("own"))
+    late = F.expr(f"introduced > {published.version} OR introduced < 1 OR supersedes >= introduced")
+    apart = ids.join(published.members, F.col("own") == F.col("id"), "full_outer").filter(
+        F.col("own").isNull() | F.col("id").isNull() | late
+    )
+    if not apart.isEmpty():
         raise E.CorruptSnapshot("engine and member table disagree")
