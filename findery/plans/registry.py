@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from findery.functions.distance import not_finite
 from findery.functions.text import tokenize
 from findery.operators import ann, changes
 from findery.operators.bm25 import Bm25Index, idf
 from findery.operators.fusion import as_rankings, hybrid, rrf
+from findery.operators.hnsw import HnswIndex
 from findery.operators.vectors import VectorIndex
-from findery.schemas import HnswConfig, StateKind, Transition, VectorDistance, is_permitted_from
+from findery.plans import lifecycle_queries
+from findery.plans.lifecycle import IndexIdentity, PublishedIndex, repeated_ids
+from findery.schemas import FtsConfig, HnswConfig, StateKind, Transition, VectorDistance, is_permitted_from
+from findery.sources.folders import shared_dir
 from findery.sources.keys import operation_key, staging_key, version_key
 from findery.sources.snapshot import SnapshotStore
 
@@ -53,7 +57,7 @@ def fts_doc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fts_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).tf
+    return _index(spark, sf_dir).tf.select("id", "term", "tf")
 
 
 def fts_doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +93,7 @@ def bm25_batch_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_after_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    batch = docs.filter("id % 7 = 0").select("id", F.concat(F.lit("licensed replaced "), F.substring("text", 1, 40)).alias("text"))
+    batch = docs.filter("id % 7 = 0").select("id", F.concat(F.lit("licensed replaced "), "text").alias("text"))
     return _ranked(Bm25Index.build(docs, check=False).insert(batch).query("licensed replaced", K))
 
 
@@ -146,6 +150,32 @@ def knn_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.recall(index.query_batch(queries, K), exact.query_batch(queries, K))
 
 
+def hnsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall at 10 of the navigable graphs, for every vector of the table; it has no SQL."""
+    queries = _vectors(spark, sf_dir).withColumnRenamed("id", "query_id")
+    exact = _vector_index(spark, sf_dir, VectorDistance.L2)
+    index = HnswIndex.build(exact.vectors, exact.config)
+    return ann.recall(index.query_batch(queries, K), exact.query_batch(queries, K))
+
+
+def hnsw_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of the graphs' vectors after an insert of doubled ids and a removal of tripled ones; refuses broken graphs."""
+    rows = _vectors(spark, sf_dir)
+    index = HnswIndex.build(rows, HnswConfig(64)).insert(rows.withColumn("id", F.col("id") * 2))
+    index = index.remove(rows.withColumn("id", F.col("id") * 3))
+    index.check()
+    return index.member_ids()
+
+
+def hnsw_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every vector, whether its links on the lowest level keep the limit, and its own row is there once."""
+    degrees = HnswIndex.build(_vectors(spark, sf_dir), HnswConfig(64)).degrees()
+    return degrees.groupBy("id").agg(
+        F.count_if(F.col("level") == 0).alias("lowest"),
+        F.max(F.col("neighbours") > F.when(F.col("level") == 0, 32).otherwise(16)).alias("over_limit"),
+    )
+
+
 def knn_zero_vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.array_repeat(F.lit(0.0).cast("float"), 64).alias("vector"))
     index = VectorIndex(_vectors(spark, sf_dir).unionByName(zero), HnswConfig(64, VectorDistance.COSINE))
@@ -177,21 +207,32 @@ def validate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- fusion -------------------------------------------------------------------------------------------------------
 
 
-def _by(column: str, direction: str, table: str, id_column: str, depth: int) -> Query:
-    def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from pyspark.sql.window import Window
+#: Ids of one block, which one task ranks.
+ID_BLOCK = 100_000
+
 
-        key = F.col(column).asc() if direction == "asc" else F.col(column).desc()
-        top = _table(spark, sf_dir, table).orderBy(key, id_column).limit(depth)
-        rank = F.row_number().over(Window.orderBy(key, id_column))
-        return top.select(rank.alias("rank"), F.col(id_column).alias("id"))
+def _by(column: str, direction: str) -> Query:
+    """All documents ranked by a column, then id."""
+
+    def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _table(spark, sf_dir, "documents").select(
+            F.col("doc_id").alias("id"), F.col(column).alias("value"), F.floor(F.col("doc_id") / ID_BLOCK).alias("block")
+        )
+        value = F.col("value").asc_nulls_last() if direction == "asc" else F.col("value").desc_nulls_last()
+        # ranks within a value's block of ids, and what the blocks before hold
+        before = Window.orderBy(value, "block").rowsBetween(Window.unboundedPreceding, -1)
+        starts = docs.groupBy("value", "block").agg(F.count(F.lit(1)).alias("held"))
+        starts = starts.select(
+            F.col("value").alias("of"), F.col("block").alias("part"), F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start")
+        )
+        own = F.row_number().over(Window.partitionBy("value", "block").orderBy("id"))
+        same = F.col("value").eqNullSafe(F.col("of")) & (F.col("block") == F.col("part"))
+        return docs.withColumn("own", own).join(starts, same).select((F.col("own") + F.col("start")).alias("rank"), "id")
 
     return ranked
 
 
-_LONGEST = _by("n_chars", "desc", "documents", "doc_id", 50)
-_SHORTEST = _by("n_chars", "asc", "documents", "doc_id", 60)
-_BY_LANG = _by("lang", "asc", "documents", "doc_id", 70)
+_LONGEST, _SHORTEST, _BY_LANG = _by("n_chars", "desc"), _by("n_chars", "asc"), _by("lang", "asc")
 
 
 def rrf_default(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,8 +264,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _member_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0")
-    return docs.select(
+    return _table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.col("source").alias("provenance"),
         F.lit(2).cast("long").alias("introduced"),
@@ -232,9 +272,10 @@ def _member_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _batch(spark: SparkSession, sf_dir: str, where: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").filter(where)
-    return docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("provenance"))
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under doubled ids: some are members, some are new, and some members aren't named."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.select((F.col("doc_id") * 2).alias("id"), F.col("lang").alias("provenance"))
 
 
 def _flat(found: DataFrame) -> DataFrame:
@@ -244,19 +285,19 @@ def _flat(found: DataFrame) -> DataFrame:
 
 
 def lifecycle_insert_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(changes.insert(_batch(spark, sf_dir, "doc_id % 4 = 0"), _member_table(spark, sf_dir), 3)[0])
+    return _flat(changes.insert(_batch(spark, sf_dir), _member_table(spark, sf_dir), 3)[0])
 
 
 def lifecycle_member_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.insert(_batch(spark, sf_dir, "doc_id % 4 = 0"), _member_table(spark, sf_dir), 3)[1]
+    return changes.insert(_batch(spark, sf_dir), _member_table(spark, sf_dir), 3)[1]
 
 
 def lifecycle_remove_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(changes.remove(_batch(spark, sf_dir, "doc_id % 5 = 0"), _member_table(spark, sf_dir))[0])
+    return _flat(changes.remove(_batch(spark, sf_dir), _member_table(spark, sf_dir))[0])
 
 
 def lifecycle_rebuild_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(changes.rebuild(_batch(spark, sf_dir, "doc_id % 2 = 0"), _member_table(spark, sf_dir), 4)[0])
+    return _flat(changes.rebuild(_batch(spark, sf_dir), _member_table(spark, sf_dir), 4)[0])
 
 
 def lifecycle_destroy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,13 +307,12 @@ def lifecycle_destroy_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lifecycle_hits_with_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     table = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("provenance"))
-    hits = changes.with_provenance(_index(spark, sf_dir).query(TERMS, K).withColumn("score", F.col("exact")), table, 2)
-    return hits.withColumn("score", F.round("score", 6))
+    published = PublishedIndex(IndexIdentity("example", "documents"), 2, FtsConfig.simple(), _index(spark, sf_dir), table)
+    return published.query_text(TERMS, K).withColumn("score", F.round(F.col("score").cast("double"), 4))
 
 
 def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"))
-    return ids.groupBy("id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    return repeated_ids(_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id")))
 
 
 def permission_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,9 +336,7 @@ def storage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession) -> SnapshotStore:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    root = f"{shared.rstrip('/')}/snapshots-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='findery-')}"
-    return SnapshotStore(spark, root)
+    return SnapshotStore(spark, f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}")
 
 
 def snapshot_roundtrip_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,13 +355,13 @@ def queries() -> dict[str, Query]:
     plain = [
         fts_doc_length, fts_term_counts, fts_doc_frequency, fts_corpus_stats, fts_idf, fts_tokens, bm25_batch_benchmark,
         bm25_after_replace, bm25_after_remove, bm25_conversations, fts_semi_join_quality, knn_batch, knn_batch_cosine,
-        knn_ann_recall, knn_zero_vector_cosine, knn_after_replace, knn_after_remove, knn_semi_join_label, validate_vectors, rrf_default,
+        knn_ann_recall, hnsw_recall, hnsw_members, hnsw_degrees, knn_zero_vector_cosine, knn_after_replace, knn_after_remove, knn_semi_join_label, validate_vectors, rrf_default,
         rrf_custom_k, rrf_three_rankings, rrf_duplicate_ids, hybrid_search, lifecycle_insert_changes,
         lifecycle_member_table, lifecycle_remove_changes, lifecycle_rebuild_changes, lifecycle_destroy_changes,
         lifecycle_hits_with_provenance, duplicate_members, permission_table, storage_keys, snapshot_roundtrip_bm25,
         snapshot_roundtrip_knn,
     ]
-    found: dict[str, Query] = {f.__name__: f for f in plain}
+    found: dict[str, Query] = {f.__name__: f for f in plain} | lifecycle_queries.queries()
     found |= {
         "bm25_single_term": _bm25("licensed"),
         "bm25_multi_term": _bm25(TERMS),
@@ -394,8 +432,8 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CAST
 SELECT {out}rank, id, round(exact, 6) AS score FROM ranked WHERE rank <= {K}"""
 
 
-def _top(key: str, depth: int) -> str:
-    return f"SELECT row_number() OVER (ORDER BY {key}, doc_id) AS rank, doc_id AS id FROM documents QUALIFY rank <= {depth}"
+def _top(key: str) -> str:
+    return f"SELECT row_number() OVER (ORDER BY {key}, doc_id) AS rank, doc_id AS id FROM documents"
 
 
 def _rrf_sql(k: str, *rankings: str) -> str:
@@ -405,12 +443,11 @@ fused AS (SELECT id, sum(1::DOUBLE / ({k}::DOUBLE + best) ORDER BY ranking_idx)
 SELECT CAST(row_number() OVER (ORDER BY exact DESC, id) AS INTEGER) AS rank, id, round(exact, 6) AS score FROM fused"""
 
 
-_LONG, _SHORT, _LANG = _top("n_chars DESC", 50), _top("n_chars", 60), _top("lang", 70)
-_TABLE = "SELECT doc_id AS id, source AS provenance, 2::BIGINT AS introduced, NULL::BIGINT AS supersedes FROM documents WHERE doc_id % 3 <> 0"
+_LONG, _SHORT, _LANG = _top("n_chars DESC NULLS LAST"), _top("n_chars"), _top("lang")
+_TABLE = "SELECT doc_id AS id, source AS provenance, 2::BIGINT AS introduced, NULL::BIGINT AS supersedes FROM documents"
 
 
-def _batch_sql(where: str) -> str:
-    return f"SELECT doc_id AS id, lang AS provenance FROM documents WHERE {where}"
+_BATCH = "SELECT doc_id * 2 AS id, lang AS provenance FROM documents"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -418,7 +455,7 @@ def oracle_sql() -> dict[str, str]:
         ("create", ["absent"]), ("insert", ["active"]), ("remove", ["active"]), ("rebuild", ["active"]), ("destroy", ["active"]),
         ("publish", ["absent", "active"]), ("recover", ["absent", "active", "destroyed"])) for s in cells}
     cells = " OR ".join(f"(t = '{t}' AND s = '{s}')" for t, s in sorted(permitted))
-    replaced = "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'licensed replaced ' || substring(text, 1, 40) ELSE text END AS text FROM documents"
+    replaced = "SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'licensed replaced ' || text ELSE text END AS text FROM documents"
     benchmark = "SELECT item_id AS query_id, text FROM benchmark"
     every50 = "SELECT vec_id AS query_id, embedding AS vector FROM embeddings WHERE vec_id % 50 = 0"
     old = "old.provenance AS old_provenance, old.introduced AS old_introduced"
@@ -443,6 +480,8 @@ def oracle_sql() -> dict[str, str]:
         "knn_inner_product": _knn_sql("inner_product"),
         "knn_batch": _knn_sql("l2", asked=every50, out="query_id, "),
         "knn_batch_cosine": _knn_sql("cosine", asked=every50, out="query_id, "),
+        "hnsw_members": "SELECT id FROM (SELECT vec_id AS id FROM embeddings UNION SELECT vec_id * 2 FROM embeddings) WHERE id NOT IN (SELECT vec_id * 3 FROM embeddings)",
+        "hnsw_degrees": "SELECT vec_id AS id, 1::BIGINT AS lowest, FALSE AS over_limit FROM embeddings",
         "knn_zero_vector_cosine": _knn_sql("cosine", f"{_E} UNION ALL SELECT -1, list_transform(range(64), lambda x: 0::FLOAT)", "SELECT 0 AS query_id, list_transform(range(64), lambda x: 0::FLOAT) AS vector"),
         "knn_after_replace": _knn_sql("l2", "SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding, lambda x: (-x)::FLOAT) ELSE embedding END AS vector FROM embeddings"),
         "knn_after_remove": _knn_sql("l2", f"{_E} WHERE vec_id % 5 <> 0"),
@@ -453,15 +492,15 @@ def oracle_sql() -> dict[str, str]:
         "rrf_three_rankings": _rrf_sql("60", _LONG, _SHORT, _LANG),
         "rrf_duplicate_ids": _rrf_sql("60", f"SELECT rank, id FROM ({_LONG}) UNION ALL SELECT rank + 50, id FROM ({_LONG})", _LANG),
         "hybrid_search": _rrf_sql("60", _bm25_sql(TERMS), _knn_sql("cosine")),
-        "lifecycle_insert_changes": f"SELECT b.id, CASE WHEN old.id IS NULL THEN 'inserted' ELSE 'replaced' END AS change, {old} FROM ({_batch_sql('doc_id % 4 = 0')}) b LEFT JOIN ({_TABLE}) old ON b.id = old.id",
-        "lifecycle_member_table": f"WITH old AS ({_TABLE}), b AS ({_batch_sql('doc_id % 4 = 0')}) SELECT * FROM old WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT b.id, b.provenance, 3::BIGINT, old.introduced FROM b LEFT JOIN old ON b.id = old.id",
-        "lifecycle_remove_changes": f"SELECT b.id, CASE WHEN old.id IS NULL THEN 'absent_on_remove' ELSE 'removed' END AS change, {old} FROM ({_batch_sql('doc_id % 5 = 0')}) b LEFT JOIN ({_TABLE}) old ON b.id = old.id",
-        "lifecycle_rebuild_changes": f"SELECT coalesce(b.id, old.id) AS id, CASE WHEN b.id IS NULL THEN 'dropped' WHEN old.id IS NULL THEN 'inserted' ELSE 'replaced' END AS change, {old} FROM ({_batch_sql('doc_id % 2 = 0')}) b FULL JOIN ({_TABLE}) old ON b.id = old.id",
+        "lifecycle_insert_changes": f"SELECT b.id, CASE WHEN old.id IS NULL THEN 'inserted' ELSE 'replaced' END AS change, {old} FROM ({_BATCH}) b LEFT JOIN ({_TABLE}) old ON b.id = old.id",
+        "lifecycle_member_table": f"WITH old AS ({_TABLE}), b AS ({_BATCH}) SELECT * FROM old WHERE id NOT IN (SELECT id FROM b) UNION ALL SELECT b.id, b.provenance, 3::BIGINT, old.introduced FROM b LEFT JOIN old ON b.id = old.id",
+        "lifecycle_remove_changes": f"SELECT b.id, CASE WHEN old.id IS NULL THEN 'absent_on_remove' ELSE 'removed' END AS change, {old} FROM ({_BATCH}) b LEFT JOIN ({_TABLE}) old ON b.id = old.id",
+        "lifecycle_rebuild_changes": f"SELECT coalesce(b.id, old.id) AS id, CASE WHEN b.id IS NULL THEN 'dropped' WHEN old.id IS NULL THEN 'inserted' ELSE 'replaced' END AS change, {old} FROM ({_BATCH}) b FULL JOIN ({_TABLE}) old ON b.id = old.id",
         "lifecycle_destroy_changes": f"SELECT old.id, 'retired' AS change, {old} FROM ({_TABLE}) old",
-        "lifecycle_hits_with_provenance": f"SELECT h.rank, h.id, h.score, d.source AS provenance, 2::BIGINT AS version FROM ({_bm25_sql(TERMS)}) h JOIN documents d ON d.doc_id = h.id",
+        "lifecycle_hits_with_provenance": f"SELECT h.rank, h.id, round(CAST(CAST(h.score AS FLOAT) AS DOUBLE), 4) AS score, d.source AS provenance, 2::BIGINT AS version FROM ({_bm25_sql(TERMS)}) h JOIN documents d ON d.doc_id = h.id",
         "duplicate_members": "SELECT conv_id AS id, count(*) AS times FROM conversations GROUP BY conv_id HAVING count(*) > 1",
         "permission_table": f"SELECT t AS transition, s AS state, ({cells}) AS permitted FROM (SELECT unnest(['create','insert','remove','rebuild','destroy','publish','recover']) AS t) CROSS JOIN (SELECT unnest(['absent','active','destroyed']) AS s)",
         "storage_keys": "SELECT 'example/' || lower(n_name) || '/' || lpad((n_nationkey + 1)::VARCHAR, 20, '0') AS version_key, 'example/' || lower(n_name) || '/' || lpad((n_nationkey + 1)::VARCHAR, 20, '0') AS staging_key, 'example/' || lower(n_name) || '/import-' || n_nationkey AS operation_key FROM nation",
         "snapshot_roundtrip_bm25": _bm25_sql(TERMS),
         "snapshot_roundtrip_knn": _knn_sql("l2"),
-    }
+    } | lifecycle_queries.oracle_sql(_bm25_sql, _knn_sql)
