@@ -154,8 +154,9 @@ def hnsw_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at 10 of the navigable graphs, for every vector of the table; it has no SQL."""
     queries = _vectors(spark, sf_dir).withColumnRenamed("id", "query_id")
     exact = _vector_index(spark, sf_dir, VectorDistance.L2)
-    index = HnswIndex.build(exact.vectors, exact.config)
-    return ann.recall(index.query_batch(queries, K), exact.query_batch(queries, K))
+    store = _snapshots(spark)
+    store.save_graph_index("embeddings", HnswIndex.build(exact.vectors, exact.config))
+    return ann.recall(store.load_graph_index("embeddings").query_batch(queries, K), exact.query_batch(queries, K))
 
 
 def hnsw_members(spark: SparkSession, sf_dir: str) -> DataFrame:

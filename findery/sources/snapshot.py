@@ -15,10 +15,14 @@ from pyspark.sql import types as T
 
 from findery.errors import CorruptSnapshot, IndexNotFound, Persistence, SnapshotFormat, UnsupportedSnapshotVersion
 from findery.operators.bm25 import Bm25Index
+from findery.operators.hnsw import HnswIndex
 from findery.operators.vectors import VectorIndex, check_vectors
 from findery.schemas import FORMAT_VERSION, Family, config_from_json
 from findery.sources.files import Files
 
+#: The family of snapshots of navigable graphs.
+GRAPH = "graph"
+
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> dict:
     """Writes tables below ``path``; their schemas and row counts for the manifest.
@@ -100,7 +104,19 @@ class SnapshotStore:
         check_fts(index)
         return index
 
-    def _save(self, family: Family, name: str, config: dict, tables: dict[str, DataFrame]) -> None:
+    def save_graph_index(self, name: str, index: HnswIndex) -> None:
+        self._save(GRAPH, name, index.config.to_json() | {"shards": index.count}, {"shards": index.shards})
+
+    def load_graph_index(self, name: str) -> HnswIndex:
+        """The graphs as they were saved; one that breaks an invariant is refused."""
+        config, tables, stored = self._read(GRAPH, name)
+        if not isinstance(stored.get("shards"), int) or stored["shards"] < 1:
+            raise CorruptSnapshot(f"{name}: no number of shards")
+        index = HnswIndex(tables["shards"], config, stored["shards"])
+        index.check()
+        return index
+
+    def _save(self, family: str, name: str, config: dict, tables: dict[str, DataFrame]) -> None:
         folder = f"data/{family}/{uuid.uuid4().hex}"
         try:
             facts = write_tables(tables, f"{self.files.root}/{folder}")
@@ -112,10 +128,14 @@ class SnapshotStore:
             if self.files.create(f"{family}/{name}/{seq:020d}.json", json.dumps(manifest).encode()):
                 return
 
-    def _pointers(self, family: Family, name: str) -> list[str]:
+    def _pointers(self, family: str, name: str) -> list[str]:
         return [f for f in self.files.list(f"{family}/{name}") if f.endswith(".json")]
 
-    def _load(self, family: Family, name: str) -> tuple:
+    def _load(self, family: str, name: str) -> tuple:
+        return self._read(family, name)[:2]
+
+    def _read(self, family: str, name: str) -> tuple:
+        """Configuration, tables, and the configuration as it is stored."""
         pointers = self._pointers(family, name)
         if not pointers:
             raise IndexNotFound(name)
@@ -129,6 +149,5 @@ class SnapshotStore:
             raise SnapshotFormat(f"{name} is {manifest.get('family')}")
         if set(manifest) != {"format_version", "family", "config", "folder", "tables"}:
             raise CorruptSnapshot(f"{name}: unknown or missing fields")
-        return config_from_json(manifest["config"]), read_tables(
-            self.spark, f"{self.files.root}/{manifest['folder']}", manifest["tables"]
-        )
+        tables = read_tables(self.spark, f"{self.files.root}/{manifest['folder']}", manifest["tables"])
+        return config_from_json(manifest["config"]), tables, manifest["config"]
