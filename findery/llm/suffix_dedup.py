@@ -368,15 +368,15 @@ def _solved(length: int, later: bool):
         def flush() -> pa.RecordBatch:
             groups, contexts, at, counts = zip(*held, strict=True)
             every, first = _solve(groups, contexts, at, counts, length, later)
-            columns = [pa.concat_arrays([k.column(i) for k in kept]) for i in range(3)]
+            columns = [pa.concat_arrays([k.column(i) for k in kept]) for i in range(4)]
             return pa.RecordBatch.from_arrays(
                 [*columns, pa.array(every, pa.list_(pa.int32())), pa.array(first, pa.list_(pa.int32()))],
-                ["grp", "part_key", "least", "every", "early"],
+                ["grp", "part_key", "least", "times", "every", "early"],
             )
 
         for batch in batches:
             begun = 0
-            answers = batch.select(["grp", "part_key", "rank"])
+            answers = batch.select(["grp", "part_key", "rank", "times"])
             for number, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("grp", "context", "anchor", "times")), strict=True)):
                 if size >= BATCH_BYTES and row[0] != held[-1][0]:
                     kept.append(answers.slice(begun, number - begun))
@@ -411,24 +411,27 @@ def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _remaining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``content, removed, spans, rest_sha, rest`` of each distinct text that has spans."""
+    """``content, first_id, copies`` of each text; ``removed, spans, rest_sha, rest`` of one that has spans, else null."""
     for part in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
         rows = []
-        for content, data, pieces in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+        for data, pieces in zip(part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+            if pieces is None:
+                rows.append((None, None, None, None))
+                continue
             raw = unpacked(data)
             spans = _union(
                 [(p["low"] + a, p["low"] + b) for p in pieces for a, b in zip(p["spans"][::2], p["spans"][1::2], strict=True)]
             )
             rest = _without(raw, spans)
-            sha = hashlib.sha256(rest).digest()
-            rows.append((content, len(raw) - len(rest), len(spans), sha, rest.decode("utf-8", "ignore")))
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+            rows.append((len(raw) - len(rest), len(spans), hashlib.sha256(rest).digest(), rest.decode("utf-8", "ignore")))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string()]
         columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays(columns, ["content", "removed", "spans", "rest_sha", "rest"])
+        names = ["content", "first_id", "copies", "removed", "spans", "rest_sha", "rest"]
+        yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *columns], names)
 
 
 def _answers(parts: DataFrame, length: int, later: bool) -> DataFrame:
-    """``grp, part_key, least, every, early`` of ``parts(grp, part_key, context, anchor, times, rank)``."""
+    """``grp, part_key, least, times, every, early`` of ``parts(grp, part_key, context, anchor, times, rank)``."""
     kind = {f.name: f.dataType.simpleString() for f in parts.schema}
     return (
         parts.select("grp", "part_key", "context", "anchor", "times", "rank")
@@ -436,13 +439,16 @@ def _answers(parts: DataFrame, length: int, later: bool) -> DataFrame:
         .sortWithinPartitions("grp", "rank")
         .mapInArrow(
             _solved(length, later),
-            f"grp {kind['grp']}, part_key {kind['part_key']}, least {kind['rank']}, every array<int>, early array<int>",
+            f"grp {kind['grp']}, part_key {kind['part_key']}, least {kind['rank']}, times long, every array<int>, early array<int>",
         )
     )
 
 
 def _split_answers(work: DataFrame, length: int, gram: int, later: bool, tables: list[DataFrame]) -> DataFrame:
-    """``hash, key, every, early`` of the contexts of anchors that have more than ``GROUP``; ``tables`` gets what it wrote."""
+    """``hash, key, first_rank, times, every, early`` of the contexts of anchors that have more than ``GROUP``.
+
+    ``tables`` gets what it wrote.
+    """
     rank_type = work.schema["rank"].dataType.simpleString()
     times = work.select("hash", "key", "times")
     parts = work.select(
@@ -485,13 +491,15 @@ def _split_answers(work: DataFrame, length: int, gram: int, later: bool, tables:
     early = F.when(F.col("rank") == F.col("least"), F.col("early")).otherwise(F.col("every")).alias("early")
     return (
         parts.select("hash", "key", "shift", "grp", "part_key", "rank")
-        .join(answers, ["grp", "part_key"])
-        .select("hash", "key", "shift", "every", early)
-        .select("hash", "key", *moved)
+        .join(answers.drop("times").hint("merge"), ["grp", "part_key"])
+        .select("hash", "key", F.col("rank").alias("first_rank"), "shift", "every", early)
+        .select("hash", "key", "first_rank", *moved)
+        .join(times.hint("merge"), ["hash", "key"])
+        .select("hash", "key", "first_rank", "times", "every", "early")
     )
 
 
-def _results(documents: DataFrame, later_only: bool, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+def _results(documents: DataFrame, later_only: bool, length: int, gram: int) -> DataFrame:
     """Distinct texts with their first id and copies, and what is left of those that lose bytes."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
     lists = ", ".join(f"{name} array<{'long' if kind == pa.int64() else 'int'}>" for name, kind in _PLACES)
@@ -552,13 +560,14 @@ def _results(documents: DataFrame, later_only: bool, length: int, gram: int) ->
     common, tables = not large.isEmpty(), [references, work, large]
     whole = work.join(large, "hash", "left_anti") if common else work
     answers = _answers(whole.withColumnRenamed("hash", "grp").withColumnRenamed("key", "part_key"), length, not later_only)
-    answers = answers.select(F.col("grp").alias("hash"), F.col("part_key").alias("key"), "every", "early")
+    answers = answers.select(
+        F.col("grp").alias("hash"), F.col("part_key").alias("key"), F.col("least").alias("first_rank"), "times", "every", "early"
+    )
     if common:
         answers = answers.unionByName(_split_answers(work.join(large, "hash", "left_semi"), length, gram, not later_only, tables))
     if later_only:
         # only the first reference of a context can hold first copies
-        own = work.select("hash", "key", F.col("rank").alias("first_rank"), "times")
-        answers = answers.join(own.hint("merge"), ["hash", "key"]).filter((F.col("times") > 1) | (F.size("early") > 0))
+        answers = answers.filter((F.col("times") > 1) | (F.size("early") > 0))
     else:
         answers = answers.filter(F.size("every") > 0)
     hits = references.join(answers.hint("merge"), ["hash", "key"])
@@ -572,22 +581,25 @@ def _results(documents: DataFrame, later_only: bool, length: int, gram: int) ->
         .groupBy("tid")
         .agg(F.collect_list(F.struct("low", "spans")).alias("pieces"))
     )
+    # all texts in one table, so that the rows' join with it can split a text that very many rows share
     left = written(
-        texts.select("tid", "content", "raw")
-        .join(per_text.hint("merge"), "tid")
-        .select("content", "raw", "pieces")
-        .mapInArrow(_remaining, "content binary, removed long, spans long, rest_sha binary, rest string"),
+        texts.select("tid", "content", "first_id", "copies", "raw")
+        .join(per_text.hint("merge"), "tid", "left")
+        .select("content", "first_id", "copies", F.when(F.col("pieces").isNotNull(), F.col("raw")).alias("raw"), "pieces")
+        .mapInArrow(
+            _remaining,
+            f"content binary, first_id {id_type}, copies long, removed long, spans long, rest_sha binary, rest string",
+        ),
         "suffix-left",
     )
-    for table in tables:
+    for table in (*tables, texts):
         discard(table)
-    return texts.select("content", "first_id", "copies"), left
+    return left
 
 
 def repeated_bytes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256``: every byte in a string that also starts elsewhere goes."""
-    texts, left = _results(documents, False, length, gram)
-    facts = texts.join(left.drop("rest").hint("merge"), "content", "left").withColumnRenamed("content", "of")
+    facts = _results(documents, False, length, gram).drop("rest").withColumnRenamed("content", "of")
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
     rows = documents.select("doc_id", n_bytes, _content().alias("content"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
@@ -608,9 +620,7 @@ def keep_first_copies(documents: DataFrame, length: int = LENGTH, gram: int = GR
     A cut inside a character drops the character's other bytes too. Texts that
     are left empty stay as rows; ``n_chars``, if there, counts what is left.
     """
-    texts, left = _results(documents, True, length, gram)
-    of = [F.col("content").alias("of"), "first_id", "copies", "rest"]
-    changed = left.select("content", "rest").join(texts.hint("merge"), "content", "right").select(*of)
+    changed = _results(documents, True, length, gram).select(F.col("content").alias("of"), "first_id", "copies", "rest")
     changed = changed.filter((F.col("copies") > 1) | F.col("rest").isNotNull())
     # the documents are one column, so that no name of theirs clashes
     whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), _content().alias("content"))
