@@ -237,10 +237,10 @@ def mixed_documents(
         F.struct("source", "doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw")).alias("own"),
     )
     on_own = F.col("own").eqNullSafe(F.col("of"))
-    out = whole.join(decided.filter("rows = 1"), on_own).select("row", (F.col("passes") + F.col("more")).alias("copies"))
+    out = whole.join(decided.filter("rows = 1").hint("merge"), on_own).select("row", (F.col("passes") + F.col("more")).alias("copies"))
     many = decided.filter("rows > 1")
     if not many.isEmpty():
-        found = written(whole.join(many, on_own).withColumn("id", F.monotonically_increasing_id()), "mix-repeated")
+        found = written(whole.join(many.hint("merge"), on_own).withColumn("id", F.monotonically_increasing_id()), "mix-repeated")
         # equal rows are numbered within the parts of the written table, and the parts by what comes before them
         part = F.shiftright("id", 33).alias("part")
         earlier = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

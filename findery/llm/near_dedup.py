@@ -445,7 +445,7 @@ def _verdicts(documents: DataFrame, similarity: float) -> DataFrame:
     )
     if not mixed.isEmpty():
         opened = (
-            placed.join(mixed, "bucket")
+            placed.join(mixed.hint("merge"), "bucket")
             .withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
             .withColumn("slot", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -459,7 +459,7 @@ def _verdicts(documents: DataFrame, similarity: float) -> DataFrame:
             )
             .withColumn("cross", F.col("low") != F.col("high"))
         )
-        own = placed.join(mixed, "bucket").select("node").distinct()
+        own = placed.join(mixed.hint("merge"), "bucket").select("node").distinct()
         bins = written(_bins(nodes.join(own.hint("merge"), "node", "left_semi")), "near-bins")
         columns = "bucket long, low int, high int, node long, root long, slot int, cross boolean"
         within = written(
@@ -520,7 +520,7 @@ def one_of_each(documents: DataFrame, similarity: float = SIMILARITY) -> DataFra
     stay = verdicts.filter("stays")
     ids = verdicts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if ids["n"] == ids["d"]:
-        named = stay.select(F.col("doc_id").alias("kept_id"))
+        named = stay.select(F.col("doc_id").alias("kept_id")).hint("merge")
         return documents.join(named, documents["doc_id"] == F.col("kept_id"), "left_semi")
     # ids are null or repeated: rows are told apart by their texts, too
     named = stay.select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"), "blank").distinct()

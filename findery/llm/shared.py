@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -30,11 +32,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Seconds between two garbage collections of the driver that free shuffle files.
+COLLECT_EVERY = 5.0
+_collected = 0.0
+
+
 def discard(df: DataFrame) -> None:
-    """Deletes the files of a ``written`` table that nothing reads any more."""
+    """Deletes the files of a ``written`` table that nothing reads any more, and shuffles that made such tables.
+
+    Executors keep the files of a shuffle until the driver collects the plan that
+    made it as garbage, which a driver with little to do puts off.
+    """
+    global _collected
     path = getattr(df, "_findery_path", None)
     if path:
         delete_path(df.sparkSession, path)
+    if time.monotonic() - _collected > COLLECT_EVERY:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
