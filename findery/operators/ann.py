@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from findery.functions.distance import distance
-from findery.operators.vectors import check_vector
+from findery.operators.vectors import check_vectors
 from findery.schemas import HnswConfig
 
 #: Rows that the centroids are fitted to, at most.
@@ -63,15 +63,17 @@ class CellIndex:
 
     def query_batch(self, queries: DataFrame, k: int, probes: int = 12) -> DataFrame:
         """``query_id, rank, id, score`` from the ``probes`` cells nearest to each row of ``query_id, vector``."""
-        asked = [(r["query_id"], r["vector"]) for r in queries.select("query_id", "vector").toLocalIterator()]
-        for _, v in asked:
-            check_vector(self.config, v)
-        near = _nearest(np.array([v for _, v in asked], dtype=np.float64).reshape(len(asked), -1), self.centers, probes)
-        query_type = queries.schema["query_id"].dataType.simpleString()
-        table = self.rows.sparkSession.createDataFrame(
-            [(q, [float(x) for x in v], int(c)) for (q, v), cells in zip(asked, near, strict=True) for c in cells],
-            f"query_id {query_type}, asked array<float>, cell int",
-        )
+        check_vectors(self.config, queries.select(F.col("query_id").alias("id"), "vector"))
+        centers, query_type = self.centers, queries.schema["query_id"].dataType.simpleString()
+
+        def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    near = _nearest(np.stack(f["asked"].to_numpy()).astype(np.float64), centers, probes)
+                    yield f.loc[f.index.repeat(near.shape[1])].assign(cell=near.ravel())
+
+        asked = queries.select("query_id", F.col("vector").cast("array<float>").alias("asked"))
+        table = asked.mapInPandas(cells, f"query_id {query_type}, asked array<float>, cell int")
         exact = distance(self.config.distance, F.col("vector"), F.col("asked"))
         order = Window.partitionBy("query_id").orderBy("score", "id")
         return (

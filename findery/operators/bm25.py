@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,6 +47,13 @@ class Bm25Index:
         self.docs, self.tf = docs, tf
         self.config = config or FtsConfig.simple()
 
+    @staticmethod
+    def empty(spark: SparkSession, config: FtsConfig | None = None, id_type: str = "bigint") -> Bm25Index:
+        config = config or FtsConfig.simple()
+        config.check()
+        docs = spark.createDataFrame([], f"id {id_type}, length bigint")
+        return Bm25Index(docs, spark.createDataFrame([], f"id {id_type}, term string, tf bigint, length bigint"), config)
+
     @staticmethod
     def build(documents: DataFrame, config: FtsConfig | None = None, check: bool = True) -> Bm25Index:
         """From ``id, text``. A null text has no tokens."""

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,6 +50,11 @@ class VectorIndex:
     def __init__(self, vectors: DataFrame, config: HnswConfig):
         self.vectors, self.config = vectors, config
 
+    @staticmethod
+    def empty(spark: SparkSession, config: HnswConfig, id_type: str = "bigint") -> VectorIndex:
+        config.check()
+        return VectorIndex(spark.createDataFrame([], f"id {id_type}, vector array<float>"), config)
+
     @staticmethod
     def build(vectors: DataFrame, config: HnswConfig, check: bool = True) -> VectorIndex:
         config.check()

@@ -40,7 +40,7 @@ from findery.schemas import (
 )
 from findery.sources import keys
 from findery.sources.files import Files
-from findery.sources.log import LifecycleStore
+from findery.sources.log import DestroyWrite, LifecycleStore, PublishWrite, QuarantineWrite, StageWrite
 from findery.sources.snapshot import check_fts, check_vector_payload, read_tables, write_tables
 
 Config = HnswConfig | FtsConfig
@@ -420,32 +420,24 @@ class Lifecycle:
             return prepared.stage().publish()
 
     def prepare(self, operation: Operation) -> Receipt | Prepared:
-        """All checks and the new version's plan; nothing is written."""
+        """All checks and the new version's plan; nothing is written.
+
+        What was stored is looked at in a fixed order under the writer: the head, an
+        earlier result under the same key, and then each of ``_Start.REFUSALS``.
+        """
         checked = Checked(operation, self.widths)
         guard = self.store.writer().acquire()
         try:
-            index = operation.index
-            head = self.store.read_head(index.key)  # before the replay lookup: a later publish shows as a changed head
-            replay = self._replay(operation, checked.digest)
-            if replay is not None:
-                guard.close()
-                return replay
-            record = None if head is None else _decode_head(head, index)
-            state = StateKind.ABSENT if record is None else StateKind(record["state"])
-            current = self._payload(index, record) if state == StateKind.ACTIVE else None
-            if state == StateKind.ACTIVE and current is None:
-                raise E.HeadChanged(index.key)
-            change = operation.change
-            if not is_permitted_from(change.transition, state):
-                raise E.TransitionNotPermitted(f"{change.transition} from {state}")
-            if isinstance(change, Insert):
-                check_fit(current.config, checked.members, checked.family)
-            if self.store.read_staging(index.key) is not None:
-                raise E.StagedStateExists(index.key)
-            return Prepared(self, operation, checked, head, record, current, guard)
+            start = _Start(self, operation, checked)
+            if start.replay is None:
+                for refuse in _Start.REFUSALS:
+                    refuse(start)
+                return Prepared(self, operation, checked, start.head, start.record, start.current, guard)
         except BaseException:
             guard.close()
             raise
+        guard.close()
+        return start.replay
 
     def _replay(self, operation: Operation, digest: str) -> Receipt | None:
         index = operation.index
@@ -465,9 +457,46 @@ class Lifecycle:
         """Quarantines every unfinished operation, under the writer. Opening a store never does this by itself."""
         with self.store.writer().acquire():
             found = self.store.list_staged()
-            for version, marker in found:
-                self.store.quarantine(version, marker)
-            return [v for v, _ in found]
+            for entry in found:
+                self.store.quarantine(QuarantineWrite(entry.version, entry.marker))
+            return [entry.version for entry in found]
+
+
+class _Start:
+    """What an operation starts from, and the reasons why it can't."""
+
+    def __init__(self, lifecycle: Lifecycle, operation: Operation, checked: Checked):
+        self.lifecycle, self.operation, self.checked = lifecycle, operation, checked
+        index = operation.index
+        # first of all, so that whatever another writer publishes from here on meets a head that moved
+        self.head = lifecycle.store.read_head(index.key)
+        self.replay = lifecycle._replay(operation, checked.digest)
+        self.record = self.current = None
+        self.state = StateKind.ABSENT
+        if self.replay is None and self.head is not None:
+            self.record = _decode_head(self.head, index)
+            self.state = StateKind(self.record["state"])
+            if self.state == StateKind.ACTIVE:
+                self.current = lifecycle._payload(index, self.record)
+
+    def version_gone(self) -> None:
+        if self.state == StateKind.ACTIVE and self.current is None:
+            raise E.HeadChanged(self.operation.index.key)
+
+    def state_forbids(self) -> None:
+        transition = self.operation.change.transition
+        if not is_permitted_from(transition, self.state):
+            raise E.TransitionNotPermitted(f"{transition} from {self.state}")
+
+    def members_unfit(self) -> None:
+        if isinstance(self.operation.change, Insert):
+            check_fit(self.current.config, self.checked.members, self.checked.family)
+
+    def unfinished_operation(self) -> None:
+        if self.lifecycle.store.read_staging(self.operation.index.key) is not None:
+            raise E.StagedStateExists(self.operation.index.key)
+
+    REFUSALS = (version_gone, state_forbids, members_unfit, unfinished_operation)
 
 
 class Prepared:
@@ -479,6 +508,16 @@ class Prepared:
         old = 0 if record is None else record["version"]
         self.version = old if isinstance(operation.change, Destroy) else identity.next_version(old) if old else 1
 
+    @property
+    def index(self) -> IndexIdentity:
+        return self.operation.index
+
+    @property
+    def resulting(self) -> tuple[int, StateKind]:
+        """The version and the state that the index will have."""
+        destroyed = isinstance(self.operation.change, Destroy)
+        return self.version, StateKind.DESTROYED if destroyed else StateKind.ACTIVE
+
     def __enter__(self) -> Prepared:
         return self
 
@@ -501,14 +540,7 @@ class Prepared:
 
             config, kind = change.config, T.LongType()
             empty = spark.createDataFrame([], member_table_schema(kind))
-            if config.family == Family.VECTOR:
-                engine = VectorIndex(spark.createDataFrame([], "id long, vector array<float>"), config)
-            else:
-                engine = Bm25Index(
-                    spark.createDataFrame([], "id long, length long"),
-                    spark.createDataFrame([], "id long, term string, tf long, length long"),
-                    config,
-                )
+            engine = VectorIndex.empty(spark, config) if config.family == Family.VECTOR else Bm25Index.empty(spark, config)
             return config, engine, empty, None
         members = self.checked.members
         if isinstance(change, Remove):
@@ -582,7 +614,7 @@ class Prepared:
             raise E.Persistence(str(e)[:500]) from e
         version = keys.version(index.namespace, index.name, self.version)
         op_key = keys.operation(index.namespace, index.name, operation.key)
-        lifecycle.store.stage(index.key, self.head, version, marker, self._folder, op_key)
+        lifecycle.store.stage(StageWrite(index.key, self.head, version, marker, self._folder, op_key))
         return staged
 
 
@@ -612,6 +644,18 @@ class Staged:
             "changes": changes_path,
         }
 
+    @property
+    def index(self) -> IndexIdentity:
+        return self.prepared.index
+
+    @property
+    def operation(self) -> Operation:
+        return self.prepared.operation
+
+    @property
+    def resulting(self) -> tuple[int, StateKind]:
+        return self.prepared.resulting
+
     def publish(self) -> Receipt:
         """The one point at which the operation becomes visible."""
         p = self.prepared
@@ -619,10 +663,10 @@ class Staged:
         op_key, record = keys.operation(index.namespace, index.name, p.operation.key), json.dumps(self.record, sort_keys=True)
         try:
             if self.marker is None:
-                store.destroy(index.key, p.head, self.head, op_key, record)
+                store.destroy(DestroyWrite(index.key, p.head, self.head, op_key, record))
             else:
                 version = keys.version(index.namespace, index.name, p.version)
-                store.publish(index.key, p.head, version, self.marker, self.head, op_key, record)
+                store.publish(PublishWrite(index.key, p.head, version, self.marker, self.head, op_key, record))
         finally:
             p.close()
         return Receipt(p.version, False, self.record)

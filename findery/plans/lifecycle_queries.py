@@ -26,7 +26,7 @@ from findery.schemas import FtsConfig, HnswConfig, TokenizerConfig, VectorDistan
 from findery.sources import keys
 from findery.sources.files import Files
 from findery.sources.folders import shared_dir
-from findery.sources.log import FileLog, LifecycleStore, MemoryLog, WriterLock
+from findery.sources.log import DestroyWrite, FileLog, LifecycleStore, MemoryLog, StageWrite, WriterLock
 from findery.sources.snapshot import SnapshotStore
 from findery.streaming.ingest import ingest
 
@@ -182,7 +182,7 @@ def storage_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows += [("staging", key, json.loads(raw)["operation"]) for key, raw in store.list_staged()]
     rows += [("operation", key, json.loads(raw)["transition"]) for key, raw in store.list_operations(index.key)]
     rows += [
-        ("quarantine", keys.quarantine(q["sequence"], *keys.parse_version(q["version"]), "marker"), json.loads(q["marker"])["operation"])
+        ("quarantine", keys.quarantine(q.sequence, *keys.parse_version(q.version), "marker"), json.loads(q.marker)["operation"])
         for q in store.list_quarantined()
     ]
     rows.append(("version", keys.version("example", "nations", 1), str(store.read_version(keys.version("example", "nations", 1)) is not None)))
@@ -219,13 +219,13 @@ def identity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fts_member_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    index = Bm25Index.build(docs).insert(docs.withColumn("id", F.col("id") * 2)).remove(docs.withColumn("id", F.col("id") * 3))
+    index = Bm25Index.empty(spark).insert(docs).insert(docs.withColumn("id", F.col("id") * 2)).remove(docs.withColumn("id", F.col("id") * 3))
     return index.member_ids()
 
 
 def vector_member_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _points(spark, sf_dir).select("id", "vector")
-    index = VectorIndex.build(rows, HnswConfig(64)).insert(rows.withColumn("id", F.col("id") * 2))
+    index = VectorIndex.empty(spark, HnswConfig(64)).insert(rows).insert(rows.withColumn("id", F.col("id") * 2))
     return index.remove(rows.withColumn("id", F.col("id") * 3)).member_ids()
 
 
@@ -318,11 +318,11 @@ def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
     lifecycle.recover()
     case("publish after recovery", staged.publish)
     store = lifecycle.store
-    case("stage over another head", lambda: store.stage(index.key, "old", keys.version("example", "a", 9), "m", "p", "example/a/x"))
+    case("stage over another head", lambda: store.stage(StageWrite(index.key, "old", keys.version("example", "a", 9), "m", "p", "example/a/x")))
     head = store.read_head(index.key)
-    case("stage a stored version", lambda: store.stage(index.key, head, keys.version("example", "a", 2), "m", "p", "example/a/x"))
-    case("recorded operation", lambda: store.destroy(index.key, head, "{}", keys.operation("example", "a", "insert"), "{}"))
-    case("large value", lambda: LifecycleStore(MemoryLog(), 10).stage("a/b", None, keys.version("a", "b", 1), "m" * 11, "p", "a/b/k"))
+    case("stage a stored version", lambda: store.stage(StageWrite(index.key, head, keys.version("example", "a", 2), "m", "p", "example/a/x")))
+    case("recorded operation", lambda: store.destroy(DestroyWrite(index.key, head, "{}", keys.operation("example", "a", "insert"), "{}")))
+    case("large value", lambda: LifecycleStore(MemoryLog(), 10).stage(StageWrite("a/b", None, keys.version("a", "b", 1), "m" * 11, "p", "a/b/k")))
     folder = f"{lifecycle.root}/{store.read_version(keys.version('example', 'a', 2))}"
     make([(5, "p", 2, None)], "id long, provenance string, introduced long, supersedes long").write.mode("overwrite").parquet(f"{folder}/members")
     case("another member table", lambda: lifecycle.index(index))

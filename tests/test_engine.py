@@ -27,6 +27,7 @@ def ranked(df):
     return [(r["id"], r["score"]) for r in df.orderBy("rank").collect()]
 
 
+# fixed golden values: texts and the tokens that they must give
 @pytest.mark.parametrize(
     ("text", "tokens"),
     [
@@ -128,6 +129,26 @@ def test_vector_refusals_in_order(spark):
         index.query([0.0], 0)
 
 
+def test_batch_refuses_distances_beyond_32_bits(spark):
+    largest = 3.4028234663852886e38
+    rows = [(i, [float(i), 0.0]) for i in range(300)] + [(900, [largest, largest])]
+    index = VectorIndex.build(vecs(spark, rows).repartition(3), HnswConfig(2))
+    queries = vecs(spark, [(1, [0.0, 0.0]), (2, [5.0, 0.0])]).withColumnRenamed("id", "query_id")
+    # 300 distances that fit come first: the pool never reaches the one that doesn't
+    assert [x["id"] for x in index.query_batch(queries, 1).orderBy("query_id").collect()] == [0, 5]
+    with pytest.raises(Exception, match="DistanceNotRepresentable"):
+        index.query_batch(queries, 301).collect()
+    few = VectorIndex.build(vecs(spark, rows[-3:]), HnswConfig(2))
+    with pytest.raises(Exception, match="DistanceNotRepresentable"):
+        few.query_batch(queries, 1).collect()
+    assert few.query_batch(queries, 1, check=False).count() == 2
+    inner = VectorIndex.build(vecs(spark, [*rows, (901, [largest, largest])]), HnswConfig(2, VectorDistance.INNER_PRODUCT))
+    with pytest.raises(Exception, match="DistanceNotRepresentable"):
+        inner.query_batch(vecs(spark, [(1, [largest, largest])]).withColumnRenamed("id", "query_id"), 1).collect()
+    with pytest.raises(E.DimensionMismatch):
+        index.query_batch(vecs(spark, [(1, [0.0])]).withColumnRenamed("id", "query_id"), 1)
+
+
 @pytest.mark.parametrize("kind", list(VectorDistance))
 def test_batch_and_single_agree(spark, kind):
     r = random.Random(5)

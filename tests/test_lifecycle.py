@@ -25,7 +25,7 @@ from findery.plans.lifecycle import (
     Widths,
     check_payload,
 )
-from findery.schemas import FtsConfig, HnswConfig, TokenizerConfig
+from findery.schemas import FtsConfig, HnswConfig, StateKind, TokenizerConfig
 from findery.sources import keys
 from findery.sources.files import Files
 from findery.sources.log import FileLog, LifecycleStore, MemoryLog, WriterLock
@@ -129,7 +129,7 @@ def test_refusals_come_in_order(spark, lifecycle):
 def test_staged_state_blocks_its_index_until_recovery(spark, lifecycle):
     lifecycle.apply(Operation(NOTES, "a", Create(HnswConfig(2))))
     prepared = lifecycle.prepare(Operation(NOTES, "b", Insert(vectors(spark, [1]))))
-    assert isinstance(prepared, Prepared)
+    assert isinstance(prepared, Prepared) and prepared.index == NOTES and prepared.resulting == (2, StateKind.ACTIVE)
     prepared.stage()
     with pytest.raises(E.WriterHeld):
         lifecycle.prepare(Operation(NOTES, "c", Insert(vectors(spark, [2]))))
@@ -140,7 +140,7 @@ def test_staged_state_blocks_its_index_until_recovery(spark, lifecycle):
     other = IndexIdentity("example", "notes.v2")
     assert lifecycle.apply(Operation(other, "a", Create(HnswConfig(2)))).version == 1
     assert lifecycle.recover() == [keys.version("example", "notes", 2)]
-    assert lifecycle.store.list_quarantined()[0]["sequence"] == 1
+    assert lifecycle.store.list_quarantined()[0].sequence == 1
     assert lifecycle.apply(Operation(NOTES, "c", Insert(vectors(spark, [2])))).version == 2
 
 
@@ -201,6 +201,43 @@ def test_corruption_is_told_apart(spark, tmp_path):
         lifecycle.index(NOTES)
 
 
+def test_a_version_is_checked_when_it_is_read(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    lifecycle = Lifecycle(spark, root, LifecycleStore(MemoryLog()))
+    lifecycle.apply(Operation(NOTES, "a", Create(HnswConfig(2))))
+    lifecycle.apply(Operation(NOTES, "b", Insert(vectors(spark, [1, 2]))))
+    folder = lifecycle.store.read_version(keys.version("example", "notes", 2))
+    other = spark.createDataFrame([(1, "p1", 2, None), (3, "p3", 2, None)], lifecycle.index(NOTES).members.schema)
+    other.write.mode("overwrite").parquet(f"{root}/{folder}/members")
+    with pytest.raises(E.CorruptSnapshot):
+        lifecycle.index(NOTES)
+    with pytest.raises(E.CorruptSnapshot):
+        lifecycle.apply(Operation(NOTES, "c", Insert(vectors(spark, [9]))))
+    unchecked = Lifecycle(spark, root, lifecycle.store, check_on_read=False)
+    assert len(unchecked.index(NOTES)) == 2
+
+
+def test_values_over_the_limit_are_refused_before_a_write(spark, tmp_path):
+    store = LifecycleStore(MemoryLog(), value_limit=100)
+    lifecycle = Lifecycle(spark, f"file://{tmp_path}", store)
+    with pytest.raises(E.Persistence):
+        lifecycle.apply(Operation(NOTES, "a" * 120, Create(HnswConfig(2))))
+    assert store.fold().count == 0 and not (tmp_path / "data").exists()
+    store.value_limit = 4000
+    assert lifecycle.apply(Operation(NOTES, "a" * 120, Create(HnswConfig(2)))).version == 1
+
+
+def test_large_digests_depend_on_the_content_alone(spark, monkeypatch):
+    from findery.plans import lifecycle as L
+
+    monkeypatch.setattr(L, "STREAMED", 2)
+    digest = lambda ids, dims=2, key="k": L.Checked(Operation(NOTES, key, Insert(vectors(spark, ids, dims))), Widths()).digest
+    one = digest([3, 1, 2, 4])
+    rows = vectors(spark, [4, 2, 3, 1]).repartition(3)
+    assert one == L.Checked(Operation(NOTES, "other", Insert(rows)), Widths()).digest
+    assert len({one, digest([3, 1, 2, 5]), digest([3, 1, 2]), digest([3, 1, 2, 4], 3)}) == 4
+
+
 def test_digest_items(spark, lifecycle):
     s = lambda t: b"\x40" + struct.pack(">Q", len(t)) + t.encode()
     m = lambda n: b"\x51" + struct.pack(">Q", n)
