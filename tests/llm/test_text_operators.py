@@ -52,6 +52,26 @@ def test_quality_base_columns(documents, empty, nulls):
     assert quality.clean_documents(empty).count() == 0
 
 
+def test_quality_of_null_rows_and_clashing_columns(spark):
+    prose = "The quick line of prose has more than ten words in it today.\nhome | news | sport |"
+    made = [(None, None, 1, "a"), (None, prose, 2, "b"), (None, prose, 2, "b"), (3, "", 3, None), (4, "short", None, None)]
+    df = spark.createDataFrame(made, "doc_id long, text string, n_words int, kept string")
+    found = quality.clean_documents(df)
+    assert found.columns == df.columns
+    want = [(None, prose.split("\n")[0], 2, "b")] * 2
+    assert sorted(map(tuple, found.collect()), key=repr) == want
+    assert [r.kept for r in quality.assess(df).orderBy("n_words").collect()].count(True) == 2
+
+
+def test_null_texts_are_empty_ones(nulls):
+    counted = {(r.doc_id, r.n_bytes): r.n_tokens for r in token_count.count_tokens(nulls).collect()}
+    assert counted[None, 0] == 0 and counted[3, 0] == 0
+    packed = [r for r in packing.pack(nulls).collect() if r.doc_tokens == 1]
+    assert len(packed) == 2 and {(r.start, r.length, r.ids_crc32) for r in packed} == {(0, 1, crc([1]))}
+    stored = [r for r in token_store.store_and_read(nulls).collect() if r.n_tokens == 1]
+    assert len(stored) == 2 and {r.ids_crc32 for r in stored} == {crc([2])}
+
+
 @pytest.mark.parametrize(
     ("line", "failed"),
     [
