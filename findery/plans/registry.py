@@ -309,7 +309,7 @@ def lifecycle_hits_with_provenance(spark: SparkSession, sf_dir: str) -> DataFram
     docs = _table(spark, sf_dir, "documents")
     table = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("provenance"))
     published = PublishedIndex(IndexIdentity("example", "documents"), 2, FtsConfig.simple(), _index(spark, sf_dir), table)
-    return published.query_text(TERMS, K).withColumn("score", F.round(F.col("score").cast("double"), 4))
+    return published.query_text(TERMS, K).withColumn("score", F.round(F.col("score").cast("double"), 2))
 
 
 def duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,7 +498,7 @@ def oracle_sql() -> dict[str, str]:
         "lifecycle_remove_changes": f"SELECT b.id, CASE WHEN old.id IS NULL THEN 'absent_on_remove' ELSE 'removed' END AS change, {old} FROM ({_BATCH}) b LEFT JOIN ({_TABLE}) old ON b.id = old.id",
         "lifecycle_rebuild_changes": f"SELECT coalesce(b.id, old.id) AS id, CASE WHEN b.id IS NULL THEN 'dropped' WHEN old.id IS NULL THEN 'inserted' ELSE 'replaced' END AS change, {old} FROM ({_BATCH}) b FULL JOIN ({_TABLE}) old ON b.id = old.id",
         "lifecycle_destroy_changes": f"SELECT old.id, 'retired' AS change, {old} FROM ({_TABLE}) old",
-        "lifecycle_hits_with_provenance": f"SELECT h.rank, h.id, round(CAST(CAST(h.score AS FLOAT) AS DOUBLE), 4) AS score, d.source AS provenance, 2::BIGINT AS version FROM ({_bm25_sql(TERMS)}) h JOIN documents d ON d.doc_id = h.id",
+        "lifecycle_hits_with_provenance": f"SELECT h.rank, h.id, round(CAST(CAST(h.score AS FLOAT) AS DOUBLE), 2) AS score, d.source AS provenance, 2::BIGINT AS version FROM ({_bm25_sql(TERMS)}) h JOIN documents d ON d.doc_id = h.id",
         "duplicate_members": "SELECT conv_id AS id, count(*) AS times FROM conversations GROUP BY conv_id HAVING count(*) > 1",
         "permission_table": f"SELECT t AS transition, s AS state, ({cells}) AS permitted FROM (SELECT unnest(['create','insert','remove','rebuild','destroy','publish','recover']) AS t) CROSS JOIN (SELECT unnest(['absent','active','destroyed']) AS s)",
         "storage_keys": "SELECT 'example/' || lower(n_name) || '/' || lpad((n_nationkey + 1)::VARCHAR, 20, '0') AS version_key, 'example/' || lower(n_name) || '/' || lpad((n_nationkey + 1)::VARCHAR, 20, '0') AS staging_key, 'example/' || lower(n_name) || '/import-' || n_nationkey AS operation_key FROM nation",
