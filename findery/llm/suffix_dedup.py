@@ -475,7 +475,7 @@ def _split_answers(work: DataFrame, length: int, gram: int, later: bool, tables:
     for one in done:
         parts = one.unionByName(parts)
     shared = (
-        parts.join(times, ["hash", "key"])
+        parts.join(times.hint("merge"), ["hash", "key"])
         .groupBy("grp", "part_key")
         .agg(
             F.first("context").alias("context"),
