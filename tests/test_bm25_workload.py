@@ -89,7 +89,7 @@ def test_workload(spark, seed, operations, ids, checks):
         "repeats": Model(repeats=True), "distinct": Model(distinct=True), "empty": Model(no_empty=True), "case": Model(cased=True),
         "first": Model(keep_first=True), "removed": Model(keep_removed=True),
     }
-    right, told = Model(), set()
+    right, told, changes = Model(), set(), 0
     queries = spark.createDataFrame(list(enumerate(probes)), "query_id int, text string")
     share = -(-operations // checks)
     index = Bm25Index.build(spark.createDataFrame([], "id long, text string"))
@@ -97,11 +97,13 @@ def test_workload(spark, seed, operations, ids, checks):
         for kind, run in batches(steps[begin : begin + share]):
             frame = spark.createDataFrame(list(run.items()), "id long, text string").coalesce(1)
             index = index.insert(frame) if kind == "insert" else index.remove(frame)
-            # written out, as an index on disk is, so that plans stay short
-            index = Bm25Index(
-                spark.createDataFrame(index.docs.collect(), index.docs.schema).coalesce(1),
-                spark.createDataFrame(index.tf.collect(), index.tf.schema).coalesce(1),
-            )
+            # written out now and then, as an index on disk is, so that plans stay short
+            changes += 1
+            if changes % 4 == 0:
+                index = Bm25Index(
+                    spark.createDataFrame(index.docs.collect(), index.docs.schema).coalesce(1),
+                    spark.createDataFrame(index.tf.collect(), index.tf.schema).coalesce(1),
+                )
             for model in (right, *wrong.values()):
                 for i, text in run.items():
                     model.insert(i, text) if kind == "insert" else model.remove(i)
