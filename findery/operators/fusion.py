@@ -15,11 +15,12 @@ DEFAULT_K = 60.0
 RANKED_TOGETHER = 200_000
 
 
-def rrf(rankings: DataFrame, k: float = DEFAULT_K, limit: int | None = None) -> DataFrame:
+def rrf(rankings: DataFrame, k: float = DEFAULT_K, limit: int | None = None, few: bool = False) -> DataFrame:
     """``rank, id, score`` from ``ranking_idx, rank, id``: positions only, the best one of an id in a ranking.
 
     Sums are in double, in order of ``ranking_idx``; the order is by the double
-    sum, then id, and the score is narrowed to 32 bits last.
+    sum, then id, and the score is narrowed to 32 bits last. ``few`` says that the
+    rankings are the best hits of one query, which one task can rank.
     """
     if not (isinstance(k, int | float) and math.isfinite(k) and k > 0):
         raise InvalidKConstant(str(k))
@@ -29,9 +30,9 @@ def rrf(rankings: DataFrame, k: float = DEFAULT_K, limit: int | None = None) ->
         "id", F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["part"]).alias("exact")
     )
     order = [F.col("exact").desc(), F.col("id").asc()]
-    if limit is not None:
-        best = fused.orderBy(*order).limit(limit)
-        ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # the window sees limit rows
+    if limit is not None or few:
+        best = fused if limit is None else fused.orderBy(*order).limit(limit)
+        ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # the window sees few rows
     else:
         ranked = _numbered(fused)
     return ranked.select("rank", "id", F.col("exact").cast("float").alias("score"), "exact")
@@ -61,5 +62,5 @@ def as_rankings(*rankings: DataFrame) -> DataFrame:
 
 
 def hybrid(text_hits: DataFrame, vector_hits: DataFrame, k: float = DEFAULT_K, limit: int | None = None) -> DataFrame:
-    """Fusion of a text ranking and a vector ranking."""
-    return rrf(as_rankings(text_hits, vector_hits), k, limit)
+    """Fusion of the text hits and the vector hits of a query."""
+    return rrf(as_rankings(text_hits, vector_hits), k, limit, few=True)

@@ -33,8 +33,14 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> dict:
     out = {}
     for name, df in tables.items():
         if name == "tf":
-            df = df.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
-        df.write.parquet(f"{path}/{name}")
+            # as they come first: dealing by ranges reads its input twice, and that shouldn't read the texts twice
+            df.write.parquet(f"{path}/unsorted")
+            spark = df.sparkSession
+            unsorted = spark.read.schema(df.schema).parquet(f"{path}/unsorted")
+            unsorted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/{name}")
+            Files(spark, path).delete("unsorted")
+        else:
+            df.write.parquet(f"{path}/{name}")
         out[name] = {"schema": df.schema.jsonValue(), "rows": df.sparkSession.read.parquet(f"{path}/{name}").count()}
     return out
 
