@@ -36,15 +36,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return found
 
 
-def _sum(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return tuple(r)
+def _settled(edges: DataFrame) -> bool:
+    """Whether all components are stars: every node has one link, down to a node that has none."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("links"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("links"), F.lit(1).alias("root"))
+    )
+    each = ends.groupBy("x").agg(F.sum("links").alias("links"), F.max("root").alias("root"))
+    return each.filter("links + root > 1").agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``links(u, v)`` that isn't the smallest of its component, its root.
 
-    Alternating large and small stars until nothing changes. A node with many
+    Alternating large and small stars until there are only stars. A node with many
     links is aggregated before the shuffle and joined by splittable joins; each
     round is a written table, so lineage stays short.
     """
@@ -54,16 +58,12 @@ def components(links: DataFrame) -> DataFrame:
         .distinct(),
         "links",
     )
-    before = _sum(edges)
-    while before[0]:
+    while not _settled(edges):
         large = _large_star(edges)
         found = _small_star(large)
         discard(edges)
         discard(large)
-        edges, now = found, _sum(found)
-        if now == before:
-            break
-        before = now
+        edges = found
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     roots._findery_path = edges._findery_path  # for discard
     return roots

@@ -22,7 +22,8 @@ hold several components are then searched for links between them, all pairs of
 components included, in blocks of bounded size after two exact filters (length,
 and words in common): so no link that joins two classes is lost within a bucket,
 and thousands of near copies cost one alignment each, not one for a pair. The
-same filters come before the first alignment.
+same filters come before the first alignment. Two nodes that share several of
+these buckets are compared in one of them, which a hash of the two picks.
 
 Defined results: null texts and texts without any character but white space are
 alone in their class and kept; texts of fewer than five words have no edit to
@@ -62,6 +63,10 @@ SIMILARITY = 0.8
 SHORT = 9
 #: Members that are aligned with one leader in one task, and nodes of a mixed bucket on one side of a block.
 BLOCK = 1024
+#: The low bits of a bucket say which sketch it is; texts without a word have their own number.
+PLACE = 127
+MARK = 127
+PLACES = FEW_SKETCHES + MANY_SKETCHES
 #: Bins of the filters by words in common: of the first, which travels without the words, and of the second.
 FEW_BINS = 256
 BINS = 1024
@@ -141,9 +146,10 @@ def buckets(codes: np.ndarray) -> np.ndarray:
     """All the buckets that a text falls into."""
     n, found = len(codes), []
     if n <= FEW:
-        found += [short_marks(codes), sketches(codes, FEW_K, FEW_SKETCHES)]
+        found.append(short_marks(codes) | MARK)
+        found.append(sketches(codes, FEW_K, FEW_SKETCHES) & ~PLACE | np.arange(FEW_SKETCHES))
     if n >= SIMILARITY * FEW:
-        found.append(sketches(codes, MANY_K, MANY_SKETCHES))
+        found.append(sketches(codes, MANY_K, MANY_SKETCHES) & ~PLACE | np.arange(FEW_SKETCHES, PLACES))
     return np.concatenate(found)
 
 
@@ -295,7 +301,10 @@ def _verified(stars: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 
 
 def _bins(nodes: DataFrame) -> DataFrame:
-    """``node, size, bins``: how many words fall into each of ``FEW_BINS`` bins, null where a byte can't hold one."""
+    """``node, size, bins, kept``: how many words fall into each of ``FEW_BINS`` bins, null where a byte can't hold one.
+
+    ``kept``, the buckets that are searched, becomes the bytes of its numbers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,20 +312,53 @@ def _bins(nodes: DataFrame) -> DataFrame:
             for data in batch.column(2).to_pylist():
                 counts = np.bincount(word_codes(unpacked(data)) % FEW_BINS, minlength=FEW_BINS)
                 bins.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins, pa.binary())], ["node", "size", "bins"])
+            kept = [np.array(k, dtype=np.int64).tobytes() for k in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(bins, pa.binary()), pa.array(kept, pa.binary())], ["node", "size", "bins", "kept"]
+            )
+
+    return nodes.select("node", "size", "words", "kept").mapInArrow(run, "node long, size int, bins binary, kept binary")
+
+
+class _Turns:
+    """Which pairs of the nodes of one bucket are that bucket's to compare.
+
+    Of the searched buckets that two nodes share, a hash of the two picks one, so
+    that each pair has its turn once and no bucket has most of them. A text without
+    one of its words has no place among the sketches: such buckets compare all.
+    """
 
-    return nodes.select("node", "size", "words").mapInArrow(run, "node long, size int, bins binary")
+    def __init__(self, bucket: int, nodes: np.ndarray, kept: list[bytes]):
+        self.place = bucket & PLACE
+        held = np.frombuffer(b"".join(kept), dtype=np.int64)
+        rows = np.repeat(np.arange(len(kept)), [len(k) // 8 for k in kept])
+        sketch = held & PLACE != MARK
+        # no sketch has the number -1, which ends in MARK
+        self.places = np.full((len(kept), PLACES), -1, dtype=np.int64)
+        self.places[rows[sketch], held[sketch] & PLACE] = held[sketch]
+        self.salts = _mixed(nodes.astype(np.uint64) * _MULTIPLY)
+
+    def of(self, i: int, rest: np.ndarray) -> np.ndarray:
+        if self.place == MARK or not len(rest):
+            return rest
+        own = np.flatnonzero(self.places[i] != -1)
+        same = self.places[np.ix_(rest, own)] == self.places[i, own]
+        before = same[:, : np.searchsorted(own, self.place)].sum(axis=1)
+        picked = (_mixed(self.salts[rest] + self.salts[i]) >> np.uint64(20)) % same.sum(axis=1).astype(np.uint64)
+        return rest[before == picked]
 
 
 class _Reach:
     """Nodes of one block or of two by length, and for each the ones before it that it may link with.
 
     Those are of another component (and of the other block, in two), within
-    reach by length, and share enough words by a count of bins.
+    reach by length, have their turn in this bucket, and share enough words by a count of bins.
     """
 
-    def __init__(self, sizes: np.ndarray, bins: np.ndarray, roots: np.ndarray, slots: np.ndarray, cross: bool, similarity: float):
-        self.sizes, self.bins, self.roots, self.slots, self.cross = sizes, bins, roots, slots, cross
+    def __init__(self, f: pd.DataFrame, sizes: np.ndarray, bins: np.ndarray, similarity: float):
+        self.sizes, self.bins, self.roots, self.slots = sizes, bins, f["root"].to_numpy(), f["slot"].to_numpy()
+        self.cross = bool(f["cross"].iloc[0])
+        self.turns = _Turns(int(f["bucket"].iloc[0]), f["node"].to_numpy(), f["kept"].tolist()) if "kept" in f else None
         self.most = (sizes * (1 - similarity) + 1e-9).astype(np.int64)
         # by length, so that those within reach of a text are a run
         self.lows = np.searchsorted(sizes, sizes - self.most)
@@ -327,6 +369,8 @@ class _Reach:
         if self.cross:
             apart &= self.slots[rest] != self.slots[i]
         rest = rest[apart]
+        if self.turns is not None:
+            rest = self.turns.of(i, rest)
         # an edit leaves all but one word in common, so fewer common words mean too many edits
         common = np.minimum(self.bins[rest], self.bins[i]).sum(axis=1, dtype=np.int64)
         return rest[common >= self.sizes[i] - self.most[i]]
@@ -339,7 +383,7 @@ def _may_link(similarity: float):
         wide = f["bins"].isna().to_numpy()
         held = b"".join(b"\xff" * FEW_BINS if w else x for x, w in zip(f["bins"], wide, strict=True))
         bins = np.frombuffer(held, dtype=np.uint8).reshape(len(f), FEW_BINS)
-        reach = _Reach(f["size"].to_numpy(np.int64), bins, f["root"].to_numpy(), f["slot"].to_numpy(), bool(f["cross"].iloc[0]), similarity)
+        reach = _Reach(f, f["size"].to_numpy(np.int64), bins, similarity)
         stays = wide.copy()
         for i in range(1, len(f)):
             if wide[i]:
@@ -352,7 +396,7 @@ def _may_link(similarity: float):
         if wide.any():
             for i in np.flatnonzero(wide).tolist():
                 stays[i : np.searchsorted(reach.lows, i, "right")] = True
-        return f.loc[stays, ["bucket", "low", "high", "node", "root", "slot", "cross"]]
+        return f.loc[stays].drop(columns=["size", "bins"])
 
     return run
 
@@ -365,7 +409,7 @@ def _between_components(similarity: float):
         f = f.assign(length=f["codes"].map(len)).sort_values("length", kind="stable")
         words, nodes, roots = f["codes"].tolist(), f["node"].tolist(), f["root"].to_numpy()
         bins = np.stack([np.bincount(w % BINS, minlength=BINS) for w in words]).astype(np.int32)
-        reach = _Reach(f["length"].to_numpy(), bins, roots, f["slot"].to_numpy(), bool(f["cross"].iloc[0]), similarity)
+        reach = _Reach(f, f["length"].to_numpy(), bins, similarity)
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -418,6 +462,7 @@ def _verdicts(documents: DataFrame, similarity: float) -> DataFrame:
     links = written(_verified(stars, nodes, similarity), "near-links")
     discard(stars)
     roots = components(links)
+    discard(links)
     # buckets of two have had their only pair aligned
     placed = written(
         members.filter("n > 2")
@@ -459,9 +504,9 @@ def _verdicts(documents: DataFrame, similarity: float) -> DataFrame:
             )
             .withColumn("cross", F.col("low") != F.col("high"))
         )
-        own = placed.join(mixed.hint("merge"), "bucket").select("node").distinct()
-        bins = written(_bins(nodes.join(own.hint("merge"), "node", "left_semi")), "near-bins")
-        columns = "bucket long, low int, high int, node long, root long, slot int, cross boolean"
+        own = placed.join(mixed.hint("merge"), "bucket").groupBy("node").agg(F.collect_list("bucket").alias("kept"))
+        bins = written(_bins(nodes.join(own.hint("merge"), "node")), "near-bins")
+        columns = "bucket long, low int, high int, node long, root long, slot int, cross boolean, kept binary"
         within = written(
             opened.join(bins.hint("merge"), "node").groupBy("bucket", "low", "high").applyInPandas(_may_link(similarity), columns),
             "near-within",
@@ -476,10 +521,10 @@ def _verdicts(documents: DataFrame, similarity: float) -> DataFrame:
         discard(within)
         if not more.isEmpty():
             before = roots
-            roots = components(links.unionByName(more))
+            roots = components(before.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
             discard(before)
         discard(more)
-    for table in (placed, mixed, links):
+    for table in (placed, mixed):
         discard(table)
     classes = written(
         nodes.select("content", "least", F.col("node").alias("own"))

@@ -64,6 +64,16 @@ def test_components(spark):
     assert graph.components(df.limit(0)).count() == 0
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    rounds, large = [], graph._large_star
+    monkeypatch.setattr(graph, "_large_star", lambda edges: rounds.append(1) or large(edges))
+    stars = [(i, i % 7) for i in range(7, 60)]
+    found = graph.components(spark.createDataFrame(stars, "u long, v long")).collect()
+    assert {x.node: x.root for x in found} == dict(stars) and not rounds
+    found = graph.components(spark.createDataFrame([*stars, (6, 0)], "u long, v long")).collect()
+    assert {x.node: x.root for x in found} == {6: 0} | {i: i % 7 % 6 for i, _ in stars} and rounds
+
+
 def test_near_groups(documents, empty, nulls):
     codes = {row[0]: codes_of(row[1]) for row in rows()}
     ids = [i for i, c in codes.items() if len(c)]
@@ -153,6 +163,36 @@ def test_filters_lose_no_link():
         assert need and need <= stay
 
 
+def test_pairs_that_share_buckets_are_compared_once(monkeypatch):
+    r = random.Random(17)
+    base, places = [f"w{i}" for i in range(40)], [2, 7, 31, 40, 41, 79]
+    texts = [r.sample(base, 40) for _ in range(14)]  # the same words in other orders: only alignment tells them apart
+    texts[9] = [*texts[4][:-1], "changed"]
+    held = {i: [(5 << 7) + p for p in places if i < 5 or i == 9 or r.random() < 0.7] for i in range(14)}
+    made = pd.DataFrame({"node": range(14), "root": [i // 2 for i in range(14)], "slot": [i % 2 for i in range(14)]})
+    made["words"] = [near_dedup.packed(" ".join(t).encode()) for t in texts]
+    made["size"], made["bins"] = 40, [np.bincount(near_dedup.word_codes([w.encode() for w in t]) % 256, minlength=256).astype(np.uint8).tobytes() for t in texts]
+    made["kept"] = [np.array(held[i], dtype=np.int64).tobytes() for i in range(14)]
+    asked, alike = [], near_dedup.alike
+
+    def counted(a, b, similarity):
+        asked.append(1)
+        return alike(a, b, similarity)
+
+    monkeypatch.setattr(near_dedup, "alike", counted)
+    links = []
+    for bucket in [(5 << 7) + p for p in places]:
+        members = made[[bucket in held[i] for i in range(14)]]
+        for low, high in ((0, 0), (0, 1), (1, 1)):
+            frame = members if low < high else members[members["slot"] == low]
+            frame = frame.assign(bucket=bucket, low=low, high=high, cross=low < high)
+            stay = set(near_dedup._may_link(0.8)(frame.drop(columns="words"))["node"])
+            if stay:
+                links += near_dedup._between_components(0.8)(frame[frame["node"].isin(stay)]).values.tolist()
+    assert [sorted(x) for x in links] == [[4, 9]]
+    assert len(asked) == sum(i // 2 != j // 2 and not set(held[i]).isdisjoint(held[j]) for i in range(14) for j in range(i))
+
+
 def test_near_copies_at_the_threshold_meet(spark):
     r = random.Random(21)
     made, pairs = [], []
